@@ -1,0 +1 @@
+"""Deliberately empty: the workload is batch only, it has no streaming operator to re-express."""
