@@ -1,15 +1,17 @@
 """Grid cell schemes as column expressions: S2 cells, equal-area hexagons, web-map tiles.
 
-A scheme offers ``address`` (point -> small integers, NULL off the globe), ``key`` (address ->
-cell id text) and ``outline`` (address -> parts of the cell polygon). Ids and outlines are only
-computed for the distinct cells that survive a roll-up, never per point.
+A scheme offers ``addressed`` (points plus ``cell``, a struct of small integers, NULL off the globe),
+``key`` (cell -> id text) and ``outlined`` (cells plus ``parts``, the cell polygon). Ids and outlines
+are only computed for the distinct cells that survive a roll-up, never per point. Long formulas are
+laid out as a chain of columns, so that each step is computed once and the generated code stays
+small.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodspark.functions.planar import split_at_antimeridian
@@ -19,8 +21,12 @@ def on_globe(lat: Column, lon: Column) -> Column:
     return F.coalesce((F.abs(lat) <= 90) & (F.abs(lon) <= 180), F.lit(False))
 
 
-def _close(corners: list[Column]) -> Column:
-    return F.array(*corners, corners[0])
+def by_number(number: Column, values: list[Column]) -> Column:
+    """The value at a position 0, 1, ...; only that one is computed."""
+    whens = F.when(number == 0, values[0])
+    for position, value in enumerate(values[1:], 1):
+        whens = whens.when(number == position, value)
+    return whens
 
 
 # --- S2 ------------------------------------------------------------------------------------------
@@ -53,36 +59,39 @@ def _s2_uv(s: Column) -> Column:
 
 
 class S2Cells:
-    """S2 hierarchy. The address is (face, i, j) at the cell's own level."""
+    """S2 hierarchy. A cell is (face, i, j) at its own level."""
 
     nested = True
-    address_fields = ("face", "i", "j")
-
-    def address(self, lat: Column, lon: Column, level: int) -> Column:
-        phi, theta = F.radians(lat), F.radians(lon)
-        x, y, z = F.cos(phi) * F.cos(theta), F.cos(phi) * F.sin(theta), F.sin(phi)
-        ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
-        face = (
-            F.when((ax > ay) & (ax > az), F.when(x < 0, 3).otherwise(0))
-            .when((ax <= ay) & (ay > az), F.when(y < 0, 4).otherwise(1))
-            .otherwise(F.when(z < 0, 5).otherwise(2))
-        )
+
+    def addressed(self, points: DataFrame, level: int) -> DataFrame:
+        lat, lon = F.radians(F.col("lat")), F.radians(F.col("lon"))
+        x, y, z = F.col("_x"), F.col("_y"), F.col("_z")
         over = F.try_divide
-        frames = [
-            (over(y, x), over(z, x)), (over(-x, y), over(z, y)), (over(-x, z), over(-y, z)),
-            (over(z, x), over(y, x)), (over(z, y), over(-x, y)), (over(-y, z), over(-x, z)),
-        ]
-
-        def coordinate(axis):
-            whens = F.when(face == 0, frames[0][axis])
-            for number in range(1, 6):
-                whens = whens.when(face == number, frames[number][axis])
-            cell = F.floor(_s2_st(whens) * (1 << level)).cast("int")
-            return F.greatest(F.lit(0), F.least(F.lit((1 << level) - 1), cell))
-
-        return F.when(
-            on_globe(lat, lon),
-            F.struct(face.alias("face"), coordinate(0).alias("i"), coordinate(1).alias("j")),
+        on_sphere = points.withColumns({
+            "_x": F.cos(lat) * F.cos(lon), "_y": F.cos(lat) * F.sin(lon), "_z": F.sin(lat),
+        })
+        faced = on_sphere.withColumn(
+            "_face",
+            F.when((F.abs(x) > F.abs(y)) & (F.abs(x) > F.abs(z)), F.when(x < 0, 3).otherwise(0))
+            .when((F.abs(x) <= F.abs(y)) & (F.abs(y) > F.abs(z)), F.when(y < 0, 4).otherwise(1))
+            .otherwise(F.when(z < 0, 5).otherwise(2)),
+        )
+        on_face = faced.withColumns({
+            "_u": by_number(F.col("_face"), [
+                over(y, x), over(-x, y), over(-x, z), over(z, x), over(z, y), over(-y, z),
+            ]),
+            "_v": by_number(F.col("_face"), [
+                over(z, x), over(z, y), over(-y, z), over(y, x), over(-x, y), over(-x, z),
+            ]),
+        })
+
+        def step(u: str) -> Column:
+            at = F.floor(_s2_st(F.col(u)) * (1 << level)).cast("int")
+            return F.greatest(F.lit(0), F.least(F.lit((1 << level) - 1), at))
+
+        cell = F.struct(F.col("_face").alias("face"), step("_u").alias("i"), step("_v").alias("j"))
+        return on_face.withColumn("cell", F.when(on_globe(F.col("lat"), F.col("lon")), cell)).drop(
+            "_x", "_y", "_z", "_face", "_u", "_v"
         )
 
     def parent(self, address: Column, level: int, to_level: Column) -> Column:
@@ -124,50 +133,48 @@ class S2Cells:
         number = F.lpad(F.lower(F.hex(self.cell_number(address, level, depth))), 16, "0")
         return F.rtrim(number, F.lit("0"))
 
-    def outline(self, address: Column, level: Column) -> Column:
-        size = F.pow(F.lit(2.0), level)
-        face = address["face"]
-
-        def lonlat(di, dj):
-            u = _s2_uv((address["i"] + di) / size)
-            v = _s2_uv((address["j"] + dj) / size)
-            one = F.lit(1.0)
-            xyz = [(one, u, v), (-u, one, v), (-u, -v, one), (-one, -v, -u), (v, -one, -u), (v, u, -one)]
-
-            def pick(axis):
-                whens = F.when(face == 0, xyz[0][axis])
-                for number in range(1, 6):
-                    whens = whens.when(face == number, xyz[number][axis])
-                return whens
-
-            x, y, z = pick(0), pick(1), pick(2)
-            return F.array(F.degrees(F.atan2(y, x)), F.degrees(F.atan2(z, F.sqrt(x * x + y * y))))
-
-        corners = F.array(*[lonlat(*c) for c in ((0, 0), (1, 0), (1, 1), (0, 1))])
-        count = F.lit(4)
+    def outlined(self, cells: DataFrame) -> DataFrame:
+        cell, size = F.col("cell"), F.pow(F.lit(2.0), F.col("res"))
+        face = cell["face"]
+        steps = F.array(*[F.array(F.lit(di), F.lit(dj)) for di, dj in ((0, 0), (1, 0), (1, 1), (0, 1))])
+
+        def on_sphere(uv):
+            u, v, one = uv["u"], uv["v"], F.lit(1.0)
+            axes = {
+                "x": [one, -u, -u, -one, v, v], "y": [u, one, -v, -v, -one, u], "z": [v, v, one, -u, -u, -one],
+            }
+            return F.struct(*[by_number(face, values).alias(name) for name, values in axes.items()])
+
+        corners = F.transform(steps, lambda d: F.struct(
+            _s2_uv((cell["i"] + d[0]) / size).alias("u"), _s2_uv((cell["j"] + d[1]) / size).alias("v")
+        ))
+        lonlat = F.transform(F.transform(corners, on_sphere), lambda p: F.array(
+            F.degrees(F.atan2(p["y"], p["x"])),
+            F.degrees(F.atan2(p["z"], F.sqrt(p["x"] * p["x"] + p["y"] * p["y"]))),
+        ))
 
         # A corner on a pole has no longitude: it becomes two, on its neighbours' meridians.
         def spread(corner, index):
-            before = F.get(corners, (index + count - 1) % count)
-            after = F.get(corners, (index + 1) % count)
+            before = F.get(F.col("_corners"), (index + 3) % 4)
+            after = F.get(F.col("_corners"), (index + 1) % 4)
             return F.when(
                 F.abs(corner[1]) > 90 - 1e-9,
                 F.array(F.array(before[0], corner[1]), F.array(after[0], corner[1])),
             ).otherwise(F.array(corner))
 
-        ring = F.flatten(F.transform(corners, spread))
-        # Level 0 on a polar face holds the pole inside: close the ring along +-90 degrees.
-        parallel = ring[0][1]
-        pole = F.when(face == 2, 90.0).otherwise(-90.0)
+        # Level 0 on a polar face holds the pole inside: its ring is closed along +-90 degrees.
+        parallel, pole = F.col("_corners")[0][1], F.when(face == 2, 90.0).otherwise(-90.0)
         cap = F.array(*[
             F.array(F.lit(lon), lat)
-            for lon, lat in ((-180.0, parallel), (180.0, parallel), (180.0, pole), (-180.0, pole))
+            for lon, lat in ((-180.0, parallel), (180.0, parallel), (180.0, pole), (-180.0, pole), (-180.0, parallel))
         ])
-        holds_pole = (level == 0) & face.isin(2, 5)
-        closed = F.concat(ring, F.slice(ring, 1, 1))
-        return F.when(
-            holds_pole, F.array(F.array(F.concat(cap, F.slice(cap, 1, 1))))
-        ).otherwise(split_at_antimeridian(closed))
+        ring = F.flatten(F.transform(F.col("_corners"), spread))
+        rings = cells.withColumn("_corners", lonlat).withColumn("_ring", ring)
+        closed = F.concat(F.col("_ring"), F.slice(F.col("_ring"), 1, 1))
+        parts = F.when((F.col("res") == 0) & face.isin(2, 5), F.array(F.array(cap))).otherwise(
+            split_at_antimeridian(closed)
+        )
+        return rings.withColumn("parts", parts).drop("_corners", "_ring")
 
 
 # --- hexagons ------------------------------------------------------------------------------------
@@ -181,7 +188,6 @@ class HexCells:
     """
 
     nested = False
-    address_fields = ("q", "r")
 
     def __init__(self, edge_degrees: float = 10.0):
         self.edge_degrees = edge_degrees
@@ -189,38 +195,43 @@ class HexCells:
     def _edge(self, resolution: Column) -> Column:
         return F.lit(self.edge_degrees) / F.pow(F.lit(math.sqrt(7.0)), resolution)
 
-    def address(self, lat: Column, lon: Column, resolution: Column) -> Column:
-        x, y = lon, F.degrees(F.sin(F.radians(lat)))
-        edge = self._edge(resolution)
-        q = (x * (math.sqrt(3.0) / 3.0) - y / 3.0) / edge
-        r = (y * (2.0 / 3.0)) / edge
-        s = -q - r
-        nq, nr, ns = F.rint(q), F.rint(r), F.rint(s)
-        dq, dr, ds = F.abs(nq - q), F.abs(nr - r), F.abs(ns - s)
-        # Round all three cube coordinates; the worst one follows from the other two.
-        fixed_q = F.when((dq > dr) & (dq > ds), -nr - ns).otherwise(nq)
-        fixed_r = F.when(~((dq > dr) & (dq > ds)) & (dr > ds), -nq - ns).otherwise(nr)
-        return F.when(
-            on_globe(lat, lon),
-            F.struct(fixed_q.cast("int").alias("q"), fixed_r.cast("int").alias("r")),
+    def addressed(self, points: DataFrame) -> DataFrame:
+        """Cells at the resolution in ``res``."""
+        x, y = F.col("lon"), F.degrees(F.sin(F.radians(F.col("lat"))))
+        edge = self._edge(F.col("res"))
+        axial = points.withColumns({
+            "_q": (x * (math.sqrt(3.0) / 3.0) - y / 3.0) / edge, "_r": (y * (2.0 / 3.0)) / edge,
+        }).withColumn("_s", -F.col("_q") - F.col("_r"))
+        whole = axial.withColumns({f"_n{c}": F.rint(F.col(f"_{c}")) for c in "qrs"})
+        off = whole.withColumns({f"_d{c}": F.abs(F.col(f"_n{c}") - F.col(f"_{c}")) for c in "qrs"})
+        # All three cube coordinates are rounded; the one that moved most follows from the others.
+        q_worst = (F.col("_dq") > F.col("_dr")) & (F.col("_dq") > F.col("_ds"))
+        r_worst = ~q_worst & (F.col("_dr") > F.col("_ds"))
+        cell = F.struct(
+            F.when(q_worst, -F.col("_nr") - F.col("_ns")).otherwise(F.col("_nq")).cast("int").alias("q"),
+            F.when(r_worst, -F.col("_nq") - F.col("_ns")).otherwise(F.col("_nr")).cast("int").alias("r"),
+        )
+        return off.withColumn("cell", F.when(on_globe(F.col("lat"), F.col("lon")), cell)).drop(
+            *[f"_{kind}{c}" for kind in ("", "n", "d") for c in "qrs"]
         )
 
     def key(self, address: Column, resolution: Column, depth: int | None = None) -> Column:
         return F.concat_ws(":", resolution.cast("string"), address["q"].cast("string"), address["r"].cast("string"))
 
-    def outline(self, address: Column, resolution: Column) -> Column:
-        edge = self._edge(resolution)
-        cx = edge * math.sqrt(3.0) * (address["q"] + address["r"] / 2.0)
-        cy = edge * 1.5 * address["r"]
-        limit = math.degrees(1.0)
-        corners = []
-        for k in range(6):
-            angle = math.radians(60 * k - 30)
-            y = F.greatest(F.lit(-limit), F.least(F.lit(limit), cy + edge * math.sin(angle)))
-            corners.append(
-                F.array(cx + edge * math.cos(angle), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.radians(y))))))
-            )
-        return split_at_antimeridian(_close(corners))
+    def outlined(self, cells: DataFrame) -> DataFrame:
+        q, r, edge, limit = F.col("cell.q"), F.col("cell.r"), F.col("_edge"), math.degrees(1.0)
+        placed = cells.withColumn("_edge", self._edge(F.col("res"))).withColumns({
+            "_cx": edge * math.sqrt(3.0) * (q + r / 2.0), "_cy": edge * 1.5 * r,
+        })
+        turns = [math.radians(60 * k - 30) for k in range(6)] + [math.radians(-30)]
+        spokes = F.array(*[F.array(F.lit(math.cos(t)), F.lit(math.sin(t))) for t in turns])
+
+        def corner(spoke):
+            y = F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col("_cy") + edge * spoke[1]))
+            return F.array(F.col("_cx") + edge * spoke[0], F.degrees(F.asin(F.radians(y))))
+
+        rings = placed.withColumn("_ring", F.transform(spokes, corner))
+        return rings.withColumn("parts", split_at_antimeridian(F.col("_ring"))).drop("_edge", "_cx", "_cy", "_ring")
 
 
 # --- web-map tiles -------------------------------------------------------------------------------
@@ -239,9 +250,9 @@ class TileCells:
     """Web-map tiles as a grid scheme; points beyond the Mercator range fall into the edge rows."""
 
     nested = True
-    address_fields = ("x", "y")
 
-    def address(self, lat: Column, lon: Column, zoom: int) -> Column:
+    def addressed(self, points: DataFrame, zoom: int) -> DataFrame:
+        lat, lon = F.col("lat"), F.col("lon")
         at = tile_index(lon, lat, F.lit(zoom))
         top = (1 << zoom) - 1
 
@@ -250,29 +261,27 @@ class TileCells:
 
         # The tangent has no finite value at the poles: they belong to the first and last row.
         row = F.when(lat >= 90, F.lit(0)).when(lat <= -90, F.lit(top)).otherwise(clamped(at["y"]))
-        return F.when(on_globe(lat, lon), F.struct(clamped(at["x"]).alias("x"), row.alias("y")))
+        cell = F.struct(clamped(at["x"]).alias("x"), row.alias("y"))
+        return points.withColumn("cell", F.when(on_globe(lat, lon), cell))
 
     def parent(self, address: Column, zoom: int, to_zoom: Column) -> Column:
         shift = F.lit(zoom) - to_zoom
         return F.struct(*[
-            F.call_function("shiftright", address[name], shift).alias(name) for name in self.address_fields
+            F.call_function("shiftright", address[name], shift).alias(name) for name in ("x", "y")
         ])
 
     def key(self, address: Column, zoom: Column, depth: int | None = None) -> Column:
         return F.concat_ws("/", zoom.cast("string"), address["x"].cast("string"), address["y"].cast("string"))
 
-    def outline(self, address: Column, zoom: Column) -> Column:
-        n = F.pow(F.lit(2.0), zoom)
-
-        def lon(x):
-            return x / n * 360.0 - 180.0
+    def outlined(self, cells: DataFrame) -> DataFrame:
+        n = F.pow(F.lit(2.0), F.col("res"))
+        steps = F.array(*[F.array(F.lit(dx), F.lit(dy)) for dx, dy in ((0, 1), (1, 1), (1, 0), (0, 0), (0, 1))])
 
-        def lat(y):
-            return F.degrees(F.atan(F.sinh((1.0 - y * 2.0 / n) * math.pi)))
+        def corner(d):
+            lon = (F.col("cell.x") + d[0]) / n * 360.0 - 180.0
+            return F.array(lon, F.degrees(F.atan(F.sinh((1.0 - (F.col("cell.y") + d[1]) * 2.0 / n) * math.pi))))
 
-        x0, x1, y0, y1 = address["x"], address["x"] + 1, address["y"], address["y"] + 1
-        corners = [F.array(lon(x), lat(y)) for x, y in ((x0, y1), (x1, y1), (x1, y0), (x0, y0))]
-        return F.array(F.array(_close(corners)))
+        return cells.withColumn("parts", F.array(F.array(F.transform(steps, corner))))
 
 
 SCHEMES = {"s2": S2Cells(), "hex": HexCells(), "tile": TileCells()}

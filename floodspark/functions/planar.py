@@ -62,6 +62,11 @@ def strictly_inside(edges: Column, x: Column, y: Column) -> Column:
     return (F.size(crossings) % 2 == 1) & ~touches
 
 
+def _bound_to(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _clip(ring: Column, bound: float, keep_below: bool) -> Column:
     """A convex closed ring cut by the line x = bound; the result is closed, or empty."""
     def inside(p):
@@ -72,7 +77,7 @@ def _clip(ring: Column, bound: float, keep_below: bool) -> Column:
             F.lit(float(bound)), a[1] + (F.lit(float(bound)) - a[0]) * (b[1] - a[1]) / (b[0] - a[0])
         )
 
-    empty = F.slice(ring, 1, 0)
+    empty = F.array().cast("array<array<double>>")
     points = F.flatten(
         F.zip_with(
             F.slice(ring, 1, F.size(ring) - 1),
@@ -83,23 +88,33 @@ def _clip(ring: Column, bound: float, keep_below: bool) -> Column:
             ),
         )
     )
-    distinct = F.array_distinct(points)
     # Fewer than three different points means the ring only touches the line.
-    return F.when(F.size(distinct) >= 3, F.concat(distinct, F.slice(distinct, 1, 1))).otherwise(empty)
+    return _bound_to(
+        F.array_distinct(points),
+        lambda d: F.when(F.size(d) >= 3, F.concat(d, F.slice(d, 1, 1))).otherwise(empty),
+    )
 
 
 def split_at_antimeridian(ring: Column) -> Column:
     """Parts of a convex cell ring; one that spans the 180th meridian comes back as two parts."""
-    xs = F.transform(ring, lambda p: p[0])
-    wide = F.array_max(xs) - F.array_min(xs) > 180
-    east = F.transform(
-        ring,
-        lambda p: F.array(
-            F.when((wide & (p[0] < 0)) | (F.array_min(xs) < -180), p[0] + 360).otherwise(p[0]), p[1]
-        ),
-    )
-    crosses = F.array_max(F.transform(east, lambda p: p[0])) > 180
-    left = _clip(east, 180.0, keep_below=True)
-    right = F.transform(_clip(east, 180.0, keep_below=False), lambda p: F.array(p[0] - 360, p[1]))
-    both = F.filter(F.array(left, right), lambda r: F.size(r) > 0)
-    return F.when(crosses, F.transform(both, lambda r: F.array(r))).otherwise(F.array(F.array(ring)))
+    def eastward(r):
+        """The ring with longitudes that run on beyond 180 instead of jumping."""
+        xs = F.transform(r, lambda p: p[0])
+        low, wide = F.array_min(xs), F.array_max(xs) - F.array_min(xs) > 180
+        return _bound_to(
+            F.struct(low.alias("low"), wide.alias("wide")),
+            lambda s: F.transform(
+                r,
+                lambda p: F.array(
+                    F.when((s["wide"] & (p[0] < 0)) | (s["low"] < -180), p[0] + 360).otherwise(p[0]), p[1]
+                ),
+            ),
+        )
+
+    def parts(r):
+        back = F.transform(_clip(r, 180.0, keep_below=False), lambda p: F.array(p[0] - 360, p[1]))
+        both = F.filter(F.array(_clip(r, 180.0, keep_below=True), back), lambda part: F.size(part) > 0)
+        crosses = F.exists(r, lambda p: p[0] > 180)
+        return F.when(crosses, F.transform(both, lambda part: F.array(part))).otherwise(F.array(F.array(r)))
+
+    return _bound_to(_bound_to(ring, eastward), parts)

@@ -17,29 +17,29 @@ def cell_tallies(points: DataFrame, scheme: str, resolutions) -> DataFrame:
     tally then still shrinks them before the shuffle.
     """
     cells = SCHEMES[scheme]
-    lat, lon = F.col("lat"), F.col("lon")
-    if cells.nested:
-        finest = max(resolutions)
-        addressed = points.select("model", "severity", cells.address(lat, lon, finest).alias("cell"))
-        finest_tallies = tally(addressed.where(F.col("cell").isNotNull()), ["cell"])
-        every = finest_tallies.withColumn("res", F.explode(F.array(*[F.lit(r) for r in resolutions])))
-        parents = every.withColumn("cell", cells.parent(F.col("cell"), finest, F.col("res")))
-        return merge_tallies(parents, ["res", "cell"])
-    return tally(addressed_points(points, scheme, resolutions), ["res", "cell"])
+    if not cells.nested:
+        return tally(addressed_points(points, scheme, resolutions), ["res", "cell"])
+    finest = max(resolutions)
+    addressed = cells.addressed(points.select("model", "severity", "lat", "lon"), finest)
+    finest_tallies = tally(addressed.where(F.col("cell").isNotNull()), ["cell"])
+    return merge_tallies(_with_parents(finest_tallies, cells, finest, resolutions), ["res", "cell"])
+
+
+def _with_parents(rows: DataFrame, cells, finest: int, resolutions) -> DataFrame:
+    """Rows of finest cells once per resolution, with the enclosing cell."""
+    every = rows.withColumn("res", F.explode(F.array(*[F.lit(r) for r in resolutions])))
+    return every.withColumn("cell", cells.parent(F.col("cell"), finest, F.col("res")))
 
 
 def addressed_points(points: DataFrame, scheme: str, resolutions) -> DataFrame:
-    """Every point once per resolution with its cell address and all its columns."""
+    """Every point once per resolution with its cell and all its columns."""
     cells = SCHEMES[scheme]
-    lat, lon = F.col("lat"), F.col("lon")
-    every = points.withColumn("res", F.explode(F.array(*[F.lit(r) for r in resolutions])))
     if cells.nested:
         finest = max(resolutions)
-        address = cells.parent(cells.address(lat, lon, finest), finest, F.col("res"))
-        inside = cells.address(lat, lon, finest).isNotNull()
-        return every.where(inside).withColumn("cell", address)
-    addressed = every.withColumn("cell", cells.address(lat, lon, F.col("res")))
-    return addressed.where(F.col("cell").isNotNull())
+        inside = cells.addressed(points, finest).where(F.col("cell").isNotNull())
+        return _with_parents(inside, cells, finest, resolutions)
+    every = points.withColumn("res", F.explode(F.array(*[F.lit(r) for r in resolutions])))
+    return cells.addressed(every).where(F.col("cell").isNotNull())
 
 
 def cell_id(scheme: str, resolutions) -> Column:
@@ -59,10 +59,8 @@ def cell_features(tallies: DataFrame, scheme: str, resolutions) -> DataFrame:
 
 def with_outline(features: DataFrame, scheme: str) -> DataFrame:
     """Cell polygons, computed from the address of each distinct cell; no join is needed."""
-    outline = SCHEMES[scheme].outline(F.col("cell"), F.col("res"))
-    return features.withColumn("parts", outline).where(F.col("parts").isNotNull()).withColumn(
-        "multi", F.size("parts") > 1
-    )
+    outlined = SCHEMES[scheme].outlined(features)
+    return outlined.where(F.col("parts").isNotNull()).withColumn("multi", F.size("parts") > 1)
 
 
 def ready_cell_features(points: DataFrame, id_columns: dict[int, str], outlines: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from floodspark.functions.planar import extent_of
 from floodspark.operators import forecasts
@@ -23,19 +24,29 @@ LEVELS = (4, 5, 6, 7, 8)
 N_CODES = 9**8
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; its schema is read from the file once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def located(rows: DataFrame, key: str) -> DataFrame:
     """Adds n, pfaf, x, y of the basin whose number is ``key``."""
-    digit = [f"(n div {9 ** (8 - i)} % 9)" for i in range(1, 9)]
-    x = " + ".join(f"{d} % 3 * {3 ** (8 - i)}" for i, d in enumerate(digit, 1))
-    y = " + ".join(f"{d} div 3 * {3 ** (8 - i)}" for i, d in enumerate(digit, 1))
-    pfaf = "concat(" + ", ".join(f"{d} + 1" for d in digit) + ")"
-    return rows.withColumn("n", F.expr(f"({key} * 101) % {N_CODES}")).selectExpr(
-        "*", f"{pfaf} AS pfaf", f"{x} AS x", f"{y} AS y"
+    powers = ", ".join(f"{9 ** i}L" for i in range(7, -1, -1))
+    digits = rows.withColumn("n", F.expr(f"({key} * 101) % {N_CODES}")).selectExpr(
+        "*", f"transform(array({powers}), p -> n div p % 9) AS digits"
     )
+    return digits.selectExpr(
+        "*",
+        "array_join(transform(digits, d -> cast(d + 1 AS string)), '') AS pfaf",
+        "aggregate(digits, 0L, (at, d) -> at * 3 + d % 3) AS x",
+        "aggregate(digits, 0L, (at, d) -> at * 3 + d div 3) AS y",
+    ).drop("digits")
 
 
 def basins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,17 +55,18 @@ def basins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return located(keys, "k")
 
 
-def _ring(points) -> str:
-    return "array(" + ", ".join(f"array({x}, {y})" for x, y in points) + ")"
-
-
-def _unit_ring(offsets, side: str = "1") -> str:
-    return _ring([(f"(x + {dx} * {side}) / 64D - 50D", f"(y + {dy} * {side}) / 64D - 50D") for dx, dy in offsets])
+def _unit_ring(offsets, side: str = "1D") -> str:
+    """Ring around (x, y); offsets are in parts of the side, coordinates in degrees."""
+    corners = ", ".join(f"array({dx}D, {dy}D)" for dx, dy in offsets)
+    return (
+        f"transform(array({corners}), o -> "
+        f"array((x + o[0] * {side}) / 64D - 50D, (y + o[1] * {side}) / 64D - 50D))"
+    )
 
 
-_SHELL = [("0D", "0D"), ("1D", "0D"), ("1D", "0.5D"), ("0.5D", "0.5D"), ("0.5D", "1D"), ("0D", "1D"), ("0D", "0D")]
-_HOLE = [("0.125D", "0.125D"), ("0.125D", "0.25D"), ("0.25D", "0.25D"), ("0.25D", "0.125D"), ("0.125D", "0.125D")]
-_SQUARE = [("0D", "0D"), ("1D", "0D"), ("1D", "1D"), ("0D", "1D"), ("0D", "0D")]
+_SHELL = [(0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1), (0, 0)]
+_HOLE = [(0.125, 0.125), (0.125, 0.25), (0.25, 0.25), (0.25, 0.125), (0.125, 0.125)]
+_SQUARE = [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]
 
 
 def base_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +83,7 @@ def coarse_shapes(spark: SparkSession, sf_dir: str, levels=LEVELS) -> DataFrame:
     above = [level for level in levels if level != 8]
     base = basins(spark, sf_dir).withColumn("level", F.explode(F.array(*[F.lit(v) for v in above])))
     squares = base.selectExpr(
-        "level", "level * 1000000000 + n div cast(power(9, 8 - level) AS bigint) AS hybas_id",
+        "level", "level * 1000000000L + n div cast(power(9, 8 - level) AS bigint) AS hybas_id",
         "substring(pfaf, 1, level) AS pfaf", "cast(power(3, 8 - level) AS bigint) AS side", "x", "y",
     ).selectExpr("level", "hybas_id", "pfaf", "side", "x - x % side AS x", "y - y % side AS y").distinct()
     return squares.selectExpr(
@@ -189,20 +201,34 @@ def raw_impact(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def basin_inputs(spark: SparkSession, sf_dir: str, levels=LEVELS) -> BasinInputs:
+def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_files.parse_crosswalk(raw_crosswalk(spark, sf_dir))
+
+
+def reaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_files.parse_reaches(raw_reaches(spark, sf_dir))
+
+
+def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_files.parse_gauges(raw_gauges(spark, sf_dir))
+
+
+def impact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_files.parse_impact(raw_impact(spark, sf_dir))
+
+
+def basin_inputs(spark: SparkSession, sf_dir: str, levels=LEVELS, exposure: bool = False) -> BasinInputs:
     return BasinInputs(
-        text_files.parse_crosswalk(raw_crosswalk(spark, sf_dir)),
-        text_files.parse_reaches(raw_reaches(spark, sf_dir)),
-        text_files.parse_gauges(raw_gauges(spark, sf_dir)),
-        polygons(spark, sf_dir, levels),
-        text_files.parse_impact(raw_impact(spark, sf_dir)),
-        code_lookup(spark, sf_dir),
+        crosswalk(spark, sf_dir), reaches(spark, sf_dir), gauges(spark, sf_dir), polygons(spark, sf_dir, levels),
+        impact_rows(spark, sf_dir) if exposure else None,
+        code_lookup(spark, sf_dir) if exposure else None,
     )
 
 
 def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of both models as points with text coordinates, some of them missing or not numbers."""
-    inputs = basin_inputs(spark, sf_dir, (8,))
-    points = forecasts.flood_points(forecasts.flagged_reaches(inputs.reaches), inputs.gauges)
+    points = forecasts.flood_points(
+        forecasts.flagged_reaches(reaches(spark, sf_dir)), gauges(spark, sf_dir)
+    )
     bad = F.when(F.col("riverId").cast("bigint") % 2 == 0, F.lit("n/a"))
     return points.withColumns({c: F.coalesce(F.col(c).cast("string"), bad) for c in ("lat", "lon")})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,19 +41,38 @@ def as_microdegrees(*names: str):
 # --- shared steps ------------------------------------------------------------------------------------
 
 
-def _alerts(spark, sf_dir):
-    return basins.placed_alerts(fixtures.basin_inputs(spark, sf_dir))
+class Basins:
+    """The basin build over the derived tables, each step made once per query."""
 
+    def __init__(self, spark, sf_dir, levels=LEVELS, exposure: bool = False):
+        self.levels = levels
+        self.inputs = fixtures.basin_inputs(spark, sf_dir, levels, exposure)
 
-def _tallies(spark, sf_dir):
-    inputs = fixtures.basin_inputs(spark, sf_dir)
-    return basins.tallies(basins.placed_alerts(inputs), inputs.polygons, LEVELS)
+    @cached_property
+    def alerts(self):
+        return basins.placed_alerts(self.inputs)
 
+    @cached_property
+    def tallies(self):
+        return basins.tallies(self.alerts, self.inputs.polygons, self.levels)
 
-def _features(spark, sf_dir, with_impact: bool = False):
-    inputs = fixtures.basin_inputs(spark, sf_dir)
-    extra = (inputs.impact_rows, inputs.code_lookup) if with_impact else (None, None)
-    return basins.features(_tallies(spark, sf_dir), inputs.polygons, *extra, LEVELS)
+    @cached_property
+    def features(self):
+        return basins.features(
+            self.tallies, self.inputs.polygons, self.inputs.impact_rows, self.inputs.code_lookup, self.levels
+        )
+
+    @cached_property
+    def shaped(self):
+        return basins.with_geometry(self.features, self.inputs.polygons)
+
+    @cached_property
+    def forecasts(self):
+        return regions.level_forecasts(self.alerts, basins.base_polygons(self.inputs.polygons), self.levels)
+
+    @cached_property
+    def coded_impact(self):
+        return impact.coded_impact(self.inputs.impact_rows, self.inputs.code_lookup)
 
 
 def _points(spark, sf_dir):
@@ -65,26 +85,25 @@ def _points(spark, sf_dir):
 
 @query
 def crosswalk_clean(spark, sf_dir):
-    return forecasts.clean_crosswalk(fixtures.basin_inputs(spark, sf_dir).crosswalk)
+    return forecasts.clean_crosswalk(fixtures.crosswalk(spark, sf_dir))
 
 
 @query
 def crosswalk_holes(spark, sf_dir):
-    return fixtures.basin_inputs(spark, sf_dir).crosswalk.agg(
+    return fixtures.crosswalk(spark, sf_dir).agg(
         F.count("*").alias("n_rows"), F.count_if("is_hole").alias("n_holes")
     )
 
 
 @query
 def reach_flagged(spark, sf_dir):
-    inputs = fixtures.basin_inputs(spark, sf_dir)
-    flagged = forecasts.flagged_reaches(inputs.reaches)
-    return forecasts.only_in_crosswalk(flagged, forecasts.clean_crosswalk(inputs.crosswalk))
+    flagged = forecasts.flagged_reaches(fixtures.reaches(spark, sf_dir))
+    return forecasts.only_in_crosswalk(flagged, forecasts.clean_crosswalk(fixtures.crosswalk(spark, sf_dir)))
 
 
 @query
 def gauge_alerts(spark, sf_dir):
-    return fixtures.basin_inputs(spark, sf_dir).gauges.select(
+    return fixtures.gauges(spark, sf_dir).select(
         "gauge_id", "severity", "lat", "lon", "country", "issued", "starts", "ends"
     )
 
@@ -139,9 +158,9 @@ def usable_point_counts(spark, sf_dir):
 
 @query
 def basin_river_alerts(spark, sf_dir):
-    inputs = fixtures.basin_inputs(spark, sf_dir)
     river = forecasts.basin_river_alerts(
-        forecasts.clean_crosswalk(inputs.crosswalk), forecasts.flagged_reaches(inputs.reaches)
+        forecasts.clean_crosswalk(fixtures.crosswalk(spark, sf_dir)),
+        forecasts.flagged_reaches(fixtures.reaches(spark, sf_dir)),
     )
     return regions.summarise(regions.tally(river, ["hybas_id"]), ["hybas_id"]).select(
         "hybas_id", "severity", "model_count"
@@ -150,7 +169,7 @@ def basin_river_alerts(spark, sf_dir):
 
 @query
 def forecast_union(spark, sf_dir):
-    return _alerts(spark, sf_dir).drop("list_rank", "list_seq")
+    return Basins(spark, sf_dir, (8,)).alerts.drop("list_rank", "list_seq")
 
 
 @query
@@ -168,36 +187,29 @@ def gauges_outside(spark, sf_dir):
 
 @query
 def basin_features(spark, sf_dir):
-    inputs = fixtures.basin_inputs(spark, sf_dir, (8,))
-    tallies = basins.tallies(basins.placed_alerts(inputs), inputs.polygons)
-    found = basins.features(tallies, inputs.polygons)
-    return found.select("res", "basin_id", "severity", "model_count", models_text(), "agree")
+    return Basins(spark, sf_dir, (8,)).features.select("res", "basin_id", "severity", "model_count", models_text(), "agree")
 
 
 @query
 def rollup_levels(spark, sf_dir):
-    return _tallies(spark, sf_dir).select("res", "code", "model", "n", "worst")
+    return Basins(spark, sf_dir).tallies.select("res", "code", "model", "n", "worst")
 
 
 @query
 def level_features(spark, sf_dir):
-    inputs = fixtures.basin_inputs(spark, sf_dir)
-    shaped = basins.with_geometry(_features(spark, sf_dir), inputs.polygons)
-    return shaped.select(
+    return Basins(spark, sf_dir).shaped.select(
         "res", "code", "basin_id", "severity", "model_count", models_text(), "agree", "xmin", "ymin", "xmax", "ymax"
     )
 
 
 @query
 def level_forecasts(spark, sf_dir):
-    inputs = fixtures.basin_inputs(spark, sf_dir)
-    rows = regions.level_forecasts(basins.placed_alerts(inputs), basins.base_polygons(inputs.polygons), LEVELS)
-    return rows.select("res", "code", "model", "severity", "riverId")
+    return Basins(spark, sf_dir).forecasts.select("res", "code", "model", "severity", "riverId")
 
 
 @query
 def build_report(spark, sf_dir):
-    return report.basin_report(fixtures.basin_inputs(spark, sf_dir), LEVELS)
+    return report.basin_report(fixtures.basin_inputs(spark, sf_dir, exposure=True), LEVELS)
 
 
 @query
@@ -211,24 +223,21 @@ def point_report(spark, sf_dir):
 
 @query
 def impact_by_region(spark, sf_dir):
-    inputs = fixtures.basin_inputs(spark, sf_dir)
-    coded = impact.coded_impact(inputs.impact_rows, inputs.code_lookup)
-    return impact.region_impact(coded, _tallies(spark, sf_dir), LEVELS)
+    run = Basins(spark, sf_dir, exposure=True)
+    return impact.region_impact(run.coded_impact, run.tallies, LEVELS)
 
 
 @query
 def features_with_impact(spark, sf_dir):
-    found = _features(spark, sf_dir, with_impact=True)
-    return found.select(
+    return Basins(spark, sf_dir, exposure=True).features.select(
         "res", "basin_id", "severity", "model_count", *[F.col("impact")[f].alias(f) for f in IMPACT_FIELDS]
     )
 
 
 @query
 def impact_matched_rows(spark, sf_dir):
-    inputs = fixtures.basin_inputs(spark, sf_dir)
-    coded = impact.coded_impact(inputs.impact_rows, inputs.code_lookup)
-    return impact.matched_rows(coded, _tallies(spark, sf_dir), LEVELS)
+    run = Basins(spark, sf_dir, exposure=True)
+    return impact.matched_rows(run.coded_impact, run.tallies, LEVELS)
 
 
 @query
@@ -283,7 +292,7 @@ def ready_cell_rollup(spark, sf_dir):
 
 @query
 def map_tiles(spark, sf_dir):
-    gauges = fixtures.basin_inputs(spark, sf_dir, (8,)).gauges
+    gauges = fixtures.gauges(spark, sf_dir)
     at = tile_index(F.col("lon"), F.col("lat"), F.lit(9))
     return gauges.select("gauge_id", at["x"].alias("tile_x"), at["y"].alias("tile_y"))
 
@@ -293,13 +302,13 @@ def map_tiles(spark, sf_dir):
 
 @query
 def visible_by_model(spark, sf_dir):
-    shown = serve.visible_by_model(_tallies(spark, sf_dir), [RIVER_MODEL], ["res", "code"])
+    shown = serve.visible_by_model(Basins(spark, sf_dir).tallies, [RIVER_MODEL], ["res", "code"])
     return shown.select("res", "code", "severity", "model_count", models_text(), "agree")
 
 
 @query
 def visible_forecasts(spark, sf_dir):
-    rows = serve.visible_forecasts(_alerts(spark, sf_dir), [RIVER_MODEL])
+    rows = serve.visible_forecasts(Basins(spark, sf_dir, (8,)).alerts, [RIVER_MODEL])
     return rows.select("hybas_id", "model", "severity", "riverId")
 
 
@@ -311,33 +320,32 @@ def zoom_resolution(spark, sf_dir):
 
 @query
 def features_by_resolution(spark, sf_dir):
-    return serve.features_by_resolution(_features(spark, sf_dir), declared=[3, 4, 5, 8])
+    return serve.features_by_resolution(Basins(spark, sf_dir).features, declared=[3, 4, 5, 8])
 
 
 @query
 def model_list(spark, sf_dir):
-    return serve.model_list(_tallies(spark, sf_dir), LEVELS)
+    return serve.model_list(Basins(spark, sf_dir).tallies, LEVELS)
 
 
 @query
 def extent(spark, sf_dir):
-    inputs = fixtures.basin_inputs(spark, sf_dir)
-    return serve.extent(basins.with_geometry(_features(spark, sf_dir), inputs.polygons), ["res"])
+    return serve.extent(Basins(spark, sf_dir).shaped, ["res"])
 
 
 @query
 def feature_detail(spark, sf_dir):
-    return serve.feature_detail(_alerts(spark, sf_dir), "hybas_id", "riverId")
+    return serve.feature_detail(Basins(spark, sf_dir, (8,)).alerts, "hybas_id", "riverId")
 
 
 @query
 def detail_rows(spark, sf_dir):
-    return serve.detail_rows(_alerts(spark, sf_dir), "hybas_id", "riverId")
+    return serve.detail_rows(Basins(spark, sf_dir, (8,)).alerts, "hybas_id", "riverId")
 
 
 @query
 def impact_display(spark, sf_dir):
-    return serve.impact_display(_features(spark, sf_dir, with_impact=True), "res", "basin_id")
+    return serve.impact_display(Basins(spark, sf_dir, exposure=True).features, "res", "basin_id")
 
 
 @query
@@ -367,28 +375,26 @@ def url_components(spark, sf_dir):
 
 @query
 def agreement(spark, sf_dir):
-    return serve.agreement(_features(spark, sf_dir), "res", "code")
+    return serve.agreement(Basins(spark, sf_dir).features, "res", "code")
 
 
 @query
 def lookup_cell(spark, sf_dir):
-    named = _features(spark, sf_dir).withColumn("cell_id", F.col("basin_id").cast("string"))
+    named = Basins(spark, sf_dir).features.withColumn("cell_id", F.col("basin_id").cast("string"))
     return serve.lookup_cell(named, "8000000001").select("res", "cell_id", "severity", "model_count")
 
 
 @query
 def empty_check(spark, sf_dir):
-    return serve.is_empty(_features(spark, sf_dir), LEVELS)
+    return serve.is_empty(Basins(spark, sf_dir).features, LEVELS)
 
 
 # --- documents ---------------------------------------------------------------------------------------
 
 
 def _lines(spark, sf_dir, bound=documents.LIST_BOUND):
-    inputs = fixtures.basin_inputs(spark, sf_dir)
-    shaped = basins.with_geometry(_features(spark, sf_dir, with_impact=True), inputs.polygons)
-    rows = regions.level_forecasts(basins.placed_alerts(inputs), basins.base_polygons(inputs.polygons), LEVELS)
-    return basins.lines(shaped, rows, bound)
+    run = Basins(spark, sf_dir, exposure=True)
+    return basins.lines(run.shaped, run.forecasts, bound)
 
 
 @query

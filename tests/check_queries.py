@@ -16,7 +16,7 @@ if __name__ == "__main__":
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     queries, oracle = contract.queries(), contract.oracle_sql()
     names = sys.argv[2:] or list(queries)
-    spark, con = local_session("8"), connect(sf_dir)
+    spark, con = local_session("8", memory="16g"), connect(sf_dir)
     bad = 0
     for name in names:
         start = time.time()
