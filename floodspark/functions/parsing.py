@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Digits may be grouped by single underscores, as the input's own tools accept.
-_DIGITS = "[0-9]+(_[0-9]+)*"
-INT_PATTERN = f"^[+-]?{_DIGITS}$"
+# Digits may be grouped by single underscores, as the input's own tools accept. Group 1 is the number.
+_DIGITS = "[0-9]+(?:_[0-9]+)*"
+INT_PATTERN = f"^\\s*([+-]?{_DIGITS})\\s*$"
 FLOAT_PATTERN = (
-    f"(?i)^[+-]?(nan|inf|infinity|({_DIGITS}\\.?({_DIGITS})?|\\.{_DIGITS})(e[+-]?{_DIGITS})?)$"
+    f"(?i)^\\s*([+-]?(?:nan|inf|infinity|(?:{_DIGITS}\\.?(?:{_DIGITS})?|\\.{_DIGITS})(?:e[+-]?{_DIGITS})?))\\s*$"
 )
 _BLANKS = " \t\n\r\f\u000b"
-# Every double below this bound fits a BIGINT; NaN and infinity compare above it.
-_BIGINT_BOUND = 9.2e18
+
+
+def _number(text: Column, pattern: str, kind: str) -> Column:
+    # One pass over the text: no match extracts the empty string, which casts to NULL.
+    digits = F.replace(F.regexp_extract(text, pattern, 1), F.lit("_"), F.lit(""))
+    return digits.try_cast(kind)
 
 
 def stripped(text: Column) -> Column:
@@ -23,14 +27,12 @@ def stripped(text: Column) -> Column:
 
 def strict_int(text: Column) -> Column:
     """BIGINT of plain integer text; ``12.0`` is bad."""
-    t = stripped(text)
-    return F.when(t.rlike(INT_PATTERN), F.replace(t, F.lit("_"), F.lit("")).try_cast("bigint"))
+    return _number(text, INT_PATTERN, "bigint")
 
 
 def float_text(text: Column) -> Column:
     """DOUBLE of float text, NaN and infinities included; suffixes such as ``1d`` are bad."""
-    t = stripped(text)
-    return F.when(t.rlike(FLOAT_PATTERN), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
+    return _number(text, FLOAT_PATTERN, "double")
 
 
 def is_finite(number: Column) -> Column:
@@ -45,5 +47,4 @@ def finite(number: Column) -> Column:
 
 def truncated_int(text: Column) -> Column:
     """BIGINT of float text cut toward zero: ``19.99`` gives 19; NaN and infinity are bad."""
-    number = float_text(text)
-    return F.when(F.abs(number) < F.lit(_BIGINT_BOUND), number.cast("bigint"))
+    return float_text(text).try_cast("bigint")

@@ -52,14 +52,14 @@ def strictly_inside(edges: Column, x: Column, y: Column) -> Column:
     def side(e):
         return (e.x2 - e.x1) * (y - e.y1) - (e.y2 - e.y1) * (x - e.x1)
 
-    touches = F.exists(
-        near,
-        lambda e: (side(e) == 0) & (F.least(e.x1, e.x2) <= x) & (x <= F.greatest(e.x1, e.x2)),
-    )
-    crossings = F.filter(
-        near, lambda e: ((e.y1 > y) != (e.y2 > y)) & ((side(e) > 0) == (e.y2 > e.y1))
-    )
-    return (F.size(crossings) % 2 == 1) & ~touches
+    def inside(band):
+        touches = F.exists(
+            band, lambda e: (side(e) == 0) & (F.least(e.x1, e.x2) <= x) & (x <= F.greatest(e.x1, e.x2))
+        )
+        crossings = F.filter(band, lambda e: ((e.y1 > y) != (e.y2 > y)) & ((side(e) > 0) == (e.y2 > e.y1)))
+        return (F.size(crossings) % 2 == 1) & ~touches
+
+    return _bound_to(near, inside)
 
 
 def _bound_to(value: Column, body) -> Column:

@@ -153,7 +153,7 @@ def parse_impact(raw_files: dict[str, DataFrame], files=None) -> DataFrame:
                 *[
                     (
                         F.coalesce(
-                            parsing.finite(parsing.float_text(F.col(fields[f]))).try_cast("decimal(38,6)"),
+                            parsing.float_text(F.col(fields[f])).try_cast("decimal(38,6)"),
                             F.lit(0).cast("decimal(38,6)"),
                         )
                         if f in fields

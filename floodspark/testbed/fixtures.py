@@ -32,7 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    rows = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    # The small test files are one row group each, which would leave all but one core idle. Inputs
+    # with more files than that are read as they are split.
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores and spark.sparkContext.master.startswith("local") else rows
+
+
+def settled(rows: DataFrame, **columns: str) -> DataFrame:
+    """Rows with these columns added, computed once.
+
+    Filters are not pushed below a generator, so predicates on the new columns do not evaluate their
+    formulas a second time; it makes derived text behave as if it had been read from a file.
+    """
+    fields = ", ".join(f"'{name}', {formula}" for name, formula in columns.items())
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.selectExpr(*kept, f"inline(array(named_struct({fields})))")
 
 
 def located(rows: DataFrame, key: str) -> DataFrame:
@@ -41,11 +56,11 @@ def located(rows: DataFrame, key: str) -> DataFrame:
     digits = rows.withColumn("n", F.expr(f"({key} * 101) % {N_CODES}")).selectExpr(
         "*", f"transform(array({powers}), p -> n div p % 9) AS digits"
     )
-    return digits.selectExpr(
-        "*",
-        "array_join(transform(digits, d -> cast(d + 1 AS string)), '') AS pfaf",
-        "aggregate(digits, 0L, (at, d) -> at * 3 + d % 3) AS x",
-        "aggregate(digits, 0L, (at, d) -> at * 3 + d div 3) AS y",
+    return settled(
+        digits,
+        pfaf="array_join(transform(digits, d -> cast(d + 1 AS string)), '')",
+        x="aggregate(digits, 0L, (at, d) -> at * 3 + d % 3)",
+        y="aggregate(digits, 0L, (at, d) -> at * 3 + d div 3)",
     ).drop("digits")
 
 
@@ -141,15 +156,16 @@ def raw_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_reaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text rows, many per reach."""
     source = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "o_totalprice")
-    here = "{} / 64D - 50D"
-    return located(source, "o_custkey").selectExpr(
-        "cast(o_custkey * 7 + 1 AS string) AS comid",
-        "concat(o_orderkey * 31 % 26, '.9') AS ret_per",
-        "CASE WHEN o_orderkey % 23 = 0 THEN 'bad' ELSE cast(o_totalprice AS string) END AS mean",
-        f"CASE WHEN o_orderkey % 29 <> 0 THEN cast({here.format('y')} AS string) END AS lat",
-        f"CASE WHEN o_orderkey % 29 <> 0 THEN cast({here.format('x')} AS string) END AS lon",
-        "o_orderkey AS seq",
-    )
+    placed = located(source, "o_custkey")
+    return settled(
+        placed,
+        comid="cast(o_custkey * 7 + 1 AS string)",
+        ret_per="concat(o_orderkey * 31 % 26, '.9')",
+        mean="CASE WHEN o_orderkey % 23 = 0 THEN 'bad' ELSE cast(o_totalprice AS string) END",
+        lat="CASE WHEN o_orderkey % 29 <> 0 THEN cast(y / 64D - 50D AS string) END",
+        lon="CASE WHEN o_orderkey % 29 <> 0 THEN cast(x / 64D - 50D AS string) END",
+        seq="o_orderkey",
+    ).select("comid", "ret_per", "mean", "lat", "lon", "seq")
 
 
 def raw_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,19 +173,20 @@ def raw_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_basins = table(spark, sf_dir, "customer").select(F.count("*")).scalar()
     source = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
     aimed = located(source.withColumn("k", F.col("event_id") * 7 % n_basins), "k")
-    return aimed.selectExpr(
-        """CASE event_type WHEN 'click' THEN 'ABOVE_NORMAL' WHEN 'signup' THEN ' severe '
-             WHEN 'purchase' THEN 'EXTREME' WHEN 'view' THEN 'NO_FLOODING' ELSE 'UNKNOWN' END AS severity""",
-        "cast((y + event_id * 5 % 16 / 16D + 0.03125D) / 64D - 50D AS string) AS `gaugeLocation.latitude`",
-        """cast((x + CASE WHEN event_id % 50 = 0 THEN 0D ELSE event_id * 13 % 16 / 16D + 0.03125D END)
-             / 64D - 50D AS string) AS `gaugeLocation.longitude`""",
-        "cast(event_id AS string) AS gaugeId",
-        "cast(NULL AS string) AS queriedCountryName",
-        "cast(ts AS string) AS issuedTime",
-        "'' AS `forecastTimeRange.start`",
-        "cast(NULL AS string) AS `forecastTimeRange.end`",
-        "event_id AS seq",
-    )
+    cells = {
+        "severity": """CASE event_type WHEN 'click' THEN 'ABOVE_NORMAL' WHEN 'signup' THEN ' severe '
+             WHEN 'purchase' THEN 'EXTREME' WHEN 'view' THEN 'NO_FLOODING' ELSE 'UNKNOWN' END""",
+        "gaugeLocation.latitude": "cast((y + event_id * 5 % 16 / 16D + 0.03125D) / 64D - 50D AS string)",
+        "gaugeLocation.longitude": """cast((x + CASE WHEN event_id % 50 = 0 THEN 0D
+             ELSE event_id * 13 % 16 / 16D + 0.03125D END) / 64D - 50D AS string)""",
+        "gaugeId": "cast(event_id AS string)",
+        "queriedCountryName": "cast(NULL AS string)",
+        "issuedTime": "cast(ts AS string)",
+        "forecastTimeRange.start": "''",
+        "forecastTimeRange.end": "cast(NULL AS string)",
+        "seq": "event_id",
+    }
+    return settled(aimed, **cells).select(*[f"`{name}`" for name in cells])
 
 
 def code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,5 +247,5 @@ def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = forecasts.flood_points(
         forecasts.flagged_reaches(reaches(spark, sf_dir)), gauges(spark, sf_dir)
     )
-    bad = F.when(F.col("riverId").cast("bigint") % 2 == 0, F.lit("n/a"))
-    return points.withColumns({c: F.coalesce(F.col(c).cast("string"), bad) for c in ("lat", "lon")})
+    text = "coalesce(cast({} AS string), CASE WHEN cast(riverId AS bigint) % 2 = 0 THEN 'n/a' END)"
+    return settled(points, lat=text.format("lat"), lon=text.format("lon"))
