@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from floodspark.functions.planar import PARTS_TYPE, extent_of
@@ -92,12 +92,13 @@ def level_file(folder: str, level: int) -> str:
 
 def _with_row_order(raw: DataFrame, *columns) -> DataFrame:
     """The columns plus ``seq``: the row number in the file, files in path order."""
-    paths = sorted(raw.inputFiles())
     row = F.col("_metadata.row_index")
-    if len(paths) <= 1:
+    if len(raw.inputFiles()) <= 1:
         return raw.select(*columns, row.alias("seq"))
-    # One row per input file, so the list is as long as the scan's own file listing.
-    ranks = raw.sparkSession.createDataFrame(list(enumerate(paths)), "file_rank bigint, file string")
+    # The window holds one row per input file, as many as the scan's own file listing.
+    ranks = raw.select(F.col("_metadata.file_path").alias("file")).distinct().select(
+        "file", F.row_number().over(Window.orderBy("file")).cast("bigint").alias("file_rank")
+    )
     return (
         raw.select(*columns, row.alias("row"), F.col("_metadata.file_path").alias("file"))
         .join(ranks, "file")
