@@ -102,8 +102,9 @@ class S2Cells:
             F.call_function("shiftright", address["j"], shift).alias("j"),
         )
 
-    def cell_number(self, address: Column, level: Column, depth: int) -> Column:
-        """64-bit S2 id; ``depth`` is the deepest level that occurs."""
+    def leaf(self, address: Column, level: Column, depth: int) -> Column:
+        """Face and curve position down to ``depth``, the deepest level that occurs, as the high bits
+        of a 64-bit number. Every enclosing cell's id follows from it by masking."""
         face = address["face"].cast("bigint")
         up = F.lit(depth) - level
         i = F.call_function("shiftleft", address["i"], up)
@@ -123,15 +124,17 @@ class S2Cells:
             )
 
         at = F.aggregate(ij, start, descend)["at"]
-        leaf = F.shiftleft(face, 61).bitwiseOR(F.shiftleft(at, 61 - 2 * depth))
-        # Keep the digits of the cell's own level and set the bit that marks it.
+        return F.shiftleft(face, 61).bitwiseOR(F.shiftleft(at, 61 - 2 * depth))
+
+    def token(self, leaf: Column, level: Column) -> Column:
+        """Id of the enclosing cell of a level in hexadecimal, without trailing zeros."""
+        # Keep the digits of the level and set the bit that marks it.
         span = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(61) - level * 2)
-        return leaf.bitwiseAND(-span).bitwiseOR(F.shiftright(span, 1))
+        number = leaf.bitwiseAND(-span).bitwiseOR(F.shiftright(span, 1))
+        return F.rtrim(F.lpad(F.lower(F.hex(number)), 16, "0"), F.lit("0"))
 
     def key(self, address: Column, level: Column, depth: int) -> Column:
-        """Token: the id in hexadecimal without trailing zeros."""
-        number = F.lpad(F.lower(F.hex(self.cell_number(address, level, depth))), 16, "0")
-        return F.rtrim(number, F.lit("0"))
+        return self.token(self.leaf(address, level, depth), level)
 
     def outlined(self, cells: DataFrame) -> DataFrame:
         cell, size = F.col("cell"), F.pow(F.lit(2.0), F.col("res"))

@@ -48,6 +48,13 @@ def cell_id(scheme: str, resolutions) -> Column:
 
 def cell_forecasts(points: DataFrame, scheme: str, resolutions) -> DataFrame:
     """Every point once per resolution, as rows: (res, cell_id, point columns)."""
+    if scheme == "s2":
+        # The walk along the curve is done once per point; the levels only mask its result.
+        cells, finest = SCHEMES["s2"], max(resolutions)
+        inside = cells.addressed(points, finest).where(F.col("cell").isNotNull())
+        leaves = inside.withColumn("_leaf", cells.leaf(F.col("cell"), F.lit(finest), finest)).drop("cell")
+        every = leaves.withColumn("res", F.explode(F.array(*[F.lit(r) for r in resolutions])))
+        return every.withColumn("cell_id", cells.token(F.col("_leaf"), F.col("res"))).drop("_leaf")
     addressed = addressed_points(points, scheme, resolutions)
     return addressed.withColumn("cell_id", cell_id(scheme, resolutions)).drop("cell")
 

@@ -1,4 +1,4 @@
-"""Build of flagged drainage basins: rivers by crosswalk, gauges by location, then the roll-up."""
+"""Flagged drainage basins: rivers by crosswalk, gauges by location, then the roll-up."""
 
 from __future__ import annotations
 
@@ -7,10 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodspark.functions.fixed_values import BASE_LEVEL, BASIN_LEVELS, FORECAST_FIELDS, KIND_BASINS
+from floodspark.functions.fixed_values import BASE_LEVEL, BASIN_LEVELS
 from floodspark.operators import documents, forecasts, impact, placement, regions
-from floodspark.session import staged
-from floodspark.sources import collections, polygons as polygon_source, text_files
+from floodspark.sources import polygons as polygon_source, text_files
 
 
 @dataclass
@@ -102,33 +101,3 @@ def lines(found: DataFrame, rows: DataFrame, bound: int = documents.LIST_BOUND)
     )
     named = found.withColumn("basin_id", F.col("basin_id").cast("string")).withColumn("cell_id", F.col("basin_id"))
     return documents.feature_lines(named, lists, region, ["cell_id", "basin_id"])
-
-
-def build(
-    spark: SparkSession, inputs: BasinInputs, folder: str, levels=BASIN_LEVELS, base_level: int = BASE_LEVEL,
-) -> None:
-    """Write the collection: tables ``features``, ``tallies``, ``forecasts`` and GeoJSON lines.
-
-    Placed alerts and tallies are used several times, so they are staged as tables; a lost executor
-    then costs a re-read, not a re-join.
-    """
-    stage = f"{folder.rstrip('/')}/stage"
-    shapes = staged(inputs.polygons, stage, "polygons")
-    inputs = BasinInputs(**{**inputs.__dict__, "polygons": shapes})
-    alerts = staged(placed_alerts(inputs, base_level), stage, "alerts")
-    level_tallies = staged(tallies(alerts, shapes, levels, base_level), stage, "tallies")
-    found = features(level_tallies, shapes, inputs.impact_rows, inputs.code_lookup, levels, base_level)
-    shaped = staged(with_geometry(found, shapes), stage, "features")
-    rows = regions.level_forecasts(alerts, base_polygons(shapes, base_level), levels, base_level)
-
-    ids = shaped.select("res", "code", F.col("basin_id").cast("string").alias("cell_id"))
-    collections.write_table(
-        shaped.withColumn("cell_id", F.col("basin_id").cast("string")), folder, "features"
-    )
-    collections.write_table(level_tallies.drop("hybas_id").join(ids, ["res", "code"]), folder, "tallies")
-    collections.write_table(
-        rows.join(ids, ["res", "code"]).select("res", "cell_id", *FORECAST_FIELDS, "list_rank", "list_seq"),
-        folder, "forecasts",
-    )
-    collections.write_lines(lines(shaped, rows), folder)
-    collections.write_manifest(spark, folder, KIND_BASINS, levels)

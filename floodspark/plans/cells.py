@@ -1,20 +1,14 @@
-"""Build of grid cells: flood points binned at several resolutions."""
+"""Grid cells: flood points binned at several resolutions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodspark.functions.fixed_values import (
-    FORECAST_FIELDS, HEX_RESOLUTIONS, KIND_HEX, KIND_S2, S2_LEVELS,
-)
+from floodspark.functions.fixed_values import FORECAST_FIELDS
 from floodspark.functions.planar import extent_of
 from floodspark.operators import documents, grid
-from floodspark.session import staged
-from floodspark.sources import collections
 
-DEFAULT_RESOLUTIONS = {"s2": S2_LEVELS, "hex": HEX_RESOLUTIONS}
-KINDS = {"s2": KIND_S2, "hex": KIND_HEX}
 REGION = ["res", "cell_id"]
 
 
@@ -31,20 +25,3 @@ def lines(found: DataFrame, rows: DataFrame, fields=FORECAST_FIELDS, bound: int
         rows, found.select(*REGION, "model_count"), REGION, order, fields=fields, bound=bound
     )
     return documents.feature_lines(found, lists, REGION, ["cell_id"])
-
-
-def build(spark: SparkSession, points: DataFrame, folder: str, scheme: str, resolutions=None) -> None:
-    """Write the collection of one grid scheme; ``points`` has passed the coordinate filter."""
-    resolutions = tuple(resolutions or DEFAULT_RESOLUTIONS[scheme])
-    stage = f"{folder.rstrip('/')}/stage"
-    points = staged(points, stage, "points")
-    shaped = staged(features(points, scheme, resolutions), stage, "features")
-    rows = grid.cell_forecasts(points, scheme, resolutions)
-    collections.write_table(shaped, folder, "features")
-    per_cell = grid.cell_tallies(points, scheme, resolutions)
-    collections.write_table(
-        per_cell.withColumn("cell_id", grid.cell_id(scheme, resolutions)).drop("cell"), folder, "tallies"
-    )
-    collections.write_table(rows, folder, "forecasts")
-    collections.write_lines(lines(shaped, rows), folder)
-    collections.write_manifest(spark, folder, KINDS.get(scheme, f"{scheme}-telescoping"), resolutions)

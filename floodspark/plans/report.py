@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodspark.functions.fixed_values import BASE_LEVEL, BASIN_LEVELS
-from floodspark.operators import forecasts, grid, impact, placement, regions
+from floodspark.functions.fixed_values import BASE_LEVEL, BASIN_LEVELS, GAUGE_MODEL, RIVER_MODEL
+from floodspark.operators import forecasts, grid, impact, regions
 from floodspark.plans import basins
 
 
@@ -28,23 +28,32 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def basin_report(inputs: basins.BasinInputs, levels=BASIN_LEVELS, base_level: int = BASE_LEVEL) -> DataFrame:
-    """Counters of the basin build."""
+def basin_report(
+    inputs: basins.BasinInputs, levels=BASIN_LEVELS, base_level: int = BASE_LEVEL, alerts: DataFrame | None = None,
+    tallies: DataFrame | None = None, found: DataFrame | None = None,
+) -> DataFrame:
+    """Counters of the basin build. A build passes the tables it has staged; a missing one is derived."""
     crosswalk = forecasts.clean_crosswalk(inputs.crosswalk)
     reaches = forecasts.flagged_reaches(inputs.reaches)
-    river = forecasts.basin_river_alerts(crosswalk, reaches)
     base = basins.base_polygons(inputs.polygons, base_level)
-    placed = placement.place_points(inputs.gauges, base)
-    alerts = basins.placed_alerts(inputs, base_level)
+    if alerts is None:
+        alerts = basins.placed_alerts(inputs, base_level)
+    if tallies is None:
+        tallies = basins.tallies(alerts, inputs.polygons, levels, base_level)
+    if found is None:
+        found = basins.features(tallies, inputs.polygons, inputs.impact_rows, inputs.code_lookup, levels, base_level)
     per_basin = regions.tally(alerts, ["hybas_id"])
-    tallies = basins.tallies(alerts, inputs.polygons, levels, base_level)
-    found = basins.features(tallies, inputs.polygons, inputs.impact_rows, inputs.code_lookup, levels, base_level)
 
-    placement_counts = inputs.gauges.select("seq").join(
-        placed.select("seq", F.lit(1).alias("hit")), "seq", "left"
-    ).agg(
-        F.count("*").alias("gauge_alerts"), F.count("hit").alias("gauges_placed"),
-        (F.count("*") - F.count("hit")).alias("gauges_outside"),
+    placed = per_basin.agg(
+        F.coalesce(F.sum(F.when(F.col("model") == GAUGE_MODEL, F.col("n"))), F.lit(0)).alias("gauges_placed"),
+        F.count_if(F.col("model") == RIVER_MODEL).alias("basins_river"),
+    )
+    gauges = inputs.gauges.agg(F.count("*").alias("gauge_alerts"))
+    # Two one-row tables.
+    placement_counts = gauges.select("gauge_alerts", F.lit(1).alias("one")).join(
+        placed.withColumn("one", F.lit(1)), "one"
+    ).select(
+        "gauge_alerts", "gauges_placed", (F.col("gauge_alerts") - F.col("gauges_placed")).alias("gauges_outside"), "basins_river"
     )
     # Base-level regions that more than one flagged basin shares a code for.
     coded = per_basin.join(base.select("hybas_id", "pfaf"), "hybas_id")
@@ -58,7 +67,6 @@ def basin_report(inputs: basins.BasinInputs, levels=BASIN_LEVELS, base_level: in
         _metrics(inputs.crosswalk.agg(F.count_if("is_hole").alias("crosswalk_holes"))),
         _count(crosswalk, "crosswalk_basins"),
         _count(forecasts.only_in_crosswalk(reaches, crosswalk), "reaches_flooding"),
-        _count(river, "basins_river"),
         _metrics(placement_counts),
         _count(per_basin.select("hybas_id").distinct(), "basins_both"),
         _metrics(shared),

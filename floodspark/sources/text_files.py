@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ def read_csv_text(
     """CSV with a header as all-text columns plus ``seq``.
 
     Header names are trimmed; a byte-order mark is dropped. A missing required column, or an empty
-    file, is an error; a missing optional column is all NULL. ``seq`` is the given column when the
-    input carries its own row number (one BIGINT aggregates faster), else the position in the
+    file, is an error; a missing optional column is all NULL. ``seq`` is the given column when the input
+    carries its own row number (one BIGINT aggregates faster), else the position in the
     files, in path order.
     """
     raw = spark.read.csv(
@@ -49,10 +51,12 @@ def read_csv_text(
     if seq_column:
         order = parsing.strict_int(quoted(seq_column))
     else:
-        order = F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
+        block, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+        # Rows count up within a block, blocks are told apart by where they start in the file.
+        order = (
+            (block.cast("decimal(18,0)") * F.lit(Decimal(2**63)) + row.cast("decimal(20,0)")).cast("decimal(38,0)")
+            if len(raw.inputFiles()) == 1
+            else F.struct(F.col("_metadata.file_path").alias("file"), block.alias("block"), row.alias("row"))
         )
     return raw.select(*columns, order.alias(SEQ))
 

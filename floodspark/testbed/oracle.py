@@ -172,6 +172,26 @@ def _s2_cells(depth: int = 8) -> dict[str, str]:
     return steps
 
 
+def _s2_corner_tables() -> dict[str, str]:
+    """Corners of the distinct cells; none of them touches a pole or the 180th meridian here."""
+    def uv(s):
+        return f"CASE WHEN {s} >= 0.5 THEN (4 * {s} * {s} - 1) / 3 ELSE (1 - 4 * (1 - {s}) * (1 - {s})) / 3 END"
+
+    axes = [("1", "u", "v"), ("-u", "1", "v"), ("-u", "-v", "1"), ("-1", "-v", "-u"), ("v", "-1", "-u"), ("v", "u", "-1")]
+
+    def pick(axis):
+        return "CASE face " + " ".join(f"WHEN {f} THEN {e[axis]}" for f, e in enumerate(axes)) + " END"
+
+    return {
+        "cell": "SELECT DISTINCT res, face, i, j, cell_id FROM celled",
+        "st": "SELECT res, face, cell_id, (i + di) / pow(2, res) AS s, (j + dj) / pow(2, res) AS t "
+              "FROM cell, (SELECT unnest([0, 1]) AS di), (SELECT unnest([0, 1]) AS dj)",
+        "facing": f"SELECT res, face, cell_id, {uv('s')} AS u, {uv('t')} AS v FROM st",
+        "space": f"SELECT res, cell_id, ({pick(0)})::DOUBLE AS px, ({pick(1)})::DOUBLE AS py, ({pick(2)})::DOUBLE AS pz FROM facing",
+        "lonlat": "SELECT res, cell_id, degrees(atan2(py, px)) AS lon, degrees(atan2(pz, sqrt(px * px + py * py))) AS lat FROM space",
+    }
+
+
 _ROLLUP = f"""SELECT res, cell_id, {_label('max(worst)')} AS severity, CAST(sum(n) AS BIGINT) AS model_count,
     string_agg(model, ',' ORDER BY model) AS models, count(*) >= 2 AS agree FROM cell_tally GROUP BY res, cell_id"""
 
@@ -187,7 +207,7 @@ def _s2_tables(levels=(2, 3, 4, 5, 6, 7, 8), depth: int = 8) -> dict[str, str]:
     token = f"rtrim(lpad(lower(to_hex({bits})), 5, '0'), '0')"
     return {
         **_s2_cells(depth),
-        "celled": f"SELECT model, severity, res, {token} AS cell_id FROM curve{depth}, (SELECT unnest({list(levels)}) AS res)",
+        "celled": f"SELECT model, severity, res, face, i >> ({depth} - res) AS i, j >> ({depth} - res) AS j, {token} AS cell_id FROM curve{depth}, (SELECT unnest({list(levels)}) AS res)",
         "cell_tally": _cell_tally("celled"),
     }
 
@@ -358,6 +378,9 @@ def oracle_sql() -> dict[str, str]:
             CAST(round(((tx + 1) / pow(2, res) * 360 - 180) * 1e6) AS BIGINT) AS xmax,
             CAST(round(degrees(atan(sinh(pi() * (1 - 2 * ty / pow(2, res))))) * 1e6) AS BIGINT) AS ymax
             FROM (SELECT DISTINCT res, cell_id, split_part(cell_id, '/', 2)::BIGINT AS tx, split_part(cell_id, '/', 3)::BIGINT AS ty FROM celled)""", **tiles),
+        "s2_outlines": _sql("""SELECT res, cell_id, false AS multi, CAST(round(min(lon) * 1e6) AS BIGINT) AS xmin,
+            CAST(round(min(lat) * 1e6) AS BIGINT) AS ymin, CAST(round(max(lon) * 1e6) AS BIGINT) AS xmax,
+            CAST(round(max(lat) * 1e6) AS BIGINT) AS ymax FROM lonlat GROUP BY res, cell_id""", **s2, **_s2_corner_tables()),
         "hex_outlines": _sql(f"""SELECT res, cell_id, false AS multi,
             CAST(round((cx - edge * cos(radians(30))) * 1e6) AS BIGINT) AS xmin,
             CAST(round(degrees(asin(radians(cy - edge))) * 1e6) AS BIGINT) AS ymin,

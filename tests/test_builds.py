@@ -11,7 +11,7 @@ from floodspark.functions import parsing
 from floodspark.functions.cells import SCHEMES
 from floodspark.functions.planar import extent_of
 from floodspark.operators import documents, forecasts, grid, placement, regions, serve
-from floodspark.plans import basins, cells
+from floodspark.plans import basins, builds
 from floodspark.sources import collections
 from floodspark.testbed import fixtures
 from floodspark.testbed.fixtures import LEVELS
@@ -55,7 +55,7 @@ def read(spark, files, levels, **changes):
 @pytest.fixture(scope="module")
 def built(spark, files, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("basins"))
-    basins.build(spark, read(spark, files, (4, 6, 8)), folder, (4, 6, 8))
+    builds.build_basins(spark, read(spark, files, (4, 6, 8)), folder, (4, 6, 8))
     return folder
 
 
@@ -87,6 +87,8 @@ def test_written_lines_are_geojson(spark, built):
             assert (c["returnPeriodYr"] == "") == (c["model"] == "flood_hub")
     manifest = collections.read_manifest(spark, built).collect()[0]
     assert (manifest.kind, manifest.resolutions) == ("basins-telescoping", [4, 6, 8])
+    counters = {r.metric: r.value for r in spark.read.parquet(f"{built}/report").collect()}
+    assert counters["features"] == len(features) and counters["gauges_placed"] + counters["gauges_outside"] == counters["gauge_alerts"]
 
 
 def test_lines_read_back(spark, built):
@@ -241,7 +243,7 @@ def test_cell_build_through_files(spark, sf_dir, tmp_path):
     raw = fixtures.raw_points(spark, sf_dir)
     points = forecasts.usable_points(raw, parsing.float_text(F.col("lat")), parsing.float_text(F.col("lon")))
     folder = str(tmp_path / "cells")
-    cells.build(spark, points, folder, "s2", (2, 5))
+    builds.build_cells(spark, points, folder, "s2", (2, 5))
     parsed = collections.read_lines(spark, folder)
     assert parsed.where("basin_id IS NOT NULL OR impact IS NOT NULL").count() == 0
     per_level = documents.read_forecast_rows(parsed).groupBy("res").count().collect()
@@ -256,3 +258,56 @@ def test_no_shuffle_partition_gathers_a_hot_region(spark):
     lists = documents.forecast_lists(alerts, counts, ["res", "cell_id"], ["list_seq"], fields=("model",), bound=3)
     plan = lists._jdf.queryExecution().executedPlan().toString()
     assert "part#" in [line for line in plan.splitlines() if "Exchange hashpartitioning" in line][0]
+
+
+# --- skew ----------------------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def tiny_skew_limits(spark):
+    """Adaptive limits small enough for test data to count as skewed; no broadcasts."""
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    yield
+    for key in limits:
+        spark.conf.unset(key)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_a_hot_reach_is_split(spark, tiny_skew_limits):
+    """A third of all basins share one reach; the join splits them and the count stays whole."""
+    crosswalk = spark.range(60000).repartition(8).selectExpr("id AS basin_id", "if(id % 3 = 0, 7, id) AS comid")
+    reaches = spark.range(60000).selectExpr(
+        "id AS comid", "20L AS ret_per", "1D AS mean", "0D AS lat", "0D AS lon", "'extreme' AS severity"
+    )
+    counted = regions.tally(forecasts.basin_river_alerts(crosswalk, reaches), ["hybas_id"]).agg(F.sum("n"))
+    assert "SortMergeJoin(skew=true)" in final_plan(counted)
+    assert counted.collect()[0][0] == 60000
+
+
+def test_a_hot_tile_is_split(spark, tiny_skew_limits):
+    """A third of all gauges stand in one basin."""
+    polygons = spark.range(400).selectExpr(
+        "id AS hybas_id", "id AS seq",
+        "array(array(transform(array(array(0, 0), array(1, 0), array(1, 1), array(0, 1), array(0, 0)), "
+        "o -> array(id % 20 + o[0] + 0D, id div 20 + o[1] + 0D)))) AS parts",
+    ).withColumns(extent_of(F.expr("parts")))
+    points = spark.range(60000).repartition(8).selectExpr(
+        "id AS seq", "if(id % 3 = 0, 5.5D, id % 20 + 0.25D) AS lon", "if(id % 3 = 0, 5.5D, id % 400 div 20 + 0.25D) AS lat"
+    )
+    counted = placement.place_points(points, polygons, sizes=(1.0, 360.0)).agg(F.count("*"))
+    assert "SortMergeJoin(skew=true)" in final_plan(counted)
+    assert counted.collect()[0][0] == 60000
