@@ -35,18 +35,19 @@ def _coarsened(coded: DataFrame, levels) -> DataFrame:
     )
 
 
-def region_impact(coded: DataFrame, flagged: DataFrame, levels=BASIN_LEVELS) -> DataFrame:
-    """Totals per flagged region: (res, code, five fields). Regions without rows do not appear.
+def region_impact(coded: DataFrame, levels=BASIN_LEVELS, flagged: DataFrame | None = None) -> DataFrame:
+    """Totals per region: (res, code, five fields). Regions without rows do not appear.
 
-    ``flagged`` has (res, code). Every level-12 basin under a flagged region counts, whether or not
-    its own base-level basin is flagged.
+    Every level-12 basin under a region counts, whether or not its own base-level basin is flagged.
+    ``flagged`` (res, code) keeps the totals of flagged regions only; a caller that joins the totals
+    to its features needs no second pass over the alerts for that and leaves it out.
     """
     at_level = _coarsened(coded, levels).withColumn("res", F.explode(F.array(*[F.lit(v) for v in levels])))
     keyed = at_level.withColumn("code", F.substring(F.col("prefix"), F.lit(1), F.col("res")))
     totals = keyed.groupBy("res", "code").agg(
         *[F.coalesce(F.sum(f), F.lit(0)).cast("double").alias(f) for f in IMPACT_FIELDS]
     )
-    return totals.join(flagged.select("res", "code"), ["res", "code"], "left_semi")
+    return totals if flagged is None else totals.join(flagged.select("res", "code"), ["res", "code"], "left_semi")
 
 
 def matched_rows(coded: DataFrame, flagged: DataFrame, levels=BASIN_LEVELS) -> DataFrame:

@@ -80,8 +80,7 @@ def features(
     if impact_rows is None or code_lookup is None:
         return found
     coded = impact.coded_impact(impact_rows, code_lookup)
-    flagged = level_tallies.select("res", "code")
-    return impact.with_impact(found, impact.region_impact(coded, flagged, levels))
+    return impact.with_impact(found, impact.region_impact(coded, levels))
 
 
 def with_geometry(found: DataFrame, polygons: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from floodspark.functions.fixed_values import (
 )
 from floodspark.operators import grid, regions
 from floodspark.plans import basins, cells, report
-from floodspark.session import staged
+from floodspark.session import stage_folder, staged
 from floodspark.sources import collections
 
 DEFAULT_RESOLUTIONS = {"s2": S2_LEVELS, "hex": HEX_RESOLUTIONS}
@@ -25,7 +25,7 @@ def build_basins(
     Placed alerts and tallies are used several times, so they are staged as tables; a lost executor
     then costs a re-read, not a re-join.
     """
-    stage = f"{folder.rstrip('/')}/stage"
+    stage = stage_folder(spark, folder)
     shapes = staged(inputs.polygons, stage, "polygons")
     inputs = basins.BasinInputs(**{**inputs.__dict__, "polygons": shapes})
     alerts = staged(basins.placed_alerts(inputs, base_level), stage, "alerts")
@@ -52,7 +52,7 @@ def build_basins(
 def build_cells(spark: SparkSession, points: DataFrame, folder: str, scheme: str, resolutions=None) -> None:
     """Write the collection of one grid scheme; ``points`` has passed the coordinate filter."""
     resolutions = tuple(resolutions or DEFAULT_RESOLUTIONS[scheme])
-    stage = f"{folder.rstrip('/')}/stage"
+    stage = stage_folder(spark, folder)
     points = staged(points, stage, "points")
     shaped = staged(cells.features(points, scheme, resolutions), stage, "features")
     rows = grid.cell_forecasts(points, scheme, resolutions)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,16 +35,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def work_folder(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the one the cluster names, a local one if none is."""
+def stage_folder(spark: SparkSession, output: str) -> str:
+    """Shared folder for the intermediate tables of one build.
+
+    A fresh folder below the one the cluster names in spark.checkpoint.dir; where none is named, a
+    folder below the output, which every executor can reach as well.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = os.path.join(tempfile.gettempdir(), "floodspark-work")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        return f"{configured.rstrip('/')}/floodspark-{uuid.uuid4().hex}"
+    return f"{output.rstrip('/')}/stage"
 
 
 def staged(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -224,7 +224,7 @@ def point_report(spark, sf_dir):
 @query
 def impact_by_region(spark, sf_dir):
     run = Basins(spark, sf_dir, exposure=True)
-    return impact.region_impact(run.coded_impact, run.tallies, LEVELS)
+    return impact.region_impact(run.coded_impact, LEVELS, run.tallies)
 
 
 @query

@@ -156,7 +156,7 @@ def test_impact_files(spark, tmp_path):
     )
     flagged = spark.createDataFrame([(4, "1111"), (4, "1112"), (4, "4444")], "res int, code string")
     coded = impact.coded_impact(rows, lookup)
-    totals = {r.code: r for r in impact.rounded(impact.region_impact(coded, flagged, (4,))).collect()}
+    totals = {r.code: r for r in impact.rounded(impact.region_impact(coded, (4,), flagged)).collect()}
     assert set(totals) == {"1111", "1112"}
     first = totals["1111"]
     assert (first.population, first.buildings, first.highway_km, first.railway_km) == (2, 0, 0.2, 1.0)
@@ -164,7 +164,7 @@ def test_impact_files(spark, tmp_path):
     # Rows, not ids: two of id 1 in one file, one in the other, one of id 2.
     assert impact.matched_rows(coded, flagged, (4,)).collect()[0][0] == 4
     features = flagged.withColumn("severity", F.lit("danger"))
-    kept = {r.code: r.impact for r in impact.with_impact(features, impact.region_impact(coded, flagged, (4,))).collect()}
+    kept = {r.code: r.impact for r in impact.with_impact(features, impact.region_impact(coded, (4,), flagged)).collect()}
     assert kept["4444"] is None and kept["1111"].population == 2
 
 
