@@ -20,19 +20,22 @@ from floodspark.functions.planar import PARTS_TYPE
 LIST_BOUND = 10_000
 
 
+def large_regions(counts: DataFrame, region: list[str], bound: int = LIST_BOUND) -> DataFrame:
+    """(region, parts) of the regions whose list needs more than one part."""
+    return counts.where(F.col("model_count") > bound).select(
+        *region, F.ceil(F.col("model_count") / bound).cast("int").alias("parts")
+    )
+
+
 def forecast_lists(
-    forecasts: DataFrame, counts: DataFrame, region: list[str], order: list[str], fields=FORECAST_FIELDS,
-    bound: int = LIST_BOUND,
+    forecasts: DataFrame, large: DataFrame, region: list[str], order: list[str], fields=FORECAST_FIELDS,
 ) -> DataFrame:
-    """(region, part, parts, forecasts): ordered lists of at most about ``bound`` members.
+    """(region, part, parts, forecasts): ordered lists of about as many members as the bound at most.
 
-    ``counts`` has the region and its ``model_count``. Only regions above the bound take part in
-    the join, so its right side is small, and adaptive execution broadcasts it once it has measured
-    that; a hot region's rows are then never brought together, they go straight to their parts.
+    ``large`` comes from :func:`large_regions`. A build stages it, so its true size, most often next
+    to nothing, decides whether the join broadcasts it and leaves the forecasts where they are; a
+    side too large for that is joined by a shuffle that adaptive execution splits where it is skewed.
     """
-    large = counts.where(F.col("model_count") > bound).select(
-        *region, F.ceil(F.col("model_count") / bound).cast("int").alias("parts")
-    )
     parted = forecasts.join(large, region, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     # A stable spread over the parts; the order columns tell the rows of a region apart.
     part = F.when(F.col("parts") == 1, 0).otherwise(

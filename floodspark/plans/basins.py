@@ -92,11 +92,13 @@ def with_geometry(found: DataFrame, polygons: DataFrame) -> DataFrame:
     return found.join(shapes, ["res", "basin_id"])
 
 
-def lines(found: DataFrame, rows: DataFrame, bound: int = documents.LIST_BOUND) -> DataFrame:
+REGION = ["res", "code"]
+
+
+def lines(found: DataFrame, rows: DataFrame, bound: int = documents.LIST_BOUND, large: DataFrame | None = None) -> DataFrame:
     """GeoJSON lines of features with geometry; ``rows`` are the level forecasts."""
-    region = ["res", "code"]
-    lists = documents.forecast_lists(
-        rows, found.select(*region, "model_count"), region, ["pfaf", "list_rank", "list_seq"], bound=bound
-    )
+    if large is None:
+        large = documents.large_regions(found, REGION, bound)
+    lists = documents.forecast_lists(rows, large, REGION, ["pfaf", "list_rank", "list_seq"])
     named = found.withColumn("basin_id", F.col("basin_id").cast("string")).withColumn("cell_id", F.col("basin_id"))
-    return documents.feature_lines(named, lists, region, ["cell_id", "basin_id"])
+    return documents.feature_lines(named, lists, REGION, ["cell_id", "basin_id"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from floodspark.functions.fixed_values import (
     BASE_LEVEL, BASIN_LEVELS, FORECAST_FIELDS, HEX_RESOLUTIONS, KIND_BASINS, KIND_HEX, KIND_S2, S2_LEVELS,
 )
-from floodspark.operators import grid, regions
+from floodspark.operators import documents, grid, regions
 from floodspark.plans import basins, cells, report
 from floodspark.session import stage_folder, staged
 from floodspark.sources import collections
@@ -43,14 +43,19 @@ def build_basins(
         rows.join(ids, ["res", "code"]).select("res", "cell_id", *FORECAST_FIELDS, "list_rank", "list_seq"),
         folder, "forecasts",
     )
-    collections.write_lines(basins.lines(shaped, rows), folder)
+    large = staged(documents.large_regions(shaped, basins.REGION), stage, "large")
+    collections.write_lines(basins.lines(shaped, rows, large=large), folder)
     collections.write_manifest(spark, folder, KIND_BASINS, levels)
     counters = report.basin_report(inputs, levels, base_level, alerts, level_tallies, shaped)
     counters.coalesce(1).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/report")
 
 
-def build_cells(spark: SparkSession, points: DataFrame, folder: str, scheme: str, resolutions=None) -> None:
-    """Write the collection of one grid scheme; ``points`` has passed the coordinate filter."""
+def build_cells(spark: SparkSession, points: DataFrame, folder: str, scheme: str, resolutions=None, kind: str | None = None) -> None:
+    """Write the collection of one grid scheme; ``points`` has passed the coordinate filter.
+
+    ``kind`` is what the manifest calls the collection; the hexagon kind only selects a viewer's
+    wording, the ids are the scheme's own.
+    """
     resolutions = tuple(resolutions or DEFAULT_RESOLUTIONS[scheme])
     stage = stage_folder(spark, folder)
     points = staged(points, stage, "points")
@@ -61,5 +66,6 @@ def build_cells(spark: SparkSession, points: DataFrame, folder: str, scheme: str
     named = per_cell.withColumn("cell_id", grid.cell_id(scheme, resolutions)).drop("cell")
     collections.write_table(named, folder, "tallies")
     collections.write_table(rows, folder, "forecasts")
-    collections.write_lines(cells.lines(shaped, rows), folder)
-    collections.write_manifest(spark, folder, KINDS.get(scheme, f"{scheme}-telescoping"), resolutions)
+    large = staged(documents.large_regions(shaped, cells.REGION), stage, "large")
+    collections.write_lines(cells.lines(shaped, rows, large=large), folder)
+    collections.write_manifest(spark, folder, kind or KINDS.get(scheme, f"{scheme}-telescoping"), resolutions)

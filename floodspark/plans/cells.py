@@ -19,9 +19,13 @@ def features(points: DataFrame, scheme: str, resolutions) -> DataFrame:
     return shaped.select("*", *[c.alias(n) for n, c in extent_of(F.col("geometry")).items()])
 
 
-def lines(found: DataFrame, rows: DataFrame, fields=FORECAST_FIELDS, bound: int = documents.LIST_BOUND) -> DataFrame:
+def lines(
+    found: DataFrame, rows: DataFrame, fields=FORECAST_FIELDS, bound: int = documents.LIST_BOUND,
+    large: DataFrame | None = None,
+) -> DataFrame:
+    """GeoJSON lines of cell features; ``rows`` are the cell forecasts."""
+    if large is None:
+        large = documents.large_regions(found, REGION, bound)
     order = [name for name in ("list_rank", "list_seq") if name in rows.columns] or list(fields)
-    lists = documents.forecast_lists(
-        rows, found.select(*REGION, "model_count"), REGION, order, fields=fields, bound=bound
-    )
+    lists = documents.forecast_lists(rows, large, REGION, order, fields=fields)
     return documents.feature_lines(found, lists, REGION, ["cell_id"])

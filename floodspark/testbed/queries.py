@@ -279,12 +279,11 @@ REGISTRY["tile_outlines"] = _outlines("tile", TILE_ZOOMS)
 
 @query
 def ready_cell_rollup(spark, sf_dir):
-    """Cell ids that the points bring along; half of the cells have no outline and drop out."""
+    """Cell ids that the points bring along; cells without a river point have no outline and drop out."""
     at = tile_index(F.col("lon"), F.col("lat"), F.lit(6))
-    points = _points(spark, sf_dir).withColumn("ready", at["x"] * 64 + at["y"])
-    outlines = points.select(F.col("ready").cast("string").alias("cell_id")).distinct().where(
-        F.col("cell_id").cast("bigint") % 2 == 0
-    ).withColumn("parts", F.expr("array(array(array(array(0D, 0D))))"))
+    points = _points(spark, sf_dir).withColumn("ready", (at["x"] * 64 + at["y"]).cast("string"))
+    outlines = points.where(F.col("model") == RIVER_MODEL).select(F.col("ready").alias("cell_id")).distinct()
+    outlines = outlines.withColumn("parts", F.expr("array(array(array(array(0D, 0D))))"))
     return grid.ready_cell_features(points, {6: "ready"}, outlines).select(
         "res", "cell_id", "severity", "model_count"
     )

@@ -229,9 +229,8 @@ def test_a_hot_region_is_split_and_whole(spark):
     )
     tallies = regions.tally(alerts, ["res", "cell_id"])
     counts = regions.summarise(tallies, ["res", "cell_id"])
-    lists = documents.forecast_lists(
-        alerts, counts, ["res", "cell_id"], ["list_seq"], fields=("model", "list_seq"), bound=200
-    )
+    large = documents.large_regions(counts, ["res", "cell_id"], bound=200)
+    lists = documents.forecast_lists(alerts, large, ["res", "cell_id"], ["list_seq"], fields=("model", "list_seq"))
     found = lists.select("cell_id", "part", "parts", "forecasts").collect()
     hot = [r for r in found if r.cell_id == "1"]
     assert len(hot) == 14 and all(r.parts == 14 for r in hot) and max(len(r.forecasts) for r in hot) < 300
@@ -255,7 +254,8 @@ def test_no_shuffle_partition_gathers_a_hot_region(spark):
     """The list step regroups on (region, part), not on the region."""
     alerts = spark.range(10).selectExpr("'c' AS cell_id", "3 AS res", "id AS list_seq", "'m' AS model")
     counts = spark.createDataFrame([(3, "c", 10)], "res int, cell_id string, model_count long")
-    lists = documents.forecast_lists(alerts, counts, ["res", "cell_id"], ["list_seq"], fields=("model",), bound=3)
+    large = documents.large_regions(counts, ["res", "cell_id"], bound=3)
+    lists = documents.forecast_lists(alerts, large, ["res", "cell_id"], ["list_seq"], fields=("model",))
     plan = lists._jdf.queryExecution().executedPlan().toString()
     assert "part#" in [line for line in plan.splitlines() if "Exchange hashpartitioning" in line][0]
 
