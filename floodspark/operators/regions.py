@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from floodspark.functions.fixed_values import BASE_LEVEL, BASIN_LEVELS
 from floodspark.functions.severity import severity_of_rank, severity_rank
 
-TALLY = ("n", "worst")
-
 
 def tally(rows: DataFrame, region: list[str]) -> DataFrame:
     """Count and worst rank per (region, model)."""

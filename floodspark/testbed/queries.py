@@ -16,7 +16,7 @@ from floodspark.functions.fixed_values import (
 from floodspark.functions.severity import severity_of_rank, severity_rank, shown_severity_of_rank
 from floodspark.operators import documents, forecasts, grid, impact, placement, regions, serve
 from floodspark.plans import basins, cells, report
-from floodspark.sources import polygons as polygon_source, text_files
+from floodspark.sources import polygons as polygon_source
 from floodspark.testbed import fixtures
 from floodspark.testbed.fixtures import LEVELS
 

@@ -1,7 +1,7 @@
 """Whole builds through files, and properties that hold whatever the data."""
 
 import json
-
+import math
 import random
 
 import pytest
@@ -161,8 +161,6 @@ def test_results_do_not_depend_on_partitions(spark, sf_dir):
 
 def winding_inside(x, y, rings):
     """Brute force by the sum of turns, independent of the crossing rule."""
-    import math
-
     total = 0.0
     for ring in rings:
         for (ax, ay), (bx, by) in zip(ring, ring[1:]):
@@ -174,8 +172,6 @@ def test_placement_equals_brute_force(spark):
     rng = random.Random(5)
     polygons = []
     for i in range(40):
-        import math
-
         cx, cy, size = rng.uniform(-20, 20), rng.uniform(-20, 20), rng.choice([0.01, 0.2, 3, 30])
         angles = sorted(rng.uniform(0, 6.28) for _ in range(9))
         shell = [[cx + size * rng.uniform(0.3, 1) * math.cos(a), cy + size * rng.uniform(0.3, 1) * math.sin(a)] for a in angles]
