@@ -172,25 +172,28 @@ def _prune(rule: list[Literal], x: np.ndarray, bad: np.ndarray, names: list[str]
 
 def learn(
     x: np.ndarray, bad: np.ndarray, names: list[str], most_rules: int = 12, most_literals: int = 4,
-    least_precision: float = 0.95, bins: int = 64,
+    least_precision: float = 0.95, least_rows: int = 3, bins: int = 64,
 ) -> DecisionList:
-    """Sequential covering. Every third row prunes; a rule must reach the precision there to be added."""
+    """Sequential covering. Every third row prunes; a rule is added if it reaches the precision there."""
     prune = np.arange(len(x)) % 3 == 2
     # Thresholds lie half-way between neighbouring quantiles, so that no cut sits on a frequent value.
     cuts = []
     for k in range(x.shape[1]):
         levels = np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1))) if len(x) else np.array([])
         cuts.append((levels[1:] + levels[:-1]) / 2)
-    left, rules = np.ones(len(x), dtype=bool), []
-    while len(rules) < most_rules and (left & bad & ~prune).any():
-        rule = _grow(x[left & ~prune], bad[left & ~prune], names, cuts, most_literals)
+    left, spent, rules = np.ones(len(x), dtype=bool), np.zeros(len(x), dtype=bool), []
+    while len(rules) < most_rules and (left & bad & ~prune & ~spent).any():
+        growing, pruning = left & ~prune & ~spent, left & prune
+        rule = _grow(x[growing], bad[growing], names, cuts, most_literals)
         if not rule:
             break
-        rule, p, n = _prune(rule, x[left & prune], bad[left & prune], names)
-        if p < 2 or p / (p + n) < least_precision:
-            break
-        rules.append(tuple(rule))
-        left &= ~_cover(x, names, rule)
+        rule, p, n = _prune(rule, x[pruning], bad[pruning], names)
+        covered = _cover(x, names, rule)
+        if p and p / (p + n) >= least_precision and (covered & left & bad).sum() >= least_rows:
+            rules.append(tuple(rule))
+            left &= ~covered
+        else:
+            spent |= covered & growing & bad  # what it found is set aside, the search goes on
     return DecisionList(tuple(rules))
 
 
