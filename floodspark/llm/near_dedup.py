@@ -4,10 +4,10 @@ A document is the set of its five-word shingles. Its signature has one register
 functions: the leading zeros of the smallest hash (6 bits) and the 10 bits after its first one. Registers are
 banded, four to a band. Documents of equal sets are one class from the start. In every bucket that several
 classes share, leaders are compared with all members: first by the registers, with the matches that come
-from the compression alone taken off, then by the full sets. More leaders, twice as many each round, follow
+from the compression alone taken off, then by the full sets. More leaders, four times as many each round, follow
 only where a bucket still holds classes of different components, until every pair of it has been compared or
-has become connected. So large groups of near copies cost about a comparison for each member, and no link
-that a bucket holds is lost.
+has become connected. A set that holds too much of its own for any link is left out of the later rounds. So large
+groups of near copies cost about a comparison for each member, and no link that a bucket holds is lost.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^40 = 2.6e-7. Nothing grows on the
 driver but the number of rounds.
@@ -35,6 +35,7 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
+_FACTS = ("cid", "n", "shared", "comp")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.random.default_rng(20_011).integers(0, 2**63, (2, max(REGISTERS, 16)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -177,6 +178,30 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sides.where(link("s_a", "s_b")).select("a", "b")
 
 
+def _shared(cids: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cid, n, shared): size of each set, and how many of its shingles another of these sets holds.
+
+    A link needs three quarters of both sets in common, so a set with too many shingles of its own has no
+    link among these, and members of a large family that only resemble each other are not compared.
+    """
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = np.frombuffer(batch.column("shingles")[i].as_py(), np.int64)
+                cid = np.full(len(found), batch.column("cid")[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(found)], ["cid", "shingle"])
+
+    chosen = sets.join(cids, "cid")
+    alone = (
+        chosen.mapInArrow(unpack, "cid bigint, shingle bigint").groupBy("shingle").agg(F.count("*").alias("k"), F.min("cid").alias("cid"))
+        .where("k = 1").groupBy("cid").agg(F.count("*").alias("alone"))
+    )
+    size = (F.octet_length("shingles") / 8).cast("bigint")
+    return chosen.select("cid", size.alias("n")).join(alone, "cid", "left").select(
+        "cid", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")
+    )
+
+
 def components(labels: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
     """(cid, comp): labels after joining the components that the links (a, b) connect.
 
@@ -226,18 +251,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         _sets(docs, classes.join(wanted, "cid").select("cid", "least.k1", "least.k2"), key, text), folder, "sets"
     )
 
+    # What a member can share with others at most: its whole set, until the first round has been made.
+    facts = wanted.join(classes.select("cid", "n", F.col("n").alias("shared")), "cid")
     open_members, done, turn = members, None, 0
     while not open_members.isEmpty():
+        known = open_members.join(facts, "cid").join(labels, "cid")
         if turn == 0:
-            leaders = open_members.groupBy("bucket").agg(F.min("cid").alias("a"))
+            first = open_members.groupBy("bucket").agg(F.min("cid").alias("cid"))
+            leaders = first.join(facts, "cid").join(labels, "cid")
         else:
-            # About 2^turn leaders of each open bucket, and all of them when it has no more members.
+            # About 4^turn leaders of each open bucket, and all of them when it has no more members.
             draw = F.pmod(F.xxhash64("cid", F.lit(turn)), F.col("size"))
-            leaders = open_members.where((draw < 2**turn) | (F.col("size") <= 2 ** (turn + 1))).select("bucket", F.col("cid").alias("a"))
-        of = labels.toDF("b", "comp_b")
-        pairs = open_members.select("bucket", F.col("cid").alias("b")).join(leaders, "bucket").where("a <> b")
-        apart = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        apart = apart.join(of, "b").join(labels.toDF("a", "comp_a"), "a").where("comp_a <> comp_b").select("a", "b")
+            leaders = known.where((draw < 4**turn) | (F.col("size") <= 4 ** turn * 2))
+        x, y = leaders.select("bucket", *[F.col(c).alias(f"{c}_a") for c in _FACTS]), known.select("bucket", *[F.col(c).alias(f"{c}_b") for c in _FACTS])
+        common, both = F.least("shared_a", "shared_b"), F.col("n_a") + F.col("n_b")
+        possible = (F.col("comp_a") != F.col("comp_b")) & (common * (100 + PERCENT) >= PERCENT * both)
+        pairs = y.join(x, (x["bucket"] == y["bucket"]) & possible)
+        apart = pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
         if done is not None:
             apart = apart.join(done, ["a", "b"], "left_anti")
         tried = staged(apart, folder, f"tried-{turn}")
@@ -248,8 +278,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         # A bucket is open while it holds several components and pairs that were not compared.
         turn += 1
         split = open_members.join(labels, "cid").groupBy("bucket").agg(F.min("comp").alias("c"), F.max("comp").alias("d"))
-        left = open_members.where(F.col("size") > (2 if turn == 1 else 2**turn)).join(split.where("c <> d").select("bucket"), "bucket")
+        left = open_members.where(F.col("size") > 2 * 4 ** (turn - 1)).join(split.where("c <> d").select("bucket"), "bucket")
         open_members = staged(left.select("cid", "bucket", "size"), folder, f"open-{turn}")
+        facts = staged(_shared(open_members.select("cid").distinct(), sets), folder, f"facts-{turn}")
+        open_members = open_members.join(facts.where(F.col("shared") * 100 >= PERCENT * F.col("n")).select("cid"), "cid")
 
     with_comp = classes.join(labels, "cid", "left").select("s1", "s2", "least", F.coalesce("comp", "cid").alias("comp"))
     firsts = with_comp.groupBy("comp").agg(F.min("least").alias("first"))

@@ -255,12 +255,13 @@ def repeated_spans(source: DataFrame, folder: str) -> DataFrame:
     ``source`` has k1, k2 and text.
     """
     stretches = staged(_stretches(source), folder, "stretches")
-    cores = stretches.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    # The two sides of a join on the trigger are tables, so that a frequent one can be split.
+    cores = staged(stretches.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), folder, "cores")
     likely = staged(stretches.join(cores, "core", "left_semi"), folder, "likely")
     whole = staged(
         likely.groupBy("core", "w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "first", "last")).alias("r")), folder, "whole"
     )
-    kinds = whole.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = staged(whole.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"), folder, "kinds")
     decided = likely.join(whole.where("n > 1").select("core", "w1", "w2"), ["core", "w1", "w2"], "left_semi").select("k1", "k2", "first", "last")
     wanted = whole.join(kinds, "core").select("core", "kinds", (F.col("n") > 1).alias("decided"), "r.*")
     pieces = staged(_pieces(source, wanted), folder, "pieces")
