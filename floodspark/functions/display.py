@@ -63,12 +63,15 @@ def square_km(square_m: Column) -> Column:
 def plain_number(x: Column) -> Column:
     """Shortest decimal text of a double, without a trailing ``.0`` and without an exponent for
     the coordinate range."""
-    digits = x.cast("decimal(38,24)").cast("string")
+    # Two scales, so that neither small fractions nor large numbers leave the decimal range.
+    digits = F.coalesce(x.try_cast("decimal(38,24)"), x.try_cast("decimal(38,14)")).cast("string")
     trimmed = F.regexp_replace(F.regexp_replace(digits, "0+$", ""), "\\.$", "")
-    tiny = F.regexp_replace(F.regexp_replace(x.cast("string"), "\\.0E", "E"), "E", "e")
+    short = F.regexp_replace(x.cast("string"), "\\.0E", "E")
     return (
         F.when(x == 0, F.lit("0"))
-        .when(F.abs(x) < 1e-6, tiny)
+        .when(~is_finite(x), x.cast("string"))
+        .when(F.abs(x) < 1e-6, F.regexp_replace(short, "E", "e"))
+        .when(F.abs(x) >= 1e21, F.regexp_replace(short, "E", "e+"))
         .otherwise(trimmed)
     )
 
@@ -91,21 +94,27 @@ def _fill(template: str, **values: Column) -> Column:
     return F.concat(*pieces, F.lit(rest))
 
 
-def deep_link(model: Column, lat: Column, lon: Column, river_id: Column) -> Column:
-    """Link of one forecast into its source application; NULL without a finite coordinate."""
+def deep_link(
+    model: Column, lat: Column, lon: Column, river_id: Column, river: tuple[str, str] = (RIVER_MODEL, RIVER_LINK),
+    gauge: tuple[str, str, str] = (GAUGE_MODEL, GAUGE_LINK, GAUGE_LINK_ID),
+) -> Column:
+    """Link of one forecast into its source application; NULL without a finite coordinate.
+
+    ``river`` and ``gauge`` give model id and link pattern, ``gauge`` also the pattern of its id part.
+    """
     where = {"lat": plain_number(lat), "lon": plain_number(lon)}
-    gauge_page = _fill(GAUGE_LINK, **where)
+    gauge_page = _fill(gauge[1], **where)
     gauge_suffix = F.when(
-        F.coalesce(river_id, F.lit("")) != "", _fill(GAUGE_LINK_ID, id=url_component(river_id))
+        F.coalesce(river_id, F.lit("")) != "", _fill(gauge[2], id=url_component(river_id))
     ).otherwise(F.lit(""))
     usable = is_finite(lat) & is_finite(lon)
-    return F.when(usable & (F.lower(model) == RIVER_MODEL), _fill(RIVER_LINK, **where)).when(
-        usable & (F.lower(model) == GAUGE_MODEL), F.concat(gauge_page, gauge_suffix)
+    return F.when(usable & (F.lower(model) == river[0]), _fill(river[1], **where)).when(
+        usable & (F.lower(model) == gauge[0]), F.concat(gauge_page, gauge_suffix)
     )
 
 
-def model_label(model: Column) -> Column:
-    """Display name: the fixed ones, else underscores to blanks and every word capitalised."""
+def model_label(model: Column, labels: dict[str, str] | None = None) -> Column:
+    """Display name: the given ones, else underscores to blanks and every word capitalised."""
     words = F.split(
         F.replace(model, F.lit("_"), F.lit(" ")), "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])"
     )
@@ -115,7 +124,7 @@ def model_label(model: Column) -> Column:
             w.rlike("^[A-Za-z0-9_]"), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
         ).otherwise(w),
     )
-    return cases(model, MODEL_LABELS, F.array_join(capitals, ""))
+    return cases(model, labels or MODEL_LABELS, F.array_join(capitals, ""))
 
 
 def value_text(field: str, value: Column) -> Column:

@@ -1,10 +1,9 @@
 """GeoJSON features with nested forecast lists, and back.
 
-A list is split into parts of a bounded number of forecasts, so no task ever holds a region that
-attracts a large share of the alerts. A region within the bound, which is nearly every one, is one
-document. Larger ones are several documents with the same id, numbered by ``part`` of ``parts``, and
-every property but the list describes the whole region in each of them. The reader returns features
-and forecasts as rows, so parts need no merging.
+A list is split into parts of about a bounded number of forecasts, so no task ever holds a region that
+attracts a large share of the alerts. Every document says which ``part`` of ``parts`` it is; a region within
+the bound has one. Every property but the list describes the whole region in each part. The reader returns
+features and forecasts as rows, so parts need no merging.
 """
 
 from __future__ import annotations
@@ -27,20 +26,22 @@ def large_regions(counts: DataFrame, region: list[str], bound: int = LIST_BOUND)
     )
 
 
+def _with_parts(rows: DataFrame, large: DataFrame, region: list[str]) -> DataFrame:
+    return rows.join(large, region, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
 def forecast_lists(
     forecasts: DataFrame, large: DataFrame, region: list[str], order: list[str], fields=FORECAST_FIELDS,
 ) -> DataFrame:
-    """(region, part, parts, forecasts): ordered lists of about as many members as the bound at most.
+    """(region, part, parts, forecasts): ordered lists of about as many members as the bound.
 
     ``large`` comes from :func:`large_regions`. A build stages it, so its true size, most often next
     to nothing, decides whether the join broadcasts it and leaves the forecasts where they are; a
     side too large for that is joined by a shuffle that adaptive execution splits where it is skewed.
+    ``order`` should tell rows apart, as a row number does: rows equal in it and in ``fields`` share a part.
     """
-    parted = forecasts.join(large, region, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    # A stable spread over the parts; the order columns tell the rows of a region apart.
-    part = F.when(F.col("parts") == 1, 0).otherwise(
-        F.pmod(F.xxhash64(*order, *fields), F.col("parts")).cast("int")
-    )
+    parted = _with_parts(forecasts, large, region)
+    part = F.pmod(F.xxhash64(*order, *fields), F.col("parts")).cast("int")
     keys = [*region, "part", "parts"]
     # Without this the join's own partitioning would serve the grouping and keep a region together.
     spread = parted.withColumn("part", part).repartition(*[F.col(k) for k in keys])
@@ -78,13 +79,17 @@ def forecast_json(forecast: Column) -> Column:
     return F.when(forecast["returnPeriodYr"].isNull(), without).otherwise(numbered)
 
 
-def feature_lines(features: DataFrame, lists: DataFrame, region: list[str], id_columns: list[str]) -> DataFrame:
-    """(res, line): one GeoJSON feature per line.
+def feature_lines(
+    features: DataFrame, lists: DataFrame, large: DataFrame, region: list[str], id_columns: list[str],
+) -> DataFrame:
+    """(res, line): one GeoJSON feature per line and part.
 
     ``features`` has the region, ``res``, ``id_columns``, severity, model_count, parts (as
-    ``geometry``), multi and optionally ``impact``; ``lists`` comes from :func:`forecast_lists`.
+    ``geometry``), multi and optionally ``impact``; ``lists`` comes from :func:`forecast_lists`. Features
+    are repeated for their parts and go to the lists, which stay where they are.
     """
-    joined = features.join(lists, region)
+    repeated = _with_parts(features, large, region).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    joined = repeated.join(lists, [*region, "part", "parts"])
     head = F.to_json(F.struct("res", *id_columns, "severity", "model_count"))
     open_head = F.substring(head, F.lit(1), F.length(head) - 1)
     members = F.array_join(F.transform("forecasts", forecast_json), ",")
@@ -93,9 +98,7 @@ def feature_lines(features: DataFrame, lists: DataFrame, region: list[str], id_c
         if "impact" in features.columns
         else F.lit("")
     )
-    numbering = F.when(
-        F.col("parts") > 1, F.format_string(',"part":%d,"parts":%d', F.col("part"), F.col("parts"))
-    ).otherwise(F.lit(""))
+    numbering = F.format_string(',"part":%d,"parts":%d', F.col("part"), F.col("parts"))
     line = F.concat(
         F.lit('{"type":"Feature","geometry":'), geometry_json(F.col("geometry"), F.col("multi")),
         F.lit(',"properties":'), open_head, F.lit(',"forecasts":['), members, F.lit("]"),
@@ -111,7 +114,7 @@ _TEXT_FORECAST = ", ".join(
 )
 FEATURE_TYPE = (
     "struct<type: string, geometry: struct<type: string, coordinates: string>, properties: struct<"
-    "res: int, cell_id: string, basin_id: string, severity: string, model_count: bigint, "
+    "res: string, cell_id: string, basin_id: string, severity: string, model_count: bigint, "
     f"forecasts: array<struct<{_TEXT_FORECAST}>>, "
     "impact: struct<population: double, buildings: double, farmland_m2: double, highway_km: double, "
     "railway_km: double>, part: int, parts: int>>"
@@ -127,12 +130,15 @@ def parse_features(features: DataFrame, column: str = "feature") -> DataFrame:
         F.array(F.from_json(text, PARTS_TYPE[len("array<"):-1]))
     )
     return features.select(
-        F.coalesce(feature["properties"]["res"], F.lit(0)).alias("res"),
+        # "4", 4 and 4.0 are the same resolution; only an absent one is the first.
+        F.when(feature["properties"]["res"].isNull(), 0)
+        .otherwise(feature["properties"]["res"].try_cast("double").try_cast("int")).alias("res"),
         *[
             feature["properties"][n].alias(n)
             for n in ("cell_id", "basin_id", "severity", "model_count", "forecasts", "impact")
         ],
         F.coalesce(feature["properties"]["part"], F.lit(0)).alias("part"),
+        F.coalesce(feature["properties"]["parts"], F.lit(1)).alias("parts"),
         multi.alias("multi"), geometry.alias("geometry"),
     )
 
@@ -142,8 +148,11 @@ def parse_lines(lines: DataFrame, column: str = "line") -> DataFrame:
 
 
 def read_feature_rows(parsed: DataFrame) -> DataFrame:
-    """One row per feature, whatever number of parts it was written in."""
-    return parsed.where(F.col("part") == 0).drop("forecasts", "part")
+    """One row per feature, whatever number of parts it was written in, numbered or with gaps."""
+    several = parsed.where(F.col("parts") > 1)
+    first = several.groupBy("res", "cell_id").agg(F.min("part").alias("part"))
+    rows = parsed.where(F.col("parts") <= 1).unionByName(several.join(first, ["res", "cell_id", "part"], "left_semi"))
+    return rows.drop("forecasts", "part", "parts")
 
 
 def read_forecast_rows(parsed: DataFrame) -> DataFrame:

@@ -49,20 +49,20 @@ def _forecast(values: dict[str, Column]) -> list[Column]:
     ]
 
 
-def river_forecasts(reaches: DataFrame, *keep: str) -> DataFrame:
-    """Forecast rows of flagged reaches; ``keep`` names further columns to carry."""
+def river_forecasts(reaches: DataFrame, *keep: str, model: str = RIVER_MODEL) -> DataFrame:
+    """Forecast rows of flagged reaches; ``keep`` names further columns to carry, ``model`` their model id."""
     forecast = _forecast({
-        "model": F.lit(RIVER_MODEL), "severity": F.col("severity"),
+        "model": F.lit(model), "severity": F.col("severity"),
         "riverId": F.col("comid").cast("string"), "returnPeriodYr": F.col("ret_per"),
         "peakDischargeCms": F.col("mean"), "lat": F.col("lat"), "lon": F.col("lon"),
     })
     return reaches.select(*keep, *forecast, F.lit(0).alias("list_rank"))
 
 
-def gauge_forecasts(gauges: DataFrame, *keep: str) -> DataFrame:
+def gauge_forecasts(gauges: DataFrame, *keep: str, model: str = GAUGE_MODEL) -> DataFrame:
     """Forecast rows of parsed gauge alerts."""
     forecast = _forecast({
-        "model": F.lit(GAUGE_MODEL), "severity": F.col("severity"), "riverId": F.col("gauge_id"),
+        "model": F.lit(model), "severity": F.col("severity"), "riverId": F.col("gauge_id"),
         "country": F.col("country"), "issuedTime": F.col("issued"), "startTime": F.col("starts"),
         "endTime": F.col("ends"), "lat": F.col("lat"), "lon": F.col("lon"),
     })
@@ -85,8 +85,8 @@ def all_alerts(river: DataFrame, gauge: DataFrame) -> DataFrame:
 
 
 def flood_points(reaches: DataFrame, gauges: DataFrame) -> DataFrame:
-    """Alerts as points for the grids, coordinates as they came."""
-    return all_alerts(river_forecasts(reaches), gauge_forecasts(gauges)).drop("list_rank", "list_seq")
+    """Alerts as points for the grids, coordinates as they came; rank and order tell equal rows apart."""
+    return all_alerts(river_forecasts(reaches), gauge_forecasts(gauges))
 
 
 def usable_points(points: DataFrame, lat: Column, lon: Column) -> DataFrame:

@@ -25,7 +25,8 @@ def _size(level: Column, sizes) -> Column:
 
 
 def _tile(value: Column, level: Column, sizes) -> Column:
-    return F.floor(value / _size(level, sizes)).cast("int")
+    # BIGINT: a coordinate far off the globe gets a far tile, which holds no polygon.
+    return F.floor(value / _size(level, sizes))
 
 
 def polygon_tiles(polygons: DataFrame, sizes=TILE_SIZES) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodspark.functions.fixed_values import BASE_LEVEL, BASIN_LEVELS
+from floodspark.functions.fixed_values import BASE_LEVEL, BASIN_LEVELS, RETURN_PERIOD_TIERS
 from floodspark.operators import documents, forecasts, impact, placement, regions
 from floodspark.sources import polygons as polygon_source, text_files
 
@@ -22,14 +22,20 @@ class BasinInputs:
     polygons: DataFrame
     impact_rows: DataFrame | None = None
     code_lookup: DataFrame | None = None
+    tiers: tuple = RETURN_PERIOD_TIERS
 
 
 def read_inputs(
     spark: SparkSession, crosswalk_csv: str, reaches_csv: str, gauges_csv: str, basin_folder: str,
-    impact_folder: str | None, levels=BASIN_LEVELS, base_level: int = BASE_LEVEL,
+    impact_folder: str | None, levels=BASIN_LEVELS, base_level: int = BASE_LEVEL, tiers=RETURN_PERIOD_TIERS,
+    labels: dict[str, str] | None = None, min_mean_flow: float | None = None, **csv_options,
 ) -> BasinInputs:
     """Inputs from files. A missing crosswalk, reach file or polygon level is an error; missing
-    gauges, exposure files or code lookup only leave their part out."""
+    gauges, exposure files or code lookup only leave their part out.
+
+    ``tiers`` and ``labels`` replace the severity rules, ``min_mean_flow`` drops smaller rivers, and
+    ``seq_column`` and ``multi_line`` (for cells that hold line breaks) go to the three CSV readers.
+    """
     for path in (crosswalk_csv, reaches_csv, *[polygon_source.level_file(basin_folder, v) for v in {base_level, *levels}]):
         if not text_files.path_exists(spark, path):
             raise FileNotFoundError(path)
@@ -45,10 +51,10 @@ def read_inputs(
             rows = text_files.parse_impact(files)
             lookup = polygon_source.read_code_lookup(spark, basin_folder)
     return BasinInputs(
-        text_files.parse_crosswalk(text_files.read_crosswalk(spark, crosswalk_csv)),
-        text_files.parse_reaches(text_files.read_reaches(spark, reaches_csv)),
-        text_files.parse_gauges(text_files.read_gauges(spark, gauges_csv)),
-        ingested, rows, lookup,
+        text_files.parse_crosswalk(text_files.read_crosswalk(spark, crosswalk_csv, **csv_options)),
+        text_files.parse_reaches(text_files.read_reaches(spark, reaches_csv, **csv_options), tiers, min_mean_flow),
+        text_files.parse_gauges(text_files.read_gauges(spark, gauges_csv, **csv_options), labels),
+        ingested, rows, lookup, tiers,
     )
 
 
@@ -58,7 +64,7 @@ def base_polygons(polygons: DataFrame, base_level: int = BASE_LEVEL) -> DataFram
 
 def placed_alerts(inputs: BasinInputs, base_level: int = BASE_LEVEL) -> DataFrame:
     """(hybas_id, forecast columns, list_rank, list_seq): all alerts with their base-level basin."""
-    reaches = forecasts.flagged_reaches(inputs.reaches)
+    reaches = forecasts.flagged_reaches(inputs.reaches, inputs.tiers)
     river = forecasts.basin_river_alerts(forecasts.clean_crosswalk(inputs.crosswalk), reaches)
     placed = placement.place_points(inputs.gauges, base_polygons(inputs.polygons, base_level))
     inside = inputs.gauges.join(placed, "seq")
@@ -101,4 +107,4 @@ def lines(found: DataFrame, rows: DataFrame, bound: int = documents.LIST_BOUND,
         large = documents.large_regions(found, REGION, bound)
     lists = documents.forecast_lists(rows, large, REGION, ["pfaf", "list_rank", "list_seq"])
     named = found.withColumn("basin_id", F.col("basin_id").cast("string")).withColumn("cell_id", F.col("basin_id"))
-    return documents.feature_lines(named, lists, REGION, ["cell_id", "basin_id"])
+    return documents.feature_lines(named, lists, large, REGION, ["cell_id", "basin_id"])

@@ -19,11 +19,12 @@ KINDS = {"s2": KIND_S2, "hex": KIND_HEX}
 
 def build_basins(
     spark: SparkSession, inputs: basins.BasinInputs, folder: str, levels=BASIN_LEVELS, base_level: int = BASE_LEVEL,
+    list_bound: int = documents.LIST_BOUND,
 ) -> None:
     """Write the collection: tables ``features``, ``tallies``, ``forecasts``, ``report`` and GeoJSON lines.
 
     Placed alerts and tallies are used several times, so they are staged as tables; a lost executor
-    then costs a re-read, not a re-join.
+    then costs a re-read, not a re-join. ``list_bound`` is about how many forecasts a document lists.
     """
     stage = stage_folder(spark, folder)
     shapes = staged(inputs.polygons, stage, "polygons")
@@ -43,14 +44,17 @@ def build_basins(
         rows.join(ids, ["res", "code"]).select("res", "cell_id", *FORECAST_FIELDS, "list_rank", "list_seq"),
         folder, "forecasts",
     )
-    large = staged(documents.large_regions(shaped, basins.REGION), stage, "large")
+    large = staged(documents.large_regions(shaped, basins.REGION, list_bound), stage, "large")
     collections.write_lines(basins.lines(shaped, rows, large=large), folder)
     collections.write_manifest(spark, folder, KIND_BASINS, levels)
     counters = report.basin_report(inputs, levels, base_level, alerts, level_tallies, shaped)
     counters.coalesce(1).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/report")
 
 
-def build_cells(spark: SparkSession, points: DataFrame, folder: str, scheme: str, resolutions=None, kind: str | None = None) -> None:
+def build_cells(
+    spark: SparkSession, points: DataFrame, folder: str, scheme: str, resolutions=None, kind: str | None = None,
+    list_bound: int = documents.LIST_BOUND,
+) -> None:
     """Write the collection of one grid scheme; ``points`` has passed the coordinate filter.
 
     ``kind`` is what the manifest calls the collection; the hexagon kind only selects a viewer's
@@ -58,6 +62,9 @@ def build_cells(spark: SparkSession, points: DataFrame, folder: str, scheme: str
     """
     resolutions = tuple(resolutions or DEFAULT_RESOLUTIONS[scheme])
     stage = stage_folder(spark, folder)
+    if "list_seq" not in points.columns:
+        # Written out with the points, so that equal ones stay apart and the number never changes.
+        points = points.withColumn("list_seq", F.monotonically_increasing_id())
     points = staged(points, stage, "points")
     shaped = staged(cells.features(points, scheme, resolutions), stage, "features")
     rows = grid.cell_forecasts(points, scheme, resolutions)
@@ -66,6 +73,6 @@ def build_cells(spark: SparkSession, points: DataFrame, folder: str, scheme: str
     named = per_cell.withColumn("cell_id", grid.cell_id(scheme, resolutions)).drop("cell")
     collections.write_table(named, folder, "tallies")
     collections.write_table(rows, folder, "forecasts")
-    large = staged(documents.large_regions(shaped, cells.REGION), stage, "large")
+    large = staged(documents.large_regions(shaped, cells.REGION, list_bound), stage, "large")
     collections.write_lines(cells.lines(shaped, rows, large=large), folder)
     collections.write_manifest(spark, folder, kind or KINDS.get(scheme, f"{scheme}-telescoping"), resolutions)

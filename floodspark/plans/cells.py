@@ -28,4 +28,4 @@ def lines(
         large = documents.large_regions(found, REGION, bound)
     order = [name for name in ("list_rank", "list_seq") if name in rows.columns] or list(fields)
     lists = documents.forecast_lists(rows, large, REGION, order, fields=fields)
-    return documents.feature_lines(found, lists, REGION, ["cell_id"])
+    return documents.feature_lines(found, lists, large, REGION, ["cell_id"])

@@ -44,7 +44,7 @@ def stage_folder(spark: SparkSession, output: str) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return f"{configured.rstrip('/')}/floodspark-{uuid.uuid4().hex}"
-    return f"{output.rstrip('/')}/stage"
+    return f"{output.rstrip('/')}/stage-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, folder: str, name: str) -> DataFrame:

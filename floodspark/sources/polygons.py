@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodspark.functions.planar import PARTS_TYPE, extent_of
+from floodspark.sources.file_order import with_file_rank
 
 _POLYGON, _MULTI_POLYGON = 3, 6
 _POINTS = pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))
@@ -92,19 +93,8 @@ def level_file(folder: str, level: int) -> str:
 
 def _with_row_order(raw: DataFrame, *columns) -> DataFrame:
     """The columns plus ``seq``: the row number in the file, files in path order."""
-    row = F.col("_metadata.row_index")
-    if len(raw.inputFiles()) <= 1:
-        return raw.select(*columns, row.alias("seq"))
-    # The window holds one row per input file, as many as the scan's own file listing.
-    ranks = raw.select(F.col("_metadata.file_path").alias("file")).distinct().select(
-        "file", F.row_number().over(Window.orderBy("file")).cast("bigint").alias("file_rank")
-    )
-    return (
-        raw.select(*columns, row.alias("row"), F.col("_metadata.file_path").alias("file"))
-        .join(ranks, "file")
-        .withColumn("seq", F.shiftleft(F.col("file_rank"), 40) + F.col("row"))
-        .drop("file", "file_rank", "row")
-    )
+    ranked = with_file_rank(raw, *columns, F.col("_metadata.row_index").alias("_row"))
+    return ranked.withColumn("seq", F.shiftleft(F.col("file_rank"), 40) + F.col("_row")).drop("file_rank", "_row")
 
 
 def read_level_polygons(spark: SparkSession, folder: str, level: int) -> DataFrame:

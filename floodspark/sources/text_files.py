@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from floodspark.functions import parsing
 from floodspark.functions.fixed_values import IMPACT_FIELDS, IMPACT_FILES, RETURN_PERIOD_TIERS
 from floodspark.functions.severity import gauge_severity, return_period_severity
+from floodspark.sources.file_order import with_file_rank
 
 #: Column that orders rows for "first wins" and "last wins" rules.
 SEQ = "seq"
@@ -33,8 +34,9 @@ def read_csv_text(
     carries its own row number (one BIGINT aggregates faster), else the position in the
     files, in path order.
     """
+    # Files of one input must agree in their header; otherwise cells would land in the wrong column.
     raw = spark.read.csv(
-        path, header=True, inferSchema=False, escape='"', encoding="UTF-8", multiLine=multi_line
+        path, header=True, inferSchema=False, escape='"', encoding="UTF-8", multiLine=multi_line, enforceSchema=False
     )
     present = {name.strip().lstrip("﻿"): name for name in raw.columns}
     missing = [name for name in required if name not in present]
@@ -51,14 +53,18 @@ def read_csv_text(
     if seq_column:
         order = parsing.strict_int(quoted(seq_column))
     else:
-        block, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
-        # Rows count up within a block, blocks are told apart by where they start in the file.
+        # Rows count up within a block, blocks are told apart by where they start in their file, and
+        # files by their path: one number of fixed width, however many files there are.
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+        ranked = with_file_rank(raw, *columns, F.col("_metadata.file_block_start").alias("_block"), row.alias("_row"))
         order = (
-            (block.cast("decimal(18,0)") * F.lit(Decimal(2**63)) + row.cast("decimal(20,0)")).cast("decimal(38,0)")
-            if len(raw.inputFiles()) == 1
-            else F.struct(F.col("_metadata.file_path").alias("file"), block.alias("block"), row.alias("row"))
-        )
-    return raw.select(*columns, order.alias(SEQ))
+            F.col("file_rank").cast("decimal(12,0)") * F.lit(Decimal(2**83))
+            + F.col("_block").cast("decimal(16,0)") * F.lit(Decimal(2**33)) + F.col("_row").cast("decimal(11,0)")
+        ).cast("decimal(38,0)")
+        return ranked.withColumn(SEQ, order).drop("file_rank", "_block", "_row")
+    # A row without a number would have no place, and its key would match nothing.
+    numbered = F.when(order.isNotNull(), order).otherwise(F.raise_error(F.lit(f"{seq_column}: not a whole number")).cast("bigint"))
+    return raw.select(*columns, numbered.alias(SEQ))
 
 
 def read_crosswalk(spark: SparkSession, path, **options) -> DataFrame:
