@@ -279,8 +279,8 @@ def test_equal_rows_and_gaps_in_parts_lose_no_feature(spark):
 
 def test_features_go_to_the_parts_of_their_lists(spark, tiny_skew_limits):
     """No exchange on the bare region comes after the list step."""
-    alerts = spark.range(100).selectExpr("'c' AS cell_id", "3 AS res", "id AS list_seq", "'m' AS model")
-    counts = spark.createDataFrame([(3, "c", 100)], "res int, cell_id string, model_count long")
+    alerts = spark.range(100).selectExpr("cast(id % 2 AS string) AS cell_id", "cast(id % 2 AS int) AS res", "id AS list_seq", "'m' AS model")
+    counts = spark.createDataFrame([(0, "0", 50), (1, "1", 50)], "res int, cell_id string, model_count long")
     large = documents.large_regions(counts, ["res", "cell_id"], bound=3)
     lists = documents.forecast_lists(alerts, large, ["res", "cell_id"], ["list_seq"], fields=("model",))
     repeated = documents._with_parts(counts, large, ["res", "cell_id"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
