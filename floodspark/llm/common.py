@@ -58,7 +58,7 @@ class ChunkCache:
     megabyte of text or so. The cache only saves time; it is emptied when it holds ``bound`` chunks.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], bound: int = 500_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list], bound: int = 1_200_000) -> None:
         self._encode, self._bound, self._known = encode, bound, {}
 
     def chunks(self, text: str) -> list[str]:
