@@ -74,10 +74,13 @@ class ChunkCache:
             if len(self._known) > self._bound:
                 self._known.clear()
             known = self._known
-            new = list({x for chunks in cut for x in chunks if x not in known})
+            found = [list(map(known.get, chunks)) for chunks in cut]
+            holes = [(chunks, row) for chunks, row in zip(cut, found, strict=True) if None in row]
+            new = list({x for chunks, row in holes for x, y in zip(chunks, row, strict=True) if y is None})
             known.update(zip(new, self._encode(new), strict=True))
-            for chunks in cut:
-                yield [known[x] for x in chunks]
+            for chunks, row in holes:
+                row[:] = [known[x] if y is None else y for x, y in zip(chunks, row, strict=True)]
+            yield from found
 
 
 def slices(texts: list, limit: int) -> Iterator[list[int]]:

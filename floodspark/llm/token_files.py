@@ -55,8 +55,9 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTIL
                 for row in part:
                     packed[row] = deltas[row].astype(_WHOLE[width]).tobytes()
                 continue
-            bits = ((deltas[part][:, :, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
-            for row, data in zip(part, np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little"), strict=True):
+            octets = deltas[part].astype("<u4").view(np.uint8).reshape(len(part), block, 4)
+            bits = np.unpackbits(octets, axis=2, bitorder="little")[:, :, :width].reshape(len(part), -1)
+            for row, data in zip(part, np.packbits(bits, axis=1, bitorder="little"), strict=True):
                 packed[row] = data.tobytes()
     blocks = []
     for row in range(count):
@@ -85,8 +86,10 @@ def read_block(segment: bytes, number: int) -> np.ndarray:
     if width in _WHOLE:
         deltas = np.frombuffer(segment, _WHOLE[width], block, at).astype(np.uint32)
     elif width:
-        bits = np.unpackbits(np.frombuffer(segment, np.uint8, size, at), bitorder="little", count=block * width)
-        deltas = bits.reshape(block, width).astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
+        bits = np.zeros((block, 32), dtype=np.uint8)
+        packed = np.frombuffer(segment, np.uint8, size, at)
+        bits[:, :width] = np.unpackbits(packed, bitorder="little", count=block * width).reshape(block, width)
+        deltas = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(block).astype(np.uint32)
     at += size
     positions = np.frombuffer(segment, "<u2", exceptions, at)
     deltas[positions] = np.frombuffer(segment, "<u4", exceptions, at + 2 * exceptions)
@@ -133,11 +136,11 @@ def _encoder(path: str) -> ChunkCache:
             for i in set(range(len(chunks))) - set(joint):
                 found[i] = b"".join(ids_of(piece) for piece, _ in split(chunks[i]))
             end, held, of = 0, [], iter(joint)
-            for piece, (_, stop) in split("".join(chunks[i] for i in joint)) if joint else ():
+            for piece, (_, stop) in split("".join([chunks[i] for i in joint])) if joint else ():
                 if not held:
                     at = next(of)
                     end += len(chunks[at])
-                held.append(ids_of(piece))
+                held.append(known.get(piece) or ids_of(piece))
                 if stop == end:
                     found[at], held = b"".join(held), []
             return found
