@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import re
 import tempfile
 import uuid
@@ -70,7 +72,11 @@ class ChunkCache:
     def __call__(self, texts: list[str]) -> Iterator[list]:
         """For each text the results of its chunks, in order."""
         for group in slices(texts, 1 << 20):
-            cut = [self.chunks(texts[i]) for i in group]
+            yield from self._found([texts[i] for i in group])
+
+    def _found(self, texts: list[str]) -> list[list]:
+        with no_collections():
+            cut = [self.chunks(x) for x in texts]
             if len(self._known) > self._bound:
                 self._known.clear()
             known = self._known
@@ -80,7 +86,19 @@ class ChunkCache:
             known.update(zip(new, self._encode(new), strict=True))
             for chunks, row in holes:
                 row[:] = [known[x] if y is None else y for x, y in zip(chunks, row, strict=True)]
-            yield from found
+            return found
+
+
+@contextlib.contextmanager
+def no_collections() -> Iterator[None]:
+    """Pauses the search for reference cycles where none arise: it would walk the whole cache each time."""
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
 
 
 def slices(texts: list, limit: int) -> Iterator[list[int]]:

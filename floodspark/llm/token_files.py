@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,7 +125,7 @@ def _encoder(path: str) -> ChunkCache:
             if (ids := known.get(piece)) is None:
                 if len(known) > 300_000:  # only saves time
                     known.clear()
-                ids = known[piece] = np.array([x.id for x in tokenizer.model.tokenize(piece)], dtype=np.uint32).tobytes()
+                ids = known[piece] = array("I", [x.id for x in tokenizer.model.tokenize(piece)]).tobytes()
             return ids
 
         def encode(chunks: list[str]) -> list[bytes]:
