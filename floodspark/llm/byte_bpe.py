@@ -13,9 +13,11 @@ byte for byte; unknown ids are an error. Equal rows get equal ids; other columns
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,17 +113,18 @@ class Encoder:
                 size -= 1
         return laid
 
-    def _chunk(self, chunk: str) -> list[int]:
-        ids: list[int] = []
+    def _chunk(self, chunk: str) -> bytes:
+        ids = array("I")
         for match in self._split.findall(chunk):
-            ids += self.piece(match.encode("utf-8"))
-        return ids
+            ids.extend(self.piece(match.encode("utf-8")))
+        return ids.tobytes()
 
     def encode(self, text: str) -> list[int]:
-        return next(self.encode_all([text]))
+        return np.frombuffer(next(self.encode_all([text])), np.uint32).tolist()
 
-    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
-        return (list(chain.from_iterable(parts)) for parts in self.chunks(texts))
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as 32-bit numbers side by side."""
+        return map(b"".join, self.chunks(texts))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -142,8 +145,9 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        ids = encoder(path, pattern)
-        return pa.array(list(ids.encode_all([x or "" for x in texts.to_pylist()])), pa.list_(pa.int32()))
+        ids = list(encoder(path, pattern).encode_all([x or "" for x in texts.to_pylist()]))
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
     return encode(text.cast("string"))
 
@@ -154,6 +158,7 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
         find = encoder(path, pattern)
-        return pa.array([find.decode(x.as_py() or []) for x in lists], pa.binary())
+        every, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
+        return pa.array([find.decode(every[a:b]) for a, b in pairwise(ends)], pa.binary())
 
     return decode(ids)
