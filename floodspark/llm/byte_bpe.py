@@ -158,7 +158,7 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
         find = encoder(path, pattern)
-        every, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
-        return pa.array([find.decode(every[a:b]) for a, b in pairwise(ends)], pa.binary())
+        every, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
+        return pa.array([find.decode(every[a:b].tolist()) for a, b in pairwise(ends)], pa.binary())
 
     return decode(ids)
