@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -36,6 +37,17 @@ def last_merge(text: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+@lru_cache(maxsize=4)
+def tokens_of(path: str) -> dict[int, bytes]:
+    """Bytes of each id; all that decoding needs."""
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
 class Encoder:
     """Ids of whole texts for one file of ranks and one pattern."""
 
@@ -43,9 +55,8 @@ class Encoder:
         import ahocorasick
         import regex
 
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.bytes_of = {v: k for k, v in self.ranks.items()}
+        self.ranks = read_ranks(path)
+        self.bytes_of = tokens_of(path)
         self._split = regex.compile(pattern)
         self._size_of = {rank: len(token) for token, rank in self.ranks.items()}
         self._halves: dict[int, tuple[int, int]] = {}
@@ -153,12 +164,12 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
 
 
 def decoded(ids: Column, path: str, pattern: str) -> Column:
-    """binary: the bytes the ids stand for; empty for NULL."""
+    """binary: the bytes the ids stand for; empty for NULL. Takes what ``encoded`` took; the file is all it needs."""
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        find = encoder(path, pattern)
-        every, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
-        return pa.array([find.decode(every[a:b].tolist()) for a, b in pairwise(ends)], pa.binary())
+        find, every = tokens_of(path).__getitem__, lists.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
+        return pa.array([b"".join(map(find, every[a:b].tolist())) for a, b in pairwise(ends)], pa.binary())
 
     return decode(ids)
