@@ -35,7 +35,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch(spark)}/tokens"
-    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), added_tokens=True)
     return token_files.read_tokens(spark, folder).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )

@@ -17,9 +17,10 @@ empty file set.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,24 +109,49 @@ def read_ids(segment: bytes, start: int = 0, stop: int | None = None) -> np.ndar
     return found[start - first * block : stop - first * block]
 
 
-_TOKENIZERS: dict[str, ChunkCache] = {}
+_TOKENIZERS: dict[tuple[str, bool], Callable[[list[str]], Iterator[list[bytes]]]] = {}
 
 
-def _encoder(path: str) -> ChunkCache:
-    if path not in _TOKENIZERS:
+def _id_bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def _split_at_added(tokenizer) -> Callable[[str], list[str | bytes]]:
+    """Cuts a text as the library does before anything else: texts between added tokens, and ids of these as bytes.
+
+    Tokens that are sought in the raw text go first, then the others; of several at one place the longest counts.
+    """
+    added = tokenizer.get_added_tokens_decoder()
+    passes = []
+    for normalized in (False, True):
+        ids = {x.content: _id_bytes([i]) for i, x in added.items() if x.content and x.normalized == normalized}
+        if ids:
+            passes.append((ids, re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")")))
+
+    def split(text: str) -> list[str | bytes]:
+        found: list[str | bytes] = [text]
+        for ids, pattern in passes:
+            if any(x in text for x in ids):
+                cut = [[x] if isinstance(x, bytes) else pattern.split(x) for x in found]
+                found = [y if isinstance(y, bytes) or not k % 2 else ids[y] for x in cut for k, y in enumerate(x)]
+        return found
+
+    return split
+
+
+def _encoder(path: str, added_tokens: bool) -> Callable[[list[str]], Iterator[list[bytes]]]:
+    if (path, added_tokens) not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
         known: dict[str, bytes] = {}
 
         def ids_of(piece: str) -> bytes:
             if (ids := known.get(piece)) is None:
                 if len(known) > 300_000:  # only saves time
                     known.clear()
-                ids = known[piece] = array("I", [x.id for x in tokenizer.model.tokenize(piece)]).tobytes()
+                ids = known[piece] = _id_bytes([x.id for x in tokenizer.model.tokenize(piece)])
             return ids
 
         def encode(chunks: list[str]) -> list[bytes]:
@@ -146,19 +172,40 @@ def _encoder(path: str) -> ChunkCache:
                     found[at], held = b"".join(held), []
             return found
 
-        _TOKENIZERS[path] = ChunkCache(encode)
-    return _TOKENIZERS[path]
+        cache, split_at_added = ChunkCache(encode), _split_at_added(tokenizer)
+
+        def split_texts(texts: list[str]) -> Iterator[list[bytes]]:
+            cut = [split_at_added(x) for x in texts]
+            found = cache([x for row in cut for x in row if isinstance(x, str)])
+            for row in cut:
+                yield [y for x in row for y in (next(found) if isinstance(x, str) else [x])]
+
+        def whole_texts(texts: list[str]) -> Iterator[list[bytes]]:
+            for text in texts:
+                yield [_id_bytes(tokenizer.encode(text, add_special_tokens=False).ids)]
+
+        # Tokens that look at their surroundings, or at a normalised text, are left to the library.
+        plain = tokenizer.normalizer is None and not any(
+            x.single_word or x.lstrip or x.rstrip for x in tokenizer.get_added_tokens_decoder().values()
+        )
+        if not plain:
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+        _TOKENIZERS[path, added_tokens] = cache if not added_tokens else split_texts if plain else whole_texts
+    return _TOKENIZERS[path, added_tokens]
 
 
 def write_tokens(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_column: str = "doc_id", text: str = "text",
-    segment_ids: int = 1 << 18, partitions: int | None = None,
+    segment_ids: int = 1 << 18, partitions: int | None = None, added_tokens: bool = False,
 ) -> None:
     """Encode whole texts and write ``folder/segments``, in ascending order of the id.
 
     ``tokenizer`` is the path of a byte-level BPE file of the tokenizers library on every executor. A row
     holds ``segment_ids`` ids, or one document where that is longer: its part, the ids of the part before
-    it (``inside``), the payload, and for each document its id and token count.
+    it (``inside``), the payload, and for each document its id and token count. With ``added_tokens``,
+    strings of the file's added tokens in a text become their ids, as in ``Tokenizer.encode``; without, they
+    are ordinary text.
     """
     source = docs.select(F.col(f"`{id_column}`").alias("doc_id"), text_or_empty(text).alias("text"))
     id_type = source.schema["doc_id"].dataType
@@ -167,7 +214,7 @@ def write_tokens(
     ordered = source.repartitionByRange(spread, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, inside = _encoder(tokenizer), 0
+        encode, inside = _encoder(tokenizer, added_tokens), 0
         end = np.uint32(end_id).tobytes()
         held: list[bytes] = []
         names: list = []

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -102,6 +103,37 @@ def test_token_files(spark, tables, docs, empty, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_token_files_added_tokens(spark, tmp_path):
+    """The registered query against an unchanged Tokenizer.encode, on texts that hold an added token."""
+    from tokenizers import Tokenizer
+
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
+    texts = [f"a {end} b", "none", end, end * 2, f"x  {end}\n\n{end}  y z", f"<|endof{end}text|>", f"tab\t{end}'s {end} 12", None, "", f"{LONG}{end} {LONG}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer, want, start = Tokenizer.from_file(path), [], 0
+    for doc_id, text in enumerate(texts):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    assert as_rows(QUERIES["op2_token_files"](spark, str(tmp_path))) == want
+
+
+def test_token_files_library_splits(tmp_path):
+    """Added tokens of every kind, and a normaliser."""
+    from tokenizers import AddedToken, Tokenizer, normalizers
+
+    texts = ["a <x> b<x><xy> <X>c", "<xy>  <w> <w>x <n>", "A<n>b <x", " <x>  "]
+    for k, more in enumerate(([AddedToken("<x>"), AddedToken("<xy>", normalized=False)], [AddedToken("<x>", lstrip=True, rstrip=True), AddedToken("<w>", single_word=True)], [])):
+        tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        tokenizer.add_tokens(more)
+        if not more:
+            tokenizer.normalizer = normalizers.Lowercase()
+        tokenizer.save(path := str(tmp_path / f"{k}.json"))
+        found = [np.frombuffer(b"".join(x), np.uint32).tolist() for x in token_files._encoder(path, True)(texts)]
+        assert found == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_substring_dedup(spark, tables):
     folder, rows = tables
     found = {r[0]: tuple(r[1:]) for r in QUERIES["op3_suffix_array_dedup"](spark, folder).collect()}
