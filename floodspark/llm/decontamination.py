@@ -4,7 +4,8 @@ The index holds postings of terms: document, position, and the words around the
 window of a benchmark item reaches. Only terms that are the rarest of some window are stored, because a
 window occurs exactly where a posting of its rarest term, moved back by the term's offset, is followed by
 the window's words. Rarity is counted over all texts. Phrase search joins windows and postings on the term;
-proximity search joins the posting lists of an item's rarest terms on the document.
+proximity search joins groups of terms and postings on the group's rarest term, and asks for the others among
+the words around the posting. In both, the words kept with a posting stand in for intersecting posting lists.
 
 DataFrame operations only. Edge cases: NULL and empty texts have no words; an item without words is never
 found; repeated rows get equal results; equal windows of several items count for each; empty tables give no
@@ -15,12 +16,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodspark.llm.common import row_keys, scratch, staged
 
 WINDOW = 10
+#: Words on either side of a posting that are kept at least; no proximity search can reach farther.
+SPAN = 20
 #: Terms in one broadcast table; more terms are looked up in several passes over the texts.
 TERMS_IN_BLOCK = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,10 +56,13 @@ def _blocks(spark, terms: DataFrame) -> list[DataFrame]:
 
 @dataclass(frozen=True)
 class Postings:
-    """The index: (term, k1, k2, position, before, after) and the corpus counts of all item terms."""
+    """The index: (term, k1, k2, position, before, context), the corpus counts of all asked terms, and the
+    indexed terms; ``span`` words on either side of a posting are in its context."""
 
     table: DataFrame
     counts: DataFrame
+    terms: DataFrame
+    span: int
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -82,13 +88,15 @@ def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFr
     return found
 
 
-def build_index(docs: DataFrame, rarest: DataFrame, counts: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> Postings:
+def build_index(docs: DataFrame, rarest: DataFrame, counts: DataFrame, folder: str, key: str = "doc_id", text: str = "text", span: int = SPAN) -> Postings:
     """Postings of the chosen terms in all texts, stored below ``folder``.
 
-    Beside the position a posting keeps the words up to the farthest start and end of a window around it.
+    Beside the position a posting keeps the words up to the farthest start and end of a window around it,
+    and ``span`` words on either side at least.
     """
     reach = rarest.groupBy("term").agg(
-        F.max("offset").alias("back"), F.max(F.size("window") - F.col("offset")).alias("ahead")
+        F.greatest(F.max("offset"), F.lit(span)).alias("back"),
+        F.greatest(F.max(F.size("window") - F.col("offset")), F.lit(span + 1)).alias("ahead"),
     )
     k1, k2 = row_keys(key, text)
     split = docs.select(k1.alias("k1"), k2.alias("k2"), words(F.col(f"`{text}`")).alias("w"))
@@ -101,7 +109,7 @@ def build_index(docs: DataFrame, rarest: DataFrame, counts: DataFrame, folder: s
             F.slice("w", start + 1, F.col("position") - start + F.col("ahead")).alias("context"),
         )
         found = part if found is None else found.unionByName(part)
-    return Postings(staged(found, folder, "postings"), counts)
+    return Postings(staged(found, folder, "postings"), counts, rarest.select("term").distinct(), span)
 
 
 def phrase_matches(index: Postings, rarest: DataFrame) -> DataFrame:
@@ -114,23 +122,81 @@ def phrase_matches(index: Postings, rarest: DataFrame) -> DataFrame:
     )
 
 
+def _near(span: int) -> Column:
+    """Whether all ``terms`` stand within ``span`` words of a posting."""
+    start = F.greatest(F.col("before") - span, F.lit(0))
+    around = F.slice("context", start + 1, F.col("before") - start + span + 1)
+    return F.size(F.array_except("terms", around)) == 0
+
+
+def group_leads(groups: DataFrame, counts: DataFrame) -> DataFrame:
+    """(group, term, n, terms): the rarest term of each group, the first of equals, and all its terms."""
+    counted = groups.select("group", "term").distinct().join(counts, "term", "left")
+    return counted.groupBy("group").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("lead"), F.collect_set("term").alias("terms")
+    ).select("group", "lead.term", "lead.n", "terms")
+
+
 def proximity_matches(index: Postings, groups: DataFrame, span: int) -> DataFrame:
     """(group, k1, k2): texts that hold all terms of a group within ``span`` words of its rarest one.
 
-    ``groups`` has ``group`` and ``term``. The list of the rarest term leads, the others are intersected
-    with it. Terms outside the index are found nowhere.
+    ``groups`` has ``group`` and ``term``. Only the rarest term must be in the index, as the others are
+    sought around its postings; a group for which that is not so is an error and not left out, unless no
+    text holds its rarest term.
     """
-    counted = groups.select("group", "term").distinct().join(index.counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy("n", "term")))
-    needed = groups.groupBy("group").agg(F.countDistinct("term").alias("terms"))
-    postings = index.table.select("term", "k1", "k2", "position").distinct()
-    lead = ranked.where("r = 1").join(postings, "term").select("group", "k1", "k2", F.col("position").alias("lead"))
-    others = ranked.where("r > 1").select("group", "term").join(postings, "term")
-    near = lead.join(others, ["group", "k1", "k2"]).where(F.abs(F.col("position") - F.col("lead")) <= span)
-    full = near.groupBy("group", "k1", "k2", "lead").agg(F.countDistinct("term").alias("found"))
-    alone = lead.join(needed.where("terms = 1"), "group").select("group", "k1", "k2")
-    several = full.join(needed, "group").where(F.col("found") == F.col("terms") - 1).select("group", "k1", "k2")
-    return several.unionByName(alone).distinct()
+    if span > index.span:
+        raise ValueError(f"the index keeps {index.span} words around a posting, not {span}")
+    known = index.terms.withColumn("indexed", F.lit(True))
+    absent = index.counts.where("n = 0").select("term")
+    led = group_leads(groups, index.counts).join(absent, "term", "left_anti").join(known, "term", "left")
+    message = F.concat(F.lit("the index has no postings of the rarest term of a group: "), F.col("term"))
+    sure = led.where(F.when(F.col("indexed"), True).otherwise(F.raise_error(message).cast("boolean")))
+    return index.table.join(sure, "term").where(_near(span)).select("group", "k1", "k2").distinct()
+
+
+@dataclass(frozen=True)
+class ItemIndex:
+    """(item, window), (window, term, offset), the index with both, and the folder for what is made of it."""
+
+    windows: DataFrame
+    rarest: DataFrame
+    postings: Postings
+    folder: str
+
+
+def item_index(
+    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
+    item_text: str = "text", size: int = WINDOW, span: int = SPAN, groups: DataFrame | None = None,
+) -> ItemIndex:
+    """Index of the terms that phrase search for the windows of items needs, and of those that proximity
+    search for them and for further ``groups`` (group, term) needs."""
+    folder = scratch(docs.sparkSession)
+    windows = staged(item_windows(items, item_key, item_text, size), folder, "windows")
+    distinct = windows.select("window").distinct()
+    terms = distinct.select(F.explode("window").alias("term"))
+    terms = (terms if groups is None else terms.unionByName(groups.select("term"))).distinct()
+    found = terms.join(term_counts(docs, terms, text), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = staged(found, folder, "counts")
+    rarest = staged(rarest_terms(distinct, counts), folder, "rarest")
+    chosen = rarest
+    if groups is not None:
+        leads = group_leads(groups, counts).where("n > 0")
+        chosen = rarest.unionByName(leads.select(F.array("term").alias("window"), "term", F.lit(0).alias("offset")))
+    return ItemIndex(windows, rarest, build_index(docs, chosen, counts, folder, key, text, span), folder)
+
+
+def _items(matches: DataFrame, windows: DataFrame, name: str) -> DataFrame:
+    """(k1, k2, name): the sorted items of the matched windows."""
+    return (
+        matches.select("k1", "k2", "window").distinct().join(windows, "window")
+        .groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias(name))
+    )
+
+
+def _hits(matches: DataFrame, windows: DataFrame) -> DataFrame:
+    ranges = F.struct(F.col("start"), (F.col("start") + F.size("window")).alias("stop"))
+    hits = matches.groupBy("k1", "k2").agg(F.collect_set(ranges).alias("hits"))
+    return hits.join(_items(matches, windows, "items"), ["k1", "k2"])
 
 
 def contaminated(
@@ -141,21 +207,17 @@ def contaminated(
 
     ``hits`` are the (start, stop) word ranges of the occurrences, ``items`` the sorted items they come from.
     """
-    folder = scratch(docs.sparkSession)
-    windows = staged(item_windows(items, item_key, item_text, size), folder, "windows")
-    distinct = windows.select("window").distinct()
-    terms = distinct.select(F.explode("window").alias("term")).distinct()
-    counts = staged(term_counts(docs, terms, text), folder, "counts")
-    rarest = staged(rarest_terms(distinct, counts), folder, "rarest")
-    index = build_index(docs, rarest, counts, folder, key, text)
-    matches = staged(phrase_matches(index, rarest), folder, "matches")
-    ranges = F.struct(F.col("start"), (F.col("start") + F.size("window")).alias("stop"))
-    hits = matches.groupBy("k1", "k2").agg(F.collect_set(ranges).alias("hits"))
-    found = (
-        matches.select("k1", "k2", "window").distinct().join(windows, "window")
-        .groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    )
-    return hits.join(found, ["k1", "k2"])
+    index = item_index(docs, items, key, text, item_key, item_text, size, span=0)
+    return _hits(staged(phrase_matches(index.postings, index.rarest), index.folder, "matches"), index.windows)
+
+
+def window_proximity(index: ItemIndex, span: int) -> DataFrame:
+    """(k1, k2, position, window): postings of the rarest term of a window within ``span`` words of which
+    all its words stand, in any order and with any between them."""
+    if span > index.postings.span:
+        raise ValueError(f"the index keeps {index.postings.span} words around a posting, not {span}")
+    led = index.rarest.withColumn("terms", F.array_distinct("window"))
+    return index.postings.table.join(led, "term").where(_near(span)).select("k1", "k2", "position", "window")
 
 
 def hit_words(hits: Column) -> Column:
@@ -177,12 +239,23 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(f"`{key}`").alias("doc_id"), count.cast("bigint").alias("n_words"), k1.alias("k1"), k2.alias("k2"))
 
 
-def report(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
-    """Every document with its words, hit words and items."""
+def report(docs: DataFrame, items: DataFrame, span: int = SPAN, **columns) -> DataFrame:
+    """Every document with its words, hit words and items, and its proximity matches.
+
+    ``n_near`` counts the words around which, within ``span`` words, all words of a window stand;
+    ``near_items`` are the sorted items of those windows. Where ``span`` is at least a window less one word,
+    every exact match is also one by proximity.
+    """
     key, text = columns.get("key", "doc_id"), columns.get("text", "text")
-    found = contaminated(docs, items, **columns)
-    joined = word_counts(docs, key, text).join(found, ["k1", "k2"], "left")
+    index = item_index(docs, items, **columns, span=span)
+    found = _hits(staged(phrase_matches(index.postings, index.rarest), index.folder, "matches"), index.windows)
+    near = staged(window_proximity(index, span), index.folder, "near")
+    places = near.groupBy("k1", "k2").agg(F.countDistinct("position").alias("n_near"))
+    close = places.join(_items(near, index.windows, "near_items"), ["k1", "k2"])
+    joined = word_counts(docs, key, text).join(found, ["k1", "k2"], "left").join(close, ["k1", "k2"], "left")
+    none = F.array().cast("array<string>")
     return joined.select(
         "doc_id", "n_words", F.coalesce(hit_words(F.col("hits")), F.lit(0)).cast("bigint").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("items", none).alias("items"), F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
+        F.coalesce("near_items", none).alias("near_items"),
     )

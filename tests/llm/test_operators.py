@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from floodspark.llm import (
     byte_bpe, decontamination, language_id, near_dedup, quality_rules, sharding, substring_dedup, token_files, url_filter, warc,
 )
+from floodspark.llm.common import row_keys
 from floodspark.llm.queries import QUERIES, RULES
 from tests.llm import brute
 
@@ -315,6 +316,35 @@ def test_proximity(spark, docs, tmp_path):
     assert {r.group: r["count"] for r in found} == {"g": 3}
 
 
+def test_proximity_of_items(spark):
+    """Windows in another order and with words between, on the index that the report builds."""
+    item = "alpha beta gamma delta beta"
+    texts = [item, "delta x x beta gamma y alpha", "alpha " + "x " * 30 + "beta gamma delta", "alpha beta gamma", "beta " * 50, None, "x " * 40 + "gamma beta alpha z delta"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item), (2, "alpha absent"), (3, "zeta")], "item_id int, text string")
+    found = {r.doc_id: (r.n_hit, list(r["items"]), r.n_near, list(r.near_items)) for r in decontamination.report(docs, items).collect()}
+    none = (0, [], 0, [])
+    assert found == {0: (5, ["1"], 1, ["1"]), 1: (0, [], 1, ["1"]), 2: none, 3: none, 4: none, 5: none, 6: (0, [], 1, ["1"])}
+
+
+def test_proximity_of_groups_on_item_index(spark):
+    """Groups of terms that are the rarest of no window are found when they are asked for, else an error."""
+    docs = spark.createDataFrame([(0, "rare a b b a"), (1, "a x x x b"), (2, "a " + "x " * 30 + "b a"), (3, "a only")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "rare a b")], "item_id int, text string")
+    groups = spark.createDataFrame([("ab", "a"), ("ab", "b"), ("new", "x"), ("new", "only"), ("one", "only"), ("no", "a"), ("no", "gone")], "group string, term string")
+    ids = docs.select("doc_id", *[c.alias(n) for c, n in zip(row_keys(), ("k1", "k2"), strict=True)])
+    index = decontamination.item_index(docs, items, groups=groups).postings
+    found = decontamination.proximity_matches(index, groups, 5).join(ids, ["k1", "k2"]).select("group", "doc_id")
+    assert as_rows(found) == [("ab", 0), ("ab", 1), ("ab", 2), ("one", 3)]
+    bare = decontamination.item_index(docs, items).postings
+    with pytest.raises(Exception, match="no postings of the rarest term"):
+        decontamination.proximity_matches(bare, groups.where("group = 'ab'"), 5).collect()
+    with pytest.raises(ValueError):
+        decontamination.proximity_matches(bare, groups, 21)
+    rare = spark.createDataFrame([("r", "rare"), ("r", "b")], "group string, term string")
+    assert decontamination.proximity_matches(bare, rare, 2).count() == 1 and decontamination.proximity_matches(bare, rare, 1).count() == 0
+
+
 def test_warc(spark, empty):
     html = "<html><head><title>no</title></head><body><!-- x --><p>One &amp; two</p><script>a<b</script><div>three<br>four"
     pages = spark.createDataFrame([(1, "http://a.b/", html), (2, None, None), (2, None, None), (3, "u", "")], "page_id bigint, url string, html string")
