@@ -7,9 +7,9 @@ trigger (dictionary) and the text from the trigger on (parse).
 
 1. Triggers whose 64 bytes occur once drop out: no window of theirs can repeat.
 2. Stretches that occur as a whole several times are repeated, all windows of them.
-3. What is left is put in corpus order: the suffixes of the distinct phrases are sorted (suffix array of the
-   dictionary, read backwards from the trigger), the parses are sorted, and a window's place is the pair of
-   both ranks at its split. Windows that agree for 400 bytes stand together; common-prefix lengths of
+3. What is left is sorted for each trigger, which stands in for suffix arrays of a dictionary and of a parse:
+   the distinct phrases, read backwards from the trigger, and the parses are sorted as whole strings, and a
+   window's place is the pair of both ranks at its split. Windows that agree for 400 bytes stand together; common-prefix lengths of
    neighbours tell where.
 4. Triggers with more than ``IN_ONE_TASK`` different stretches, say of a passage that a third of all texts
    share, are not sorted in one task: their windows are counted by 128-bit names.
