@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 2048
@@ -146,25 +146,33 @@ def train(x: np.ndarray, langs: list[str], families: dict[str, tuple[str, ...]]
     return LanguageModel(tuple(tuple(groups[n]) for n in names), weights, pairs)
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most_rows: int = 4000) -> LanguageModel:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most_rows: int = 4000, least_rows: int = 50) -> LanguageModel:
     """Model from the documents that have a language and letters.
 
-    ``most_rows`` bounds the documents that are used (those of the smallest hashes of their key); only
-    their feature vectors, 8 KB each, reach the driver.
+    ``most_rows`` bounds the documents that are used. Every language has an equal share of it, or
+    ``least_rows`` where there are so many languages that the share is smaller, taken by the smallest hashes
+    of the key among its own documents, so that no language crowds out another. Only feature vectors, 8 KB
+    each, reach the driver; the languages are few (tens to a few hundred).
     """
-    known = docs.where(F.col(f"`{lang}`").isNotNull())
-    order = F.xxhash64(F.col(f"`{key}`"))
-    bound = known.select(order.alias("h")).orderBy("h").limit(most_rows).agg(F.max("h")).first()[0]
+    order, name = F.xxhash64(F.col(f"`{key}`")), F.col(f"`{lang}`").cast("string")
+    known = docs.where(name.isNotNull()).select(order.alias("h"), name.alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
+    languages = known.select("lang").distinct().count()
+    share = max(most_rows // max(languages, 1), least_rows)
+    first = Window.partitionBy("lang").orderBy("h")
+    bounds = (
+        known.select("lang", "h").withColumn("r", F.row_number().over(first)).where(F.col("r") <= share)
+        .groupBy("lang").agg(F.max("h").alias("bound"))
+    )
 
     @F.arrow_udf("binary")
     def features(texts: pa.Array) -> pa.Array:
         return pa.array([vector(x).tobytes() if has_letters(x) else None for x in texts.to_pylist()], pa.binary())
 
-    rows = [] if bound is None else (
-        known.where(order <= bound)
-        .select(order.alias("h"), F.col(f"`{lang}`").cast("string").alias("lang"), features(F.col(f"`{text}`").cast("string")).alias("x"))
-        .where(F.col("x").isNotNull()).limit(most_rows).collect()
-    )
+    # Rows of equal keys may pass the bound, and are told apart by their texts.
+    tied = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    chosen = known.join(F.broadcast(bounds), "lang").where(F.col("h") <= F.col("bound"))
+    chosen = chosen.withColumn("r", F.row_number().over(tied)).where(F.col("r") <= share)
+    rows = chosen.select("h", "lang", features("text").alias("x")).where(F.col("x").isNotNull()).collect()
     rows = sorted(rows, key=lambda r: (r["h"], r["lang"], r["x"]))
     x = np.frombuffer(b"".join(r["x"] for r in rows), dtype=np.float32).reshape(-1, WIDTH)
     return train(x, [r["lang"] for r in rows])

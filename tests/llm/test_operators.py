@@ -235,6 +235,13 @@ def test_language_held_out(spark, sf_dir, docs, empty):
     assert language_id.fit(empty).predict("some text") == ("und", 0.0)
 
 
+def test_language_rare(spark):
+    """A language of a few rows is trained beside one that could take the whole bound."""
+    rows = [(i, f"the house and the garden number {i}", "en") for i in range(3000)] + [(3000 + i, f"talo ja puutarha on kaunis {i}", "fi") for i in range(4)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), most_rows=40)
+    assert model.predict("puutarha on talo")[0] == "fi" and model.predict("the garden house")[0] == "en"
+
+
 def test_sharding(spark, tables, docs, empty):
     folder, rows = tables
     found = QUERIES["op7_sharding"](spark, folder).toPandas()
