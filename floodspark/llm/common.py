@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import gc
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,15 +15,19 @@ from pyspark.sql import functions as F
 def scratch(spark: SparkSession) -> str:
     """A fresh folder below the shared one the cluster names in spark.checkpoint.dir.
 
-    Where none is set, as in tests on one machine, the setting is made once to a temporary folder.
+    Where none is named, it lies below the warehouse, which driver and executors share as well. No setting is changed.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="floodspark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Takes away a table that a later one has replaced."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, outlives executors."""
     path = f"{folder}/{name}"
@@ -49,7 +52,7 @@ def row_keys(id_column: str = "doc_id", text_column: str = "text") -> tuple[Colu
 
 #: A blank after something that is not white space. Patterns of byte-level BPE never match across such a
 #: place from the left, so what lies between two of them can be encoded on its own.
-_CUT = re.compile(r"(?<=\S)(?= )")
+CUT = re.compile(r"(?<=\S)(?= )")
 _IRREGULAR = re.compile(r"\s ")
 
 
@@ -65,7 +68,7 @@ class ChunkCache:
 
     def chunks(self, text: str) -> list[str]:
         if _IRREGULAR.search(text):
-            return _CUT.split(text)
+            return CUT.split(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if rest else [first]
 

@@ -48,6 +48,13 @@ def _plain_text(html: str) -> str:
 
 _CRLF = "chr(13) || chr(10)"
 
+# The published reflected polynomial, bit by bit.
+_CRC = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(s) + 1), i -> ascii(s[i])::BIGINT)), "
+    "lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], "
+    "lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)"
+).replace("i -> ", "lambda i: ")
+
 ORACLE = {
     "op8_near_dedup": f"""
 WITH RECURSIVE {_SHINGLES}
@@ -91,5 +98,35 @@ b AS (
 SELECT page_id, warc_type, record_id, response_id AS refers_to, target_uri, date, content_type,
        strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, payload_digest, http_headers, block
 FROM b
+""",
+    "op12_prefix_trie": f"""
+WITH o AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, l, {_CRC} % 9 AS h FROM (SELECT *, conv_id::VARCHAR AS s FROM o)),
+c AS (
+  SELECT a.conv_id, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) AS l
+  FROM h a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 5),
+p AS (SELECT conv_id, d, l[1:d] AS p, d = len(l) AS ends FROM c, unnest(range(0, len(l) + 1)) AS t(d)),
+n AS (
+  SELECT md5(p::VARCHAR) AS k, p, d, min(conv_id) AS conv_id, count(*) AS n,
+         coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ids
+  FROM p GROUP BY p, d),
+e AS (SELECT k, d, CASE WHEN d = 0 THEN NULL ELSE md5(p[1:d - 1]::VARCHAR) END AS up FROM n),
+ch AS (SELECT up AS k, count(*) AS n_children FROM e WHERE up IS NOT NULL GROUP BY up),
+own AS (
+  SELECT n.k, n.p, n.d, coalesce(n_children, 0) AS n_children, (n.n - 1) * (CASE WHEN n.d = 0 THEN 0 ELSE strlen(n.p[n.d].text) END) AS saved
+  FROM n LEFT JOIN ch USING (k)),
+sub AS (
+  SELECT md5(p[1:a]::VARCHAR) AS k, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM own, unnest(range(0, d + 1)) AS t(a) GROUP BY 1)
+SELECT n.conv_id, n.d::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n AS n_convs, own.n_children, sub.n_leaves, sub.saved_tokens,
+       sha256(n.ids) AS ends_sha256
+FROM n JOIN e USING (k) JOIN own USING (k) JOIN sub USING (k) LEFT JOIN n m ON m.k = e.up
+""",
+    "op13_exact_dedup": r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM t JOIN g USING (t)
 """,
 }

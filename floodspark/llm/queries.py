@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodspark.llm import (
-    byte_bpe, decontamination, language_id, near_dedup, quality_rules, sharding, substring_dedup, token_files, url_filter, warc,
+    byte_bpe, decontamination, exact_dedup, language_id, near_dedup, prefix_trie, quality_rules, sharding, substring_dedup,
+    token_alignment, token_files, url_filter, warc,
 )
 from floodspark.llm.common import scratch, staged, text_or_empty
 
@@ -18,6 +19,7 @@ RULES = (
 )
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,9 +101,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.page_responses(table(spark, sf_dir, "pages")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES)
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie_nodes(prefix_trie.rebuilt(turns))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules, "op2_token_files": op2_token_files,
     "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id, "op7_sharding": op7_sharding, "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination, "op10_warc": op10_warc,
+    "op11_token_alignment": op11_token_alignment, "op12_prefix_trie": op12_prefix_trie, "op13_exact_dedup": op13_exact_dedup,
 }
