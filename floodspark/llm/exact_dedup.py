@@ -1,6 +1,6 @@
 """Exact duplicates by distributed radix partitioning, most significant bytes first.
 
-All documents start as one group. Every round splits each group by the next bytes of its members: 64 at first, sixteen
+All documents start as one group. Every round splits each group by the next bytes of its members: 64 at first, 64
 times as many each round, so that a text of any length is through after few rounds. A member that ends in a round is
 told from those that go on. Groups of one drop out, groups that have ended hold equal texts, the rest goes on
 with the bytes that are left. Equality is decided by the bytes alone; no digest of a text is compared.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from floodspark.llm.common import scratch, staged, text_or_empty
 
-FIRST_WIDTH, WIDENING = 64, 16
+FIRST_WIDTH, WIDENING = 64, 64
 _BLANKS = r"[\x20\x09-\x0D]+"
 _FACTS = ("group_size", "keep_id", "keep_row")
 
@@ -60,7 +60,8 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     while True:
         groups, parts = split(members, width)
         groups = staged(groups, folder, f"groups-{turn}")
-        found = parts.join(groups, ["group", "digit", "ended"])
+        # The groups grow with the documents: one plan for every size, which splits where a group is large.
+        found = parts.join(groups.hint("merge"), ["group", "digit", "ended"])
         # The first row of a group names it from now on.
         name = F.col("keep_row").alias("group")
         if groups.where("NOT ended").isEmpty():
