@@ -25,8 +25,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,13 @@ from pyspark.sql import functions as F
 from floodspark.llm.common import CUT, no_collections, scratch, slices, staged
 
 #: Characters of text in a block, and bytes of chunks and results that a task remembers.
-BLOCK, MEMORY = 4 << 20, 48 << 20
-#: A pair of ids is one number: A's id, then 17 bits for B's.
-_B_BITS = 17
+BLOCK, MEMORY = 4 << 20, 120 << 20
+#: New chunks that are tokenized as one text.
+_RUN = 4096
+#: A pair of ids is one number: 17 bits for A's id, then 17 for B's.
+_B_BITS, _PAIR_BITS = 17, 34
+_LOW, _PAIR = (1 << 32) - 1, (1 << _PAIR_BITS) - 1
+_IRREGULAR = re.compile(r"\s ")
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 _STAGED = (
     "block bigint, doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
@@ -80,11 +86,22 @@ class Tokenizers:
         # Chunks are cut at blanks only if no piece of B goes on across one.
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def __call__(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of chunks that each begin with a blank."""
-        a = [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        # B adds no blank to an empty text; a blank that ends a text is a chunk of its own.
-        return a, [x or [self.blank] for x in self.b.encode([x[1:] for x in chunks], num_threads=1)]
+    def __call__(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """For A and for B the ids of every text; each text goes without the blank that it begins with."""
+        a = [np.array(x.ids, np.int64) for x in self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
+        # B adds no blank to an empty text.
+        b = [np.array(x or [self.blank], np.int64) for x in self.b.encode(texts, num_threads=1)]
+        return [a, b]
+
+    def data(self, side: int, ids: np.ndarray) -> bytes:
+        return b"".join(map((self.bytes_a, self.bytes_b)[side].__getitem__, ids.tolist()))
+
+
+def chunks(text: str) -> list[str]:
+    """A text in pieces that are tokenized on their own, each without the blank that it begins with."""
+    if not _IRREGULAR.search(text) and text[0] != " ":
+        return text.split(" ")
+    return [x[1:] for x in CUT.split(" " + text)]
 
 
 def coalesced(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,155 +121,154 @@ def expanded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different keys, ascending, with the sum of their weights."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, weights = keys[order], weights[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     return keys[first], np.add.reduceat(weights, first) if len(first) else weights[:0]
 
 
+class Numbers(dict):
+    """Numbers of strings in the order in which they are first asked for."""
+
+    def __missing__(self, text: str) -> int:
+        number = self[text] = len(self)
+        return number
+
+
 class ChunkTable:
     """What coalescing gives for each chunk met so far: counts, the written groups, and linked pairs of ids."""
 
     def __init__(self, tokenizers: Tokenizers) -> None:
         self.tokenizers = tokenizers
+        self.sizes = [np.array([len(x) for x in table], np.int64) for table in (tokenizers.bytes_a, tokenizers.bytes_b)]
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.texts: list[str | None] = []
         self.counts = np.empty((0, len(_COUNTS)), np.int64)
         self.first, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
         self.pairs, self.times = np.empty(0, np.int64), np.empty(0, np.int64)
         self.size = 0
 
-    def numbers(self, chunks: list[list[str]]) -> list[list[int]]:
-        """Numbers of the chunks of several texts; the table is emptied before, if it has grown too large."""
+    def numbers(self, flat: list[str]) -> list[int]:
+        """Numbers of the chunks of a block; the table is emptied before, if it has grown too large."""
         if self.size > MEMORY:
             self.clear()
-        known = self.known
-        found = [list(map(known.get, x)) for x in chunks]
-        new = list(dict.fromkeys(c for x, row in zip(chunks, found, strict=True) if None in row for c, y in zip(x, row, strict=True) if y is None))
-        if new:
-            self._add(new)
-            found = [[known[c] for c in x] if None in row else row for x, row in zip(chunks, found, strict=True)]
+        before = len(self.known)
+        found = list(map(self.known.__getitem__, flat))
+        self._add(list(islice(self.known, before, None)))
         return found
 
-    def _add(self, chunks: list[str]) -> None:
-        t = self.tokenizers
-        a, b = t(chunks)
-        bytes_a, bytes_b = t.bytes_a, t.bytes_b
-        good = []
-        for i, chunk in enumerate(chunks):
-            data = chunk.encode()
-            if b"".join([bytes_a[x] for x in a[i]]) == data == b"".join([bytes_b[x] for x in b[i]]):
-                good.append(i)
-        counts = np.zeros((len(chunks), len(_COUNTS)), np.int64)
-        texts: list[str | None] = [None] * len(chunks)
-        length = np.zeros(len(chunks), np.int64)
-        pairs = times = np.empty(0, np.int64)
-        if good:
-            pairs, times, owner = self._coalesce([a[i] for i in good], [b[i] for i in good], good, counts, texts)
-            length += np.bincount(owner, minlength=len(chunks))
+    def _add(self, new: list[str]) -> None:
         at = len(self.texts)
-        self.known.update(zip(chunks, range(at, at + len(chunks)), strict=True))
-        self.texts += texts
-        self.counts = np.concatenate([self.counts, counts])
+        self.texts += [None] * len(new)
+        self.counts = np.concatenate([self.counts, np.zeros((len(new), len(_COUNTS)), np.int64)])
+        length = np.zeros(len(new), np.int64)
+        # One after the other they are one text again, unless one ends in a blank.
+        runs: list[list[int]] = [[]]
+        for i, chunk in enumerate(new):
+            runs[-1].append(i)
+            if len(runs[-1]) == _RUN or not chunk or chunk[-1].isspace():
+                runs.append([])
+        pairs, times = [self.pairs], [self.times]
+        # From the last one on, so that a run which fails can be followed by its halves, in order.
+        runs = [x for x in reversed(runs) if x]
+        while runs:
+            run = runs.pop()
+            sides = [x[0] for x in self.tokenizers([" ".join([new[i] for i in run])])]
+            data = "".join([" " + new[i] for i in run]).encode()
+            if all(self.tokenizers.data(k, ids) == data for k, ids in enumerate(sides)):
+                more = self._coalesce(sides, np.array([len(new[i].encode()) + 1 for i in run]), np.array(run) + at)
+                pairs.append(more[0])
+                times.append(more[1])
+                length[run] = more[2]
+            elif len(run) > 1:
+                runs += [run[len(run) // 2 :], run[: len(run) // 2]]
         self.first = np.concatenate([self.first, len(self.pairs) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
-        self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
+        self.pairs, self.times = np.concatenate(pairs), np.concatenate(times)
         # Two strings, an entry of the dictionary and the numbers of a chunk.
-        self.size += sum(map(len, chunks)) + sum(len(x) for x in texts if x) + 300 * len(chunks) + 16 * len(pairs)
-
-    def _coalesce(self, a: list, b: list, owners: list[int], counts: np.ndarray, texts: list) -> tuple[np.ndarray, ...]:
-        """Fills counts and texts of the owners; returns (pairs, times, owner), ascending by owner."""
-        t = self.tokenizers
-        ids, sizes, chunk, kind = [], [], [], []
-        for k, (rows, table) in enumerate(((a, t.bytes_a), (b, t.bytes_b))):
-            flat = [x for row in rows for x in row]
-            ids.append(np.array(flat, np.int64))
-            sizes.append(np.array([len(table[x]) for x in flat], np.int64))
-            chunk.append(np.repeat(np.arange(len(rows)), [len(x) for x in rows]))
-            kind.append(np.full(len(flat), k))
-        # Chunks hold the same bytes for A and B, so their tokens can be laid end to end.
-        ends = [np.cumsum(x) for x in sizes]
-        starts = [x - y for x, y in zip(ends, sizes, strict=True)]
+        self.size += sum(map(len, new)) + sum(len(x) for x in self.texts[at:] if x) + 260 * len(new) + 16 * int(length.sum())
+
+    def _coalesce(self, ids: list[np.ndarray], sizes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Groups of the tokens of A and B over the same bytes, which are those of chunks of these sizes.
+
+        Fills counts and texts of the owners; returns (pairs, times, number of pairs of each chunk).
+        """
+        ends = [np.cumsum(self.sizes[k][ids[k]]) for k in (0, 1)]
+        starts = [ends[k] - self.sizes[k][ids[k]] for k in (0, 1)]
         order, group = coalesced(np.concatenate(starts), np.concatenate(ends))
-        ids, chunk, kind = (np.concatenate(x)[order] for x in (ids, chunk, kind))
+        kind = np.repeat([0, 1], [len(x) for x in ids])[order]
         # Within a group A's tokens first, each side in its order.
-        place = np.lexsort((np.arange(len(ids)), kind, group))
-        ids, chunk, kind = ids[place], chunk[place], kind[place]
-        n_groups = int(group[-1]) + 1
+        place = np.argsort(group << 1 | kind, kind="stable")
+        order, kind = order[place], kind[place]
+        token = np.concatenate(ids)[order]
+        chunk = np.searchsorted(np.cumsum(sizes), np.concatenate(starts)[order], side="right")
+        n_groups, n = int(group[-1]) + 1, len(sizes)
         in_group = [np.bincount(group[kind == k], minlength=n_groups) for k in (0, 1)]
         chunk_of = np.zeros(n_groups, np.int64)
         chunk_of[group] = chunk
-        n = len(a)
-        mine = np.array(owners)
-        counts[mine, 0], counts[mine, 1] = np.bincount(chunk[kind == 0], minlength=n), np.bincount(chunk[kind == 1], minlength=n)
-        counts[mine, 2] = np.bincount(chunk_of, minlength=n)
-        np.add.at(counts[:, 3], mine[chunk_of], in_group[0] * in_group[1])
+        self.counts[owners, 0], self.counts[owners, 1] = (np.bincount(chunk[kind == k], minlength=n) for k in (0, 1))
+        self.counts[owners, 2] = np.bincount(chunk_of, minlength=n)
+        bounds = np.searchsorted(chunk_of, np.arange(n))
+        self.counts[owners, 3] = np.add.reduceat(in_group[0] * in_group[1], bounds)
         # A token is followed by a comma, by a bar before B's first one, by a semicolon before the next group.
-        after = np.full(len(ids), ",")
-        after[:-1][kind[1:] > kind[:-1]] = "|"
-        after[:-1][group[1:] > group[:-1]] = ";"
-        written = list(map(str.__add__, map(str, ids.tolist()), after.tolist()))
-        bounds = np.searchsorted(chunk, np.arange(n + 1)).tolist()
-        for i, owner in enumerate(owners):
-            texts[owner] = "".join(written[bounds[i] : bounds[i + 1]])[:-1]
+        after = np.zeros(len(token), np.int64)
+        after[:-1][kind[1:] > kind[:-1]] = 1
+        after[:-1][group[1:] > group[:-1]] = 2
+        written = list(map(str.__add__, map(str, token.tolist()), map(",|;".__getitem__, after.tolist())))
+        cuts = np.searchsorted(chunk, np.arange(n + 1)).tolist()
+        for i, owner in enumerate(owners.tolist()):
+            self.texts[owner] = "".join(written[cuts[i] : cuts[i + 1]])[:-1]
         # Different ids of each side of a group, with their numbers, and from them the pairs.
-        side = [summed(group[kind == k] << 32 | ids[kind == k], np.ones(int((kind == k).sum()), np.int64)) for k in (0, 1)]
+        side = [summed(group[kind == k] << 32 | token[kind == k], np.ones(len(ids[k]), np.int64)) for k in (0, 1)]
         held = [np.bincount(keys >> 32, minlength=n_groups) for keys, _ in side]
         from_b = np.cumsum(held[1]) - held[1]
         of = side[0][0] >> 32
         row, at = expanded(held[1][of])
         other = from_b[of][row] + at
-        low = (1 << 32) - 1
-        pair = (side[0][0][row] & low) << _B_BITS | (side[1][0][other] & low)
-        times = side[0][1][row] * side[1][1][other]
-        owner = mine[chunk_of[of[row]]]
+        pair = (side[0][0][row] & _LOW) << _B_BITS | (side[1][0][other] & _LOW)
         # A chunk holds each of its pairs once.
-        order = np.lexsort((pair, owner))
-        pair, times, owner = pair[order], times[order], owner[order]
-        first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])])
-        return pair[first], np.add.reduceat(times, first), owner[first]
+        keys, times = summed(chunk_of[of[row]] << _PAIR_BITS | pair, side[0][1][row] * side[1][1][other])
+        return keys & _PAIR, times, np.bincount(keys >> _PAIR_BITS, minlength=n)
 
 
 def _block(table: ChunkTable, texts: list[str]) -> dict[str, list]:
     """Columns of one block: a row for each text, then one for the block's pairs."""
     with no_collections():
-        cut = [(CUT.split(" " + x) if table.tokenizers.cuts else [" " + x]) if x else [] for x in texts]
-        found = table.numbers(cut)
-    shas = []
-    for i, row in enumerate(found):
-        written = [table.texts[c] for c in row]
-        if not row or None in written:
-            found[i] = []
-            shas.append("")
-        else:
-            shas.append(hashlib.sha256(";".join(written).encode()).hexdigest())
-    size = np.array([len(x) for x in found])
-    flat = np.array([c for row in found for c in row], np.int64)
-    doc = np.repeat(np.arange(len(found)), size)
-    counts = np.zeros((len(found), len(_COUNTS)), np.int64)
-    np.add.at(counts, doc, table.counts[flat])
+        cut = [(chunks(x) if table.tokenizers.cuts else [x]) if x else [] for x in texts]
+        numbers = table.numbers([c for x in cut for c in x])
+    n = len(texts)
+    size = np.array([len(x) for x in cut], np.int64)
+    del cut
+    bounds = [0, *np.cumsum(size).tolist()]
+    flat, doc = np.array(numbers, np.int64), np.repeat(np.arange(n), size)
+    # A chunk without groups does not give back its bytes; its document has no tokens.
+    good = np.bincount(doc, weights=table.counts[flat, 2] == 0, minlength=n) == 0
+    shas = [
+        hashlib.sha256(";".join(map(table.texts.__getitem__, numbers[bounds[i] : bounds[i + 1]])).encode()).hexdigest() if size[i] and good[i] else ""
+        for i in range(n)
+    ]
+    flat, doc = flat[good[doc]], doc[good[doc]]
+    counts = [np.bincount(doc, weights=table.counts[flat, k], minlength=n).astype(np.int64).tolist() for k in range(len(_COUNTS))]
     # Chunks of each document with their numbers, then its pairs with theirs.
     keys, often = summed(doc << 32 | flat, np.ones(len(flat), np.int64))
-    chunk = keys & ((1 << 32) - 1)
+    chunk = keys & _LOW
     row, at = expanded(table.length[chunk])
     source = table.first[chunk][row] + at
-    pair, times, owner = table.pairs[source], table.times[source] * often[row], (keys >> 32)[row]
-    order = np.lexsort((pair, owner))
-    pair, times, owner = pair[order], times[order], owner[order]
-    first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])]) if len(pair) else np.empty(0, np.int64)
-    times = np.add.reduceat(times, first) if len(first) else times
-    pair, owner = pair[first], owner[first]
-    different, place, holders = np.unique(pair, return_inverse=True, return_counts=True)
-    bounds = np.searchsorted(owner, np.arange(len(found) + 1))
+    keys, times = summed((keys >> 32)[row] << _PAIR_BITS | table.pairs[source], table.times[source] * often[row])
+    different, place, holders = np.unique(keys & _PAIR, return_inverse=True, return_counts=True)
+    ends = np.searchsorted(keys >> _PAIR_BITS, np.arange(n + 1))
     place = place.astype(np.int32)
-    packed = [(place[i:j].tobytes(), times[i:j].astype(np.min_scalar_type(int(times[i:j].max(initial=0)))).tobytes()) for i, j in zip(bounds, bounds[1:], strict=False)]
+    packed = [
+        (place[i:j].tobytes(), times[i:j].astype(np.min_scalar_type(int(times[i:j].max(initial=0)))).tobytes())
+        for i, j in zip(ends, ends[1:], strict=False)
+    ]
     return {
-        **{name: [*counts[:, i].tolist(), None] for i, name in enumerate(_COUNTS)}, "groups_sha256": [*shas, None],
+        **{name: [*counts[k], None] for k, name in enumerate(_COUNTS)}, "groups_sha256": [*shas, None],
         "places": [*[x for x, _ in packed], None], "times": [*[x for _, x in packed], None],
-        "pairs": [None] * len(found) + [different], "holders": [None] * len(found) + [holders],
+        "pairs": [None] * n + [different], "holders": [None] * n + [holders],
     }
 
 
