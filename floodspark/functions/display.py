@@ -145,8 +145,7 @@ def agreement_label(models: Column) -> Column:
 def zoom_resolution(zoom: Column, resolutions, first_zoom: int, step: int) -> Column:
     """Last resolution whose start zoom is reached, else the first."""
     ordered = sorted(resolutions)
-    reached = F.floor((zoom - F.lit(first_zoom)) / F.lit(step)).cast("int") + 1
-    return F.element_at(
-        F.array(*[F.lit(r) for r in ordered]),
-        F.greatest(F.lit(1), F.least(F.lit(len(ordered)), reached)),
-    )
+    # Clamped before it becomes an integer: no zoom is too large.
+    reached = F.floor((zoom.cast("double") - F.lit(first_zoom)) / F.lit(step))
+    position = F.greatest(F.lit(0), F.least(F.lit(len(ordered) - 1), reached)).cast("int")
+    return F.when(zoom.isNotNull(), F.get(F.array(*[F.lit(r) for r in ordered]), position))

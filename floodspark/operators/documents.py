@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from floodspark.functions.fixed_values import FORECAST_FIELDS
 from floodspark.functions.parsing import finite
@@ -57,30 +58,35 @@ def geometry_json(parts: Column, multi: Column) -> Column:
     ).otherwise(F.concat(F.lit('{"type":"Polygon","coordinates":'), F.to_json(parts[0]), F.lit("}")))
 
 
-def forecast_json(forecast: Column) -> Column:
-    """One forecast as JSON text. Numbers a model does not have are empty text; a coordinate that
-    is absent is null; NaN and infinity, which JSON lacks, are null."""
-    keep = {"ignoreNullFields": "false"}
-    texts = [
-        forecast[n].alias(n)
-        for n in ("model", "severity", "riverId", "country", "issuedTime", "startTime", "peakTime", "endTime")
-    ]
-    coordinates = [finite(forecast[n]).alias(n) for n in ("lat", "lon")]
-    note = forecast["historicalComparison"].alias("historicalComparison")
-    without = F.to_json(
-        F.struct(*texts, F.lit("").alias("returnPeriodYr"), F.lit("").alias("peakDischargeCms"), note, *coordinates), keep
-    )
-    numbered = F.to_json(
-        F.struct(
-            *texts, forecast["returnPeriodYr"].alias("returnPeriodYr"),
-            finite(forecast["peakDischargeCms"]).alias("peakDischargeCms"), note, *coordinates,
-        ), keep,
-    )
-    return F.when(forecast["returnPeriodYr"].isNull(), without).otherwise(numbered)
+_MODEL_NUMBERS = ("returnPeriodYr", "peakDischargeCms")
+_FLOATS = ("peakDischargeCms", "lat", "lon")
+
+
+def forecast_json(forecast: Column, fields=FORECAST_FIELDS) -> Column:
+    """One forecast as JSON text, with the ``fields`` it has.
+
+    Numbers a model does not have are empty text; a coordinate that is absent is null; NaN and infinity, which JSON
+    lacks, are null. The members of ``payload``, if that is among the fields, follow as members of the forecast.
+    """
+    def text(numbers: bool) -> Column:
+        def member(name: str) -> Column:
+            if name in _MODEL_NUMBERS and not numbers:
+                return F.lit("")
+            return finite(forecast[name]) if name in _FLOATS else forecast[name]
+
+        names = [n for n in fields if n != "payload"]
+        return F.to_json(F.struct(*[member(n).alias(n) for n in names]), {"ignoreNullFields": "false"})
+
+    # A model without a return period has neither number.
+    found = F.when(forecast["returnPeriodYr"].isNull(), text(False)).otherwise(text(True)) if "returnPeriodYr" in fields else text(True)
+    if "payload" not in fields:
+        return found
+    more = forecast["payload"]
+    return F.when(F.length(more) > 2, F.concat(F.substring(found, F.lit(1), F.length(found) - 1), F.lit(","), F.substring(more, F.lit(2), F.length(more)))).otherwise(found)
 
 
 def feature_lines(
-    features: DataFrame, lists: DataFrame, large: DataFrame, region: list[str], id_columns: list[str],
+    features: DataFrame, lists: DataFrame, large: DataFrame, region: list[str], id_columns: list[str], fields=FORECAST_FIELDS,
 ) -> DataFrame:
     """(res, line): one GeoJSON feature per line and part.
 
@@ -92,7 +98,7 @@ def feature_lines(
     joined = repeated.join(lists, [*region, "part", "parts"])
     head = F.to_json(F.struct("res", *id_columns, "severity", "model_count"))
     open_head = F.substring(head, F.lit(1), F.length(head) - 1)
-    members = F.array_join(F.transform("forecasts", forecast_json), ",")
+    members = F.array_join(F.transform("forecasts", lambda f: forecast_json(f, fields)), ",")
     impact = (
         F.when(F.col("impact").isNotNull(), F.concat(F.lit(',"impact":'), F.to_json("impact"))).otherwise(F.lit(""))
         if "impact" in features.columns
@@ -121,6 +127,10 @@ FEATURE_TYPE = (
 )
 
 
+#: The same with each forecast whole, whatever members it has.
+OPEN_FEATURE_TYPE = FEATURE_TYPE.replace(f"array<struct<{_TEXT_FORECAST}>>", "array<variant>")
+
+
 def parse_features(features: DataFrame, column: str = "feature") -> DataFrame:
     """Flat rows of parsed features: properties, ``geometry`` parts and ``multi``."""
     feature = F.col(column)
@@ -143,8 +153,10 @@ def parse_features(features: DataFrame, column: str = "feature") -> DataFrame:
     )
 
 
-def parse_lines(lines: DataFrame, column: str = "line") -> DataFrame:
-    return parse_features(lines.select(F.from_json(F.col(column), FEATURE_TYPE).alias("feature")))
+def parse_lines(lines: DataFrame, column: str = "line", payload: bool = False) -> DataFrame:
+    """Parsed features of GeoJSON lines; with ``payload`` each forecast is kept whole, as a VARIANT."""
+    kind = OPEN_FEATURE_TYPE if payload else FEATURE_TYPE
+    return parse_features(lines.select(F.from_json(F.col(column), kind).alias("feature")))
 
 
 def read_feature_rows(parsed: DataFrame) -> DataFrame:
@@ -156,8 +168,19 @@ def read_feature_rows(parsed: DataFrame) -> DataFrame:
 
 
 def read_forecast_rows(parsed: DataFrame) -> DataFrame:
-    """(res, cell_id, forecast columns): one row per forecast, numbers restored."""
-    rows = parsed.select("res", "cell_id", F.explode("forecasts").alias("f")).select("res", "cell_id", "f.*")
+    """(res, cell_id, forecast columns): one row per forecast, numbers restored.
+
+    Where the features were parsed with ``payload``, that is a further column: the whole forecast, from which
+    ``try_variant_get`` takes any member by name.
+    """
+    each = parsed.select("res", "cell_id", F.explode("forecasts").alias("f"))
+    if isinstance(each.schema["f"].dataType, VariantType):
+        members = [
+            F.try_variant_get("f", f"$.{n}", "double" if n in ("lat", "lon") else "string").alias(n) for n in FORECAST_FIELDS
+        ]
+        rows = each.select("res", "cell_id", *members, F.col("f").alias("payload"))
+    else:
+        rows = each.select("res", "cell_id", "f.*")
     return rows.withColumns({
         "returnPeriodYr": F.col("returnPeriodYr").try_cast("bigint"),
         "peakDischargeCms": F.col("peakDischargeCms").try_cast("double"),

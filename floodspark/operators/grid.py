@@ -17,6 +17,7 @@ def cell_tallies(points: DataFrame, scheme: str, resolutions) -> DataFrame:
     tally then still shrinks them before the shuffle.
     """
     cells = SCHEMES[scheme]
+    points = _with_model(points)
     if not cells.nested:
         return tally(addressed_points(points, scheme, resolutions), ["res", "cell"])
     finest = max(resolutions)
@@ -25,6 +26,11 @@ def cell_tallies(points: DataFrame, scheme: str, resolutions) -> DataFrame:
     return merge_tallies(_with_parents(finest_tallies, cells, finest, resolutions), ["res", "cell"])
 
 
+def _with_model(points: DataFrame) -> DataFrame:
+    """Points that name no model have an empty one, which no list of models shows."""
+    return points if "model" in points.columns else points.withColumn("model", F.lit(""))
+
+
 def _with_parents(rows: DataFrame, cells, finest: int, resolutions) -> DataFrame:
     """Rows of finest cells once per resolution, with the enclosing cell."""
     every = rows.withColumn("res", F.explode(F.array(*[F.lit(r) for r in resolutions])))
@@ -80,7 +86,7 @@ def ready_cell_features(points: DataFrame, id_columns: dict[int, str], outlines:
         F.struct(F.lit(res).alias("res"), F.col(column).cast("string").alias("cell_id"))
         for res, column in id_columns.items()
     ]))
-    placed = points.select("model", "severity", ids.alias("at")).select("model", "severity", "at.*")
+    placed = _with_model(points).select("model", "severity", ids.alias("at")).select("model", "severity", "at.*")
     tallies = tally(placed.where(F.col("cell_id").isNotNull()), ["res", "cell_id"])
     return summarise(tallies, ["res", "cell_id"]).join(
         outlines.withColumn("multi", F.size("parts") > 1), "cell_id"

@@ -22,8 +22,12 @@ def default_resolution(res: Column) -> Column:
 
 def visible_by_model(tallies: DataFrame, models, region: list[str], *more: Column) -> DataFrame:
     """Features as the chosen models alone make them; a region they leave empty disappears."""
-    chosen = tallies.where(F.col("model").isin(*models) & (F.col("model") != ""))
-    return summarise(chosen, region, *more, label=shown_severity_of_rank)
+    return shown_features(tallies.where(F.col("model").isin(*models) & (F.col("model") != "")), region, *more)
+
+
+def shown_features(tallies: DataFrame, region: list[str], *more: Column) -> DataFrame:
+    """Features of tallies as a view shows them: a severity of only ``none`` is empty."""
+    return summarise(tallies, region, *more, label=shown_severity_of_rank)
 
 
 def visible_forecasts(forecasts: DataFrame, models) -> DataFrame:
@@ -67,6 +71,13 @@ def at_zoom(zooms: DataFrame, resolutions, first_zoom: int = FIRST_ZOOM, step: i
     return zooms.withColumn("res", display.zoom_resolution(F.col("zoom"), resolutions, first_zoom, step))
 
 
+def resolution_at(zoom: float, resolutions, first_zoom: int = FIRST_ZOOM, step: int = ZOOM_STEP) -> int:
+    """The resolution that one zoom shows: the last one whose start zoom is reached, else the first."""
+    ordered = sorted(resolutions)
+    reached = [r for i, r in enumerate(ordered) if zoom >= first_zoom + step * i]
+    return reached[-1] if reached else ordered[0]
+
+
 def extent(features: DataFrame, by: list[str]) -> DataFrame:
     """Bounding box over the features' own boxes."""
     return features.groupBy(*by).agg(
@@ -132,6 +143,10 @@ def agreement(features: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def lookup_cell(features: DataFrame, cell_id: str) -> DataFrame:
-    """One feature by id; the predicate reaches the scan of the stored collection."""
-    return features.where(F.col("cell_id") == cell_id)
+def lookup_cell(features: DataFrame, cell_id: str, res: int | None = None) -> DataFrame:
+    """One feature by id; the predicate reaches the scan of the stored collection.
+
+    With its resolution only that partition is read, and there the ranges of ids that the files and row groups state.
+    """
+    found = features.where(F.col("cell_id") == cell_id)
+    return found if res is None else found.where(F.col("res") == res)

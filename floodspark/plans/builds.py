@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from floodspark.functions.fixed_values import (
     BASE_LEVEL, BASIN_LEVELS, FORECAST_FIELDS, HEX_RESOLUTIONS, KIND_BASINS, KIND_HEX, KIND_S2, S2_LEVELS,
 )
-from floodspark.operators import documents, grid, regions
+from floodspark.operators import documents, forecasts, grid, regions
+from floodspark.operators.points import open_points, usable
 from floodspark.plans import basins, cells, report
 from floodspark.session import stage_folder, staged
 from floodspark.sources import collections
@@ -26,7 +27,7 @@ def build_basins(
     Placed alerts and tallies are used several times, so they are staged as tables; a lost executor
     then costs a re-read, not a re-join. ``list_bound`` is about how many forecasts a document lists.
     """
-    stage = stage_folder(spark, folder)
+    stage, target = stage_folder(spark, folder), collections.new_snapshot(folder)
     shapes = staged(inputs.polygons, stage, "polygons")
     inputs = basins.BasinInputs(**{**inputs.__dict__, "polygons": shapes})
     alerts = staged(basins.placed_alerts(inputs, base_level), stage, "alerts")
@@ -37,42 +38,64 @@ def build_basins(
 
     ids = shaped.select("res", "code", F.col("basin_id").cast("string").alias("cell_id"))
     collections.write_table(
-        shaped.withColumn("cell_id", F.col("basin_id").cast("string")), folder, "features"
+        shaped.withColumn("cell_id", F.col("basin_id").cast("string")), target, "features", by="cell_id"
     )
-    collections.write_table(level_tallies.drop("hybas_id").join(ids, ["res", "code"]), folder, "tallies")
+    named = staged(level_tallies.drop("hybas_id").join(ids, ["res", "code"]), stage, "named")
+    collections.write_table(named, target, "tallies", by="cell_id")
     collections.write_table(
         rows.join(ids, ["res", "code"]).select("res", "cell_id", *FORECAST_FIELDS, "list_rank", "list_seq"),
-        folder, "forecasts",
+        target, "forecasts",
     )
     large = staged(documents.large_regions(shaped, basins.REGION, list_bound), stage, "large")
-    collections.write_lines(basins.lines(shaped, rows, large=large), folder)
-    collections.write_manifest(spark, folder, KIND_BASINS, levels)
+    collections.write_lines(basins.lines(shaped, rows, large=large), target)
+    collections.write_manifest(spark, target, KIND_BASINS, levels)
     counters = report.basin_report(inputs, levels, base_level, alerts, level_tallies, shaped)
-    counters.coalesce(1).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/report")
+    counters.coalesce(1).write.mode("overwrite").parquet(f"{target}/report")
+    collections.publish(spark, folder, target)
 
 
 def build_cells(
     spark: SparkSession, points: DataFrame, folder: str, scheme: str, resolutions=None, kind: str | None = None,
     list_bound: int = documents.LIST_BOUND,
 ) -> None:
-    """Write the collection of one grid scheme; ``points`` has passed the coordinate filter.
+    """Write the collection of one grid scheme: features, tallies, forecasts, report and GeoJSON lines.
 
+    ``points`` has lat, lon, severity and whatever other columns; points without usable coordinates are counted and left
+    out, and so are those off the globe. Columns that are no forecast fields come back from ``forecasts`` and from the
+    lines as members of ``payload``. The counters of the report are taken while the tables are written.
     ``kind`` is what the manifest calls the collection; the hexagon kind only selects a viewer's
     wording, the ids are the scheme's own.
     """
     resolutions = tuple(resolutions or DEFAULT_RESOLUTIONS[scheme])
-    stage = stage_folder(spark, folder)
+    stage, target = stage_folder(spark, folder), collections.new_snapshot(folder)
+    read, made, tallied = Observation("points"), Observation("features"), Observation("tallies")
+    opened = open_points(points)
+    points = usable(opened.observe(
+        read, F.count(F.lit(1)).alias("points"), F.count_if(forecasts.has_coordinate("lat", "lon")).alias("points_usable")
+    ))
     if "list_seq" not in points.columns:
         # Written out with the points, so that equal ones stay apart and the number never changes.
         points = points.withColumn("list_seq", F.monotonically_increasing_id())
     points = staged(points, stage, "points")
-    shaped = staged(cells.features(points, scheme, resolutions), stage, "features")
+    per_cell = staged(grid.cell_tallies(points, scheme, resolutions).observe(
+        tallied, F.sum(F.when(F.col("res") == resolutions[0], F.col("n"))).alias("points_placed")
+    ), stage, "tallies")
+    found = cells.features(points, scheme, resolutions, per_cell)
+    shaped = staged(
+        found.observe(made, *[F.count_if(F.col("res") == r).alias(f"cells_{r}") for r in resolutions]), stage, "features"
+    )
     rows = grid.cell_forecasts(points, scheme, resolutions)
-    collections.write_table(shaped, folder, "features")
-    per_cell = grid.cell_tallies(points, scheme, resolutions)
+    collections.write_table(shaped, target, "features", by="cell_id")
     named = per_cell.withColumn("cell_id", grid.cell_id(scheme, resolutions)).drop("cell")
-    collections.write_table(named, folder, "tallies")
-    collections.write_table(rows, folder, "forecasts")
+    collections.write_table(named, target, "tallies", by="cell_id")
+    collections.write_table(rows, target, "forecasts")
     large = staged(documents.large_regions(shaped, cells.REGION, list_bound), stage, "large")
-    collections.write_lines(cells.lines(shaped, rows, large=large), folder)
-    collections.write_manifest(spark, folder, kind or KINDS.get(scheme, f"{scheme}-telescoping"), resolutions)
+    collections.write_lines(cells.lines(shaped, rows, large=large), target)
+    collections.write_manifest(spark, target, kind or KINDS.get(scheme, f"{scheme}-telescoping"), resolutions)
+    counted = {**read.get, **tallied.get, **made.get}
+    skipped = {
+        "points_skipped": counted["points"] - counted["points_usable"],
+        "points_off_globe": counted["points_usable"] - (counted["points_placed"] or 0),
+    }
+    report.written(spark, {**counted, **skipped}).write.parquet(f"{target}/report")
+    collections.publish(spark, folder, target)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodspark.functions.fixed_values import BASE_LEVEL, BASIN_LEVELS, GAUGE_MODEL, RIVER_MODEL
@@ -24,6 +24,11 @@ def _count(rows: DataFrame, metric: str) -> DataFrame:
     return _metrics(rows.agg(F.count("*").alias(metric)))
 
 
+def written(spark: SparkSession, counters: dict[str, int | None]) -> DataFrame:
+    """Counters that a build has observed, as (metric, value) rows in one file."""
+    return spark.createDataFrame([(k, int(v or 0)) for k, v in counters.items()], "metric string, value bigint").coalesce(1)
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 

@@ -2,16 +2,51 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodspark.operators.documents import FEATURE_TYPE, parse_features, parse_lines
+from floodspark.sources.text_files import path_exists
 
 
 def _under(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}"
 
 
+# A collection is published whole: a build writes a snapshot folder of its own, and ``current`` is replaced at the end.
+# A reader that has opened a snapshot keeps reading it, and never sees new features beside old tallies.
+
+_POINTER = "current"
+
+
+def new_snapshot(folder: str) -> str:
+    """Folder for the tables of one build."""
+    return _under(folder, f"snapshot-{uuid.uuid4().hex}")
+
+
+def publish(spark: SparkSession, folder: str, snapshot: str) -> None:
+    """Makes a finished snapshot the collection, by the rename of one small file."""
+    jvm, configuration = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    written, pointer = path(_under(folder, f".{_POINTER}-{uuid.uuid4().hex}")), path(_under(folder, _POINTER))
+    out = written.getFileSystem(configuration).create(written, True)
+    out.writeBytes(snapshot.rstrip("/").rsplit("/", 1)[-1])
+    out.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), configuration).rename(written, pointer, options)
+
+
+def published(spark: SparkSession, folder: str) -> str:
+    """The snapshot that a reader opens; the folder itself where its tables lie in it directly."""
+    if not path_exists(spark, _under(folder, _POINTER)):
+        return folder
+    return _under(folder, spark.read.text(_under(folder, _POINTER)).first().value)
+
+
 def write_manifest(spark: SparkSession, folder: str, kind: str, resolutions) -> None:
     """One row: what the collection is and which resolutions it declares."""
     row = spark.createDataFrame([(kind, [int(r) for r in resolutions])], "kind string, resolutions array<int>")
@@ -19,7 +54,7 @@ def write_manifest(spark: SparkSession, folder: str, kind: str, resolutions) ->
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("kind string, resolutions array<int>").json(_under(folder, "manifest"))
+    return spark.read.schema("kind string, resolutions array<int>").json(_under(published(spark, folder), "manifest"))
 
 
 def write_lines(lines: DataFrame, folder: str) -> None:
@@ -27,19 +62,31 @@ def write_lines(lines: DataFrame, folder: str) -> None:
     lines.write.mode("overwrite").partitionBy("res").text(_under(folder, "lines"))
 
 
-def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Parsed features of written lines; files split anywhere between lines."""
-    return parse_lines(spark.read.text(_under(folder, "lines")).withColumnRenamed("value", "line"))
+def read_lines(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
+    """Parsed features of written lines; files split anywhere between lines. ``payload`` keeps each forecast whole."""
+    lines = spark.read.text(_under(published(spark, folder), "lines")).withColumnRenamed("value", "line")
+    return parse_lines(lines, payload=payload)
 
 
-def write_table(table: DataFrame, folder: str, name: str) -> None:
+def write_table(table: DataFrame, folder: str, name: str, by: str | None = None) -> None:
     """One table of a collection as Parquet, one folder per resolution, so that a view on one
-    resolution prunes the others."""
+    resolution prunes the others.
+
+    ``by`` clusters the rows of a resolution: files hold ranges of that column, each in order, so a lookup skips the files and
+    row groups that state another range. Ranges are drawn from a sample, so ``table`` should be cheap to compute twice.
+    """
+    if by is not None:
+        table = table.repartitionByRange("res", by).sortWithinPartitions("res", by)
     table.write.mode("overwrite").partitionBy("res").parquet(_under(folder, name))
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(_under(folder, name))
+    return spark.read.parquet(_under(published(spark, folder), name))
+
+
+def read_report(spark: SparkSession, folder: str) -> DataFrame:
+    """(metric, value) rows of the build."""
+    return spark.read.parquet(_under(published(spark, folder), "report"))
 
 
 def read_documents(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +97,7 @@ def read_documents(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """
     schema = f"kind string, resolutions array<string>, features array<{FEATURE_TYPE}>"
     documents = spark.read.schema(schema).json(path, multiLine=True)
-    manifest = documents.select(
-        "kind", F.transform("resolutions", lambda r: r.try_cast("double").cast("int")).alias("resolutions")
-    )
+    # What is no number of this range declares nothing.
+    numbers = F.transform("resolutions", lambda r: r.try_cast("double").try_cast("int"))
+    manifest = documents.select("kind", F.filter(numbers, lambda r: r.isNotNull()).alias("resolutions"))
     return manifest, parse_features(documents.select(F.explode("features").alias("feature")))

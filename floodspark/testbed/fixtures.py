@@ -8,6 +8,7 @@ code walk down a 3 x 3 subdivision, so every code prefix is an enclosing square.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -245,3 +246,26 @@ def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     text = "coalesce(cast({} AS string), CASE WHEN cast(riverId AS bigint) % 2 = 0 THEN 'n/a' END)"
     return settled(points, lat=text.format("lat"), lon=text.format("lon"))
+
+
+def open_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gauge alerts as points of another source: a place, a severity and two columns of its own, but no model."""
+    return gauges(spark, sf_dir).selectExpr(
+        "CASE WHEN seq % 31 = 0 THEN 'n/a' ELSE cast(lat AS string) END AS lat", "lon", "severity",
+        "concat('station ', seq % 97) AS `station.name`", "named_struct('level', seq / 8D, 'unit', 'm') AS reading",
+    )
+
+
+def feature_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GeoJSON lines whose resolution is written in every form that documents have: number, text, absent, no number."""
+    forms = "element_at(array('4', '\"5\"', '6.0', '\"7.0\"', 'null', '\"x\"', '1e99', '\"1e99\"', '\" 8 \"'), cast(c_custkey % 9 + 1 AS int))"
+    return table(spark, sf_dir, "customer").selectExpr(
+        f"""concat('{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}},"properties":{{"res":',
+            {forms}, ',"cell_id":"', c_custkey, '","severity":"warning","model_count":1,"forecasts":[]}}}}') AS line"""
+    )
+
+
+def collection_folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share, for a query that builds a collection and reads it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/collection-{uuid.uuid4().hex}"

@@ -303,6 +303,12 @@ def _feature_text() -> dict[str, str]:
     }
 
 
+_OPENED = {
+    "opened": f"""SELECT event_id, severity, res, res || '/' || {_tile_x('res')} || '/' || {_tile_y('res')} AS cell_id
+        FROM gauge, (SELECT unnest([3, 5, 7]) AS res) WHERE event_id % 31 <> 0""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     s2, hexes, tiles = _s2_tables(), _hex_tables(), _tile_tables()
     kept = "crosswalk_clean"
@@ -435,5 +441,26 @@ def oracle_sql() -> dict[str, str]:
         "geojson_features": _sql("""SELECT res, CAST(basin_id AS VARCHAR) AS cell_id, CAST(basin_id AS VARCHAR) AS basin_id, severity, model_count,
             CAST(population AS DOUBLE) AS population, CASE WHEN res = 8 AND (basin_id - 8000000000) % 5 = 0 THEN 2 ELSE 1 END AS n_rings FROM exposed"""),
         "cell_lines": _sql("SELECT res, cell_id, count(*) AS n, count(ret_per) AS n_rivers, min(lon) AS west FROM celled GROUP BY res, cell_id", **tiles),
+        "open_point_cells": _sql(f"""SELECT res, cell_id, {_label(f'max({_RANK})')} AS severity, count(*) AS model_count, '' AS models,
+            false AS agree, count(*) AS n, sum(event_id / 8.0::DOUBLE) AS levels, min('station ' || event_id % 97) AS station, 'm' AS unit,
+            CAST(0 AS BIGINT) AS with_model FROM opened GROUP BY res, cell_id""", **_OPENED),
+        "open_point_report": _sql("""SELECT 'points' AS metric, count(*) AS value FROM gauge
+            UNION ALL SELECT 'points_usable', count(*) FROM gauge WHERE event_id % 31 <> 0
+            UNION ALL SELECT 'points_placed', count(*) FROM gauge WHERE event_id % 31 <> 0
+            UNION ALL SELECT 'points_skipped', count(*) FROM gauge WHERE event_id % 31 = 0
+            UNION ALL SELECT 'points_off_globe', CAST(0 AS BIGINT)
+            UNION ALL SELECT 'cells_' || res, count(DISTINCT cell_id) FROM opened GROUP BY res""", **_OPENED),
+        "stored_lookup": _sql(f"""SELECT res, cell_id, {_label(f'max({_RANK})')} AS severity, count(*) AS model_count FROM opened
+            WHERE res = 7 AND cell_id = (SELECT min(cell_id) FROM opened WHERE res = 7) GROUP BY res, cell_id""", **_OPENED),
+        "serving_view": _sql(f"""SELECT res, CAST(basin_id AS VARCHAR) AS cell_id, {_shown('tally.worst')} AS severity, tally.n AS model_count,
+            'river' AS models, false AS agree, xmin, ymax, 1 AS n_rings, population, buildings, farmland_m2, highway_km, railway_km,
+            n_listed, years, west, south, east, north
+            FROM exposed JOIN tally USING (res, code) JOIN listed_river USING (res, code), frame WHERE res = 5 AND tally.model = 'river'""",
+            listed_river="""SELECT res, code, count(*) AS n_listed, CAST(sum(ret_per) AS BIGINT) AS years FROM leveled WHERE model = 'river' GROUP BY ALL""",
+            frame="""SELECT min(xmin) AS west, min(ymin) AS south, max(xmax) AS east, max(ymax) AS north
+                FROM feature WHERE res = 4 AND code IN (SELECT code FROM tally WHERE res = 4 AND model = 'river')"""),
+        "resolution_forms": """SELECT CAST(c_custkey AS VARCHAR) AS cell_id, res, coalesce(res, 0) AS counted_as FROM (
+            SELECT c_custkey, CASE WHEN c_custkey % 9 <= 3 THEN CAST(c_custkey % 9 + 4 AS INTEGER) WHEN c_custkey % 9 = 4 THEN 0
+            WHEN c_custkey % 9 = 8 THEN 8 END AS res FROM customer)""",
     }
     return out

@@ -15,8 +15,8 @@ from floodspark.functions.fixed_values import (
 )
 from floodspark.functions.severity import severity_of_rank, severity_rank, shown_severity_of_rank
 from floodspark.operators import documents, forecasts, grid, impact, placement, regions, serve
-from floodspark.plans import basins, cells, report
-from floodspark.sources import polygons as polygon_source
+from floodspark.plans import basins, builds, cells, report, serving
+from floodspark.sources import collections, polygons as polygon_source
 from floodspark.testbed import fixtures
 from floodspark.testbed.fixtures import LEVELS
 
@@ -430,3 +430,64 @@ def cell_lines(spark, sf_dir):
     return back.groupBy("res", "cell_id").agg(
         F.count("*").alias("n"), F.count("returnPeriodYr").alias("n_rivers"), F.min("lon").alias("west")
     )
+
+
+# --- stored collections ------------------------------------------------------------------------------
+
+
+@query
+def open_point_cells(spark, sf_dir):
+    """Points without a model and with columns of their own, built into cells and read back from the lines."""
+    folder = fixtures.collection_folder(spark)
+    builds.build_cells(spark, fixtures.open_points(spark, sf_dir), folder, "tile", TILE_ZOOMS)
+    rows = documents.read_forecast_rows(collections.read_lines(spark, folder, payload=True))
+    own = rows.select(
+        "res", "cell_id", "model", F.try_variant_get("payload", "$['station.name']", "string").alias("station"),
+        F.try_variant_get("payload", "$.reading.level", "double").alias("level"),
+        F.try_variant_get("payload", "$.reading.unit", "string").alias("unit"),
+    )
+    summed = own.groupBy("res", "cell_id").agg(
+        F.count("*").alias("n"), F.sum("level").alias("levels"), F.min("station").alias("station"), F.max("unit").alias("unit"),
+        F.count_if(F.col("model") != "").alias("with_model"),
+    )
+    stored = collections.read_table(spark, folder, "features").select("res", "cell_id", "severity", "model_count", models_text(), "agree")
+    return stored.join(summed, ["res", "cell_id"])
+
+
+@query
+def open_point_report(spark, sf_dir):
+    """Counters that a grid build takes while it writes."""
+    folder = fixtures.collection_folder(spark)
+    builds.build_cells(spark, fixtures.open_points(spark, sf_dir), folder, "tile", TILE_ZOOMS)
+    return collections.read_report(spark, folder)
+
+
+@query
+def serving_view(spark, sf_dir):
+    """A stored collection at zoom 5 as the river model alone makes it, with geometry and exposure."""
+    folder = fixtures.collection_folder(spark)
+    builds.build_basins(spark, fixtures.basin_inputs(spark, sf_dir, exposure=True), folder, LEVELS)
+    view = serving.open_view(spark, folder, zoom=5, models=[RIVER_MODEL])
+    listed = view.forecasts.groupBy("res", "cell_id").agg(F.count("*").alias("n_listed"), F.sum("returnPeriodYr").alias("years"))
+    # One row.
+    frame = view.extent.select("west", "south", "east", "north", F.lit(view.res).alias("res"))
+    return view.features.join(listed, ["res", "cell_id"]).join(frame, "res").select(
+        "res", "cell_id", "severity", "model_count", models_text(), "agree", "xmin", "ymax", F.size(F.col("geometry")[0]).alias("n_rings"),
+        *[F.col("impact")[f].alias(f) for f in IMPACT_FIELDS], "n_listed", "years", "west", "south", "east", "north",
+    )
+
+
+@query
+def stored_lookup(spark, sf_dir):
+    """One feature of a stored collection by resolution and id."""
+    folder = fixtures.collection_folder(spark)
+    builds.build_cells(spark, fixtures.open_points(spark, sf_dir), folder, "tile", TILE_ZOOMS)
+    stored = collections.read_table(spark, folder, "features")
+    first = stored.where("res = 7").agg(F.min("cell_id")).first()[0]
+    return serve.lookup_cell(stored, first, 7).select("res", "cell_id", "severity", "model_count")
+
+
+@query
+def resolution_forms(spark, sf_dir):
+    parsed = documents.parse_lines(fixtures.feature_forms(spark, sf_dir))
+    return parsed.select("cell_id", "res", serve.default_resolution(F.col("res")).alias("counted_as"))

@@ -70,7 +70,7 @@ def test_build_from_files_equals_the_tables(spark, sf_dir, built):
 
 
 def test_written_lines_are_geojson(spark, built):
-    texts = [r.value for r in spark.read.text(f"{built}/lines").collect()]
+    texts = [r.value for r in spark.read.text(f"{collections.published(spark, built)}/lines").collect()]
     features = [json.loads(t) for t in texts]
     assert len(features) == collections.read_table(spark, built, "features").count()
     river = [f for f in features for c in f["properties"]["forecasts"] if c["model"] == "river"]
@@ -87,7 +87,7 @@ def test_written_lines_are_geojson(spark, built):
             assert (c["returnPeriodYr"] == "") == (c["model"] == "gauge")
     manifest = collections.read_manifest(spark, built).collect()[0]
     assert (manifest.kind, manifest.resolutions) == ("basins-telescoping", [4, 6, 8])
-    counters = {r.metric: r.value for r in spark.read.parquet(f"{built}/report").collect()}
+    counters = {r.metric: r.value for r in spark.read.parquet(f"{collections.published(spark, built)}/report").collect()}
     assert counters["features"] == len(features) and counters["gauges_placed"] + counters["gauges_outside"] == counters["gauge_alerts"]
 
 
@@ -103,7 +103,7 @@ def test_lines_read_back(spark, built):
 
 
 def test_whole_document_reads_the_same(spark, built, tmp_path):
-    features = [json.loads(r.value) for r in spark.read.text(f"{built}/lines").collect()]
+    features = [json.loads(r.value) for r in spark.read.text(f"{collections.published(spark, built)}/lines").collect()]
     path = tmp_path / "data.geojson"
     path.write_text(json.dumps({"type": "FeatureCollection", "kind": "basins-telescoping", "resolutions": ["4", 6, 8], "features": features}))
     manifest, parsed = collections.read_documents(spark, str(path))
