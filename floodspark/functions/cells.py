@@ -186,8 +186,10 @@ class S2Cells:
 class HexCells:
     """Pointy-top hexagons on the equal-area cylindrical projection; ids are this scheme's own.
 
-    Hexagons of one resolution do not nest in the next, so every resolution is addressed from the
-    points. Each finer resolution has a seventh of the area.
+    An even number of columns goes round the globe, the nearest one to the edge asked for, so the lattice closes at the
+    180th meridian: a hexagon there is one cell with one id, whichever side a point comes from. Hexagons of one
+    resolution do not nest in the next, so every resolution is addressed from the points. Each finer resolution has
+    about a seventh of the area.
     """
 
     nested = False
@@ -195,8 +197,19 @@ class HexCells:
     def __init__(self, edge_degrees: float = 10.0):
         self.edge_degrees = edge_degrees
 
+    def _columns(self, resolution: Column) -> Column:
+        """Number of hexagons side by side round the globe."""
+        return F.rint(F.lit(180.0 / (math.sqrt(3.0) * self.edge_degrees)) * F.pow(F.lit(math.sqrt(7.0)), resolution)) * 2
+
     def _edge(self, resolution: Column) -> Column:
-        return F.lit(self.edge_degrees) / F.pow(F.lit(math.sqrt(7.0)), resolution)
+        return F.lit(360.0 / math.sqrt(3.0)) / self._columns(resolution)
+
+    def _wrapped(self, q: Column, r: Column, resolution: Column) -> Column:
+        """The same hexagon's q with its centre between the 180th meridians."""
+        n = self._columns(resolution).cast("int")
+        # Every second row lies half a hexagon further east.
+        shift, half = F.floor(r / 2).cast("int"), F.call_function("shiftright", n, F.lit(1))
+        return F.pmod(q + shift + half, n) - half - shift
 
     def addressed(self, points: DataFrame) -> DataFrame:
         """Cells at the resolution in ``res``."""
@@ -210,12 +223,13 @@ class HexCells:
         # All three cube coordinates are rounded; the one that moved most follows from the others.
         q_worst = (F.col("_dq") > F.col("_dr")) & (F.col("_dq") > F.col("_ds"))
         r_worst = ~q_worst & (F.col("_dr") > F.col("_ds"))
-        cell = F.struct(
-            F.when(q_worst, -F.col("_nr") - F.col("_ns")).otherwise(F.col("_nq")).cast("int").alias("q"),
-            F.when(r_worst, -F.col("_nq") - F.col("_ns")).otherwise(F.col("_nr")).cast("int").alias("r"),
-        )
-        return off.withColumn("cell", F.when(on_globe(F.col("lat"), F.col("lon")), cell)).drop(
-            *[f"_{kind}{c}" for kind in ("", "n", "d") for c in "qrs"]
+        whole = off.withColumns({
+            "_hq": F.when(q_worst, -F.col("_nr") - F.col("_ns")).otherwise(F.col("_nq")).cast("int"),
+            "_hr": F.when(r_worst, -F.col("_nq") - F.col("_ns")).otherwise(F.col("_nr")).cast("int"),
+        })
+        cell = F.struct(self._wrapped(F.col("_hq"), F.col("_hr"), F.col("res")).alias("q"), F.col("_hr").alias("r"))
+        return whole.withColumn("cell", F.when(on_globe(F.col("lat"), F.col("lon")), cell)).drop(
+            *[f"_{kind}{c}" for kind in ("", "n", "d") for c in "qrs"], "_hq", "_hr"
         )
 
     def key(self, address: Column, resolution: Column, depth: int | None = None) -> Column:

@@ -212,17 +212,22 @@ def _s2_tables(levels=(2, 3, 4, 5, 6, 7, 8), depth: int = 8) -> dict[str, str]:
     }
 
 
-def _hex_tables(resolutions=(3, 4, 5, 6), edge: float = 10.0) -> dict[str, str]:
+_HEX_COLUMNS = f"(round_even({180.0 / (math.sqrt(3.0) * 10.0)!r}::DOUBLE * pow({math.sqrt(7.0)!r}::DOUBLE, res), 0) * 2)"
+
+
+def _hex_tables(resolutions=(3, 4, 5, 6)) -> dict[str, str]:
     return {
         "plane": f"""SELECT model, severity, lon AS px, degrees(sin(radians(lat))) AS py, res,
-            {edge}::DOUBLE / pow({math.sqrt(7.0)!r}::DOUBLE, res) AS edge FROM usable, (SELECT unnest({list(resolutions)}) AS res)""",
+            {_HEX_COLUMNS} AS columns, {360.0 / math.sqrt(3.0)!r}::DOUBLE / {_HEX_COLUMNS} AS edge FROM usable, (SELECT unnest({list(resolutions)}) AS res)""",
         "axial": f"""SELECT *, (px * {math.sqrt(3.0) / 3.0!r}::DOUBLE - py / 3) / edge AS q, (py * {2.0 / 3.0!r}::DOUBLE) / edge AS r FROM plane""",
         "cubed": """SELECT *, -q - r AS s, round_even(q, 0) AS nq, round_even(r, 0) AS nr, round_even(-q - r, 0) AS ns FROM axial""",
         "apart": "SELECT *, abs(nq - q) AS dq, abs(nr - r) AS dr, abs(ns - s) AS ds FROM cubed",
-        "celled": """SELECT model, severity, res,
-            res || ':' || CAST(CASE WHEN dq > dr AND dq > ds THEN -nr - ns ELSE nq END AS INTEGER)
-            || ':' || CAST(CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -nq - ns ELSE nr END AS INTEGER) AS cell_id
-            FROM apart""",
+        "hexed": """SELECT model, severity, res, CAST(columns AS BIGINT) AS n,
+            CAST(CASE WHEN dq > dr AND dq > ds THEN -nr - ns ELSE nq END AS BIGINT) AS hq,
+            CAST(CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -nq - ns ELSE nr END AS BIGINT) AS hr FROM apart""",
+        # The column counted from the 180th meridian, modulo the number of columns.
+        "celled": """SELECT model, severity, res, res || ':' || (((hq + (hr >> 1) + n // 2) % n + n) % n - n // 2 - (hr >> 1)) || ':' || hr AS cell_id
+            FROM hexed""",
         "cell_tally": _cell_tally("celled"),
     }
 
@@ -393,7 +398,7 @@ def oracle_sql() -> dict[str, str]:
             CAST(round((cx + edge * cos(radians(30))) * 1e6) AS BIGINT) AS xmax,
             CAST(round(degrees(asin(radians(cy + edge))) * 1e6) AS BIGINT) AS ymax
             FROM (SELECT res, cell_id, edge, edge * {math.sqrt(3.0)!r} * (q + r / 2.0) AS cx, edge * 1.5 * r AS cy FROM (
-              SELECT DISTINCT res, cell_id, 10.0::DOUBLE / pow({math.sqrt(7.0)!r}::DOUBLE, res) AS edge,
+              SELECT DISTINCT res, cell_id, {360.0 / math.sqrt(3.0)!r}::DOUBLE / {_HEX_COLUMNS} AS edge,
                      split_part(cell_id, ':', 2)::BIGINT AS q, split_part(cell_id, ':', 3)::BIGINT AS r FROM celled))""", **hexes),
         "ready_cell_rollup": _sql(f"""SELECT 6 AS res, CAST(cell AS VARCHAR) AS cell_id, {_label(f'max({_RANK})')} AS severity,
             count(*) AS model_count FROM tiled WHERE cell IN (SELECT cell FROM tiled WHERE model = 'river') GROUP BY cell""",

@@ -343,3 +343,61 @@ def test_a_hot_tile_is_split(spark, tiny_skew_limits):
     counted = placement.place_points(points, polygons, sizes=(1.0, 360.0)).agg(F.count("*"))
     assert "SortMergeJoin(skew=true)" in final_plan(counted)
     assert counted.collect()[0][0] == 60000
+
+
+def test_bands_hold_every_edge_on_a_parallel(spark):
+    """Polygons of thousands of edges, combs with long upright teeth, level edges and holes, by the winding number."""
+    rng = random.Random(21)
+
+    def star(cx, cy, size, n):
+        ring = [[cx + size * rng.uniform(0.6, 1) * math.cos(2 * math.pi * k / n), cy + size * rng.uniform(0.6, 1) * math.sin(2 * math.pi * k / n)] for k in range(n)]
+        return [*ring, ring[0]]
+
+    def comb(cx, cy, teeth):
+        ring = [[cx, cy]]
+        for k in range(teeth):
+            ring += [[cx + 2 * k, cy + 9.0], [cx + 2 * k + 1, cy + 9.0], [cx + 2 * k + 1, cy + 1.0], [cx + 2 * k + 2, cy + 1.0]]
+        ring += [[cx + 2 * teeth, cy], [cx, cy]]
+        return ring
+
+    shapes = [[star(-60, 0, 10, 3000), star(-60, 0, 2, 500)], [star(0, 30, 5, 65)], [star(20, -30, 0.01, 1000)], [comb(40.5, -5.25, 40)]]
+    polygons = [(i, str(i), i, [rings]) for i, rings in enumerate(shapes)]
+    points = [(rng.uniform(-71, -49), rng.uniform(-11, 11)) for _ in range(150)] + [(rng.uniform(-6, 6), rng.uniform(24, 36)) for _ in range(60)]
+    points += [(20 + rng.uniform(-0.01, 0.01), -30 + rng.uniform(-0.01, 0.01)) for _ in range(60)]
+    points += [(40 + rng.uniform(0, 82), rng.uniform(-6, 4)) for _ in range(150)]
+    # Latitudes of corners, where bands meet most often.
+    points += [(-60 + rng.uniform(-5, 5), shapes[0][0][k][1]) for k in range(0, 3000, 40)]
+    expected = {}
+    for i, (x, y) in enumerate(points):
+        inside = [p[0] for p in polygons if winding_inside(x, y, p[3][0])]
+        if inside:
+            expected[i] = inside[0]
+    table = spark.createDataFrame(polygons, "hybas_id long, pfaf string, seq long, parts array<array<array<array<double>>>>")
+    table = table.withColumns(extent_of(F.col("parts")))
+    found = placement.place_points(spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "seq long, lon double, lat double"), table)
+    assert {r.seq: r.hybas_id for r in found.collect()} == expected
+    bands = placement.banded(table).groupBy("hybas_id").agg(F.max("n_bands").alias("n"), F.sum(F.size("edges")).alias("filed")).collect()
+    assert {r.hybas_id: r.n > 1 for r in bands} == {0: True, 1: True, 2: True, 3: True}
+    assert all(r.filed <= 4 * sum(len(ring) for ring in shapes[r.hybas_id]) + 64 for r in bands)
+
+
+def test_hexagons_close_at_the_antimeridian(spark):
+    df = spark.createDataFrame([(lat, lon) for lat in (0.0, 3.7, -41.0) for lon in (179.99, -179.99, 180.0, -180.0)], "lat double, lon double")
+    for resolution in (0, 1, 3, 4):
+        ids = grid.cell_forecasts(df, "hex", (resolution,)).groupBy("lat").agg(F.count_distinct("cell_id").alias("n"))
+        on_equator = ids.where("lat = 0").first().n
+        assert on_equator == 1 and {r.n for r in ids.collect()} <= {1, 2}
+
+
+@pytest.mark.parametrize("resolution", [0, 1])
+def test_hexagons_cover_the_globe_once(spark, resolution):
+    """Areas in the equal-area projection add up to the globe, so no two hexagons overlap and nothing is left out."""
+    df = spark.range(361 * 181 * 4).selectExpr("(id % 722) / 2D - 180 AS lon", "id div 722 / 2D - 90 AS lat").where("lat <= 90 AND lon <= 180")
+    cells = grid.addressed_points(df, "hex", (resolution,)).select("res", "cell").distinct()
+    # Neighbours of the rows at the poles that no point falls in have no area left.
+    parts = SCHEMES["hex"].outlined(cells).select(F.explode("parts").alias("part")).collect()
+    total = 0.0
+    for (ring,) in (r.part for r in parts):
+        plane = [(x, math.degrees(math.sin(math.radians(y)))) for x, y in ring]
+        total += sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(plane, plane[1:])) / 2
+    assert total == pytest.approx(360 * 2 * math.degrees(1), rel=1e-3)
