@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floodspark.functions.display import round_half_even, round_half_even_tenth
@@ -12,10 +12,31 @@ from floodspark.functions.fixed_values import (
 from floodspark.operators.dedup import keep_last
 
 _SUM = "decimal(38,6)"
+#: Digits that a packed code can have.
+MOST_DIGITS = 17
+
+
+def packed_code(code: Column) -> Column:
+    """A code of digits as BIGINT behind a leading 1, so that leading zeros and the length stay; others are NULL.
+
+    Fixed width keeps first and last rules, groupings and joins on codes in hash aggregation.
+    """
+    return F.when(code.rlike(f"^[0-9]{{1,{MOST_DIGITS}}}$"), F.concat(F.lit("1"), code).try_cast("bigint"))
+
+
+def unpacked_code(packed: Column) -> Column:
+    return F.substring(packed.cast("string"), 2, MOST_DIGITS)
+
+
+def packed_prefix(packed: Column, level: Column) -> Column:
+    """The first ``level`` digits of a packed code; a shorter code stays."""
+    surplus = F.greatest(F.length(packed.cast("string")) - 1 - level, F.lit(0))
+    powers = F.array(*[F.lit(10**i) for i in range(MOST_DIGITS + 1)])
+    return F.call_function("div", packed, F.get(powers, surplus))
 
 
 def coded_impact(rows: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Sums and row counts per level-12 code: (pfaf, five fields, n_rows); rows without a code drop.
+    """Sums and row counts per level-12 code: (packed code, five fields, n_rows); rows without a code of digits drop.
 
     Summing per id first means the join sees one row per id, however often an id occurs. The lookup
     keeps the last row per id.
@@ -23,14 +44,16 @@ def coded_impact(rows: DataFrame, lookup: DataFrame) -> DataFrame:
     per_id = rows.groupBy("hybas_id").agg(
         *[F.sum(f).cast(_SUM).alias(f) for f in IMPACT_FIELDS], F.count("*").alias("n_rows")
     )
-    codes = keep_last(lookup, ["hybas_id"], ["pfaf"])
-    return per_id.join(codes.where(F.col("pfaf") != ""), "hybas_id").drop("hybas_id")
+    packed = lookup.select("hybas_id", packed_code(F.col("pfaf")).alias("packed"), "seq")
+    # A last row without a code still hides an earlier one.
+    codes = keep_last(packed.withColumn("packed", F.coalesce("packed", F.lit(0))), ["hybas_id"], ["packed"])
+    return per_id.join(codes.where("packed > 0"), "hybas_id").drop("hybas_id")
 
 
 def _coarsened(coded: DataFrame, levels) -> DataFrame:
     """Sums by the longest prefix any level needs, before rows multiply by level."""
     deepest = max(levels)
-    return coded.groupBy(F.substring("pfaf", 1, deepest).alias("prefix")).agg(
+    return coded.groupBy(packed_prefix(F.col("packed"), F.lit(deepest)).alias("prefix")).agg(
         *[F.sum(f).cast(_SUM).alias(f) for f in IMPACT_FIELDS], F.sum("n_rows").alias("n_rows")
     )
 
@@ -43,10 +66,10 @@ def region_impact(coded: DataFrame, levels=BASIN_LEVELS, flagged: DataFrame | No
     to its features needs no second pass over the alerts for that and leaves it out.
     """
     at_level = _coarsened(coded, levels).withColumn("res", F.explode(F.array(*[F.lit(v) for v in levels])))
-    keyed = at_level.withColumn("code", F.substring(F.col("prefix"), F.lit(1), F.col("res")))
-    totals = keyed.groupBy("res", "code").agg(
+    keyed = at_level.withColumn("packed", packed_prefix(F.col("prefix"), F.col("res")))
+    totals = keyed.groupBy("res", "packed").agg(
         *[F.coalesce(F.sum(f), F.lit(0)).cast("double").alias(f) for f in IMPACT_FIELDS]
-    )
+    ).select("res", unpacked_code(F.col("packed")).alias("code"), *IMPACT_FIELDS)
     return totals if flagged is None else totals.join(flagged.select("res", "code"), ["res", "code"], "left_semi")
 
 
@@ -55,7 +78,7 @@ def matched_rows(coded: DataFrame, flagged: DataFrame, levels=BASIN_LEVELS) -> D
     at_level = _coarsened(coded, levels).select(
         "prefix", "n_rows", F.explode(F.array(*[F.lit(v) for v in levels])).alias("res")
     )
-    keyed = at_level.withColumn("code", F.substring(F.col("prefix"), F.lit(1), F.col("res")))
+    keyed = at_level.withColumn("code", unpacked_code(packed_prefix(F.col("prefix"), F.col("res"))))
     hits = keyed.join(flagged.select("res", "code"), ["res", "code"], "left_semi")
     # All rows of a prefix hit the same levels, so each prefix counts once.
     once = hits.groupBy("prefix").agg(F.max("n_rows").alias("n_rows"))

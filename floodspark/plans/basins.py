@@ -34,7 +34,8 @@ def read_inputs(
     gauges, exposure files or code lookup only leave their part out.
 
     ``tiers`` and ``labels`` replace the severity rules, ``min_mean_flow`` drops smaller rivers, and
-    ``seq_column`` and ``multi_line`` (for cells that hold line breaks) go to the three CSV readers.
+    ``seq_column`` and ``multi_line`` (for cells that hold line breaks) go to the three CSV readers, ``multi_line`` to the exposure
+    files as well.
     """
     for path in (crosswalk_csv, reaches_csv, *[polygon_source.level_file(basin_folder, v) for v in {base_level, *levels}]):
         if not text_files.path_exists(spark, path):
@@ -46,7 +47,7 @@ def read_inputs(
         ingested = table if ingested is None else ingested.unionByName(table)
     rows = lookup = None
     if impact_folder and text_files.path_exists(spark, polygon_source.level_file(basin_folder, 12)):
-        files = text_files.read_impact_files(spark, impact_folder)
+        files = text_files.read_impact_files(spark, impact_folder, multi_line=csv_options.get("multi_line", False))
         if files:
             rows = text_files.parse_impact(files)
             lookup = polygon_source.read_code_lookup(spark, basin_folder)
@@ -78,14 +79,16 @@ def tallies(alerts: DataFrame, polygons: DataFrame, levels=BASIN_LEVELS, base_le
 
 def features(
     level_tallies: DataFrame, polygons: DataFrame, impact_rows: DataFrame | None = None,
-    code_lookup: DataFrame | None = None, levels=BASIN_LEVELS, base_level: int = BASE_LEVEL,
+    code_lookup: DataFrame | None = None, levels=BASIN_LEVELS, base_level: int = BASE_LEVEL, coded: DataFrame | None = None,
 ) -> DataFrame:
-    """Features of all levels with ids and, where there are exposure rows, totals; no geometry."""
+    """Features of all levels with ids and, where there are exposure rows, totals; no geometry. A build passes the
+    exposure sums by code that it has staged."""
     region_ids = regions.first_per_code(polygons.where(F.col("level") != base_level))
     found = regions.level_features(level_tallies, region_ids)
-    if impact_rows is None or code_lookup is None:
-        return found
-    coded = impact.coded_impact(impact_rows, code_lookup)
+    if coded is None:
+        if impact_rows is None or code_lookup is None:
+            return found
+        coded = impact.coded_impact(impact_rows, code_lookup)
     return impact.with_impact(found, impact.region_impact(coded, levels))
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from floodspark.functions.fixed_values import (
-    BASE_LEVEL, BASIN_LEVELS, FORECAST_FIELDS, HEX_RESOLUTIONS, KIND_BASINS, KIND_HEX, KIND_S2, S2_LEVELS,
+    BASE_LEVEL, BASIN_LEVELS, FORECAST_FIELDS, GAUGE_MODEL, HEX_RESOLUTIONS, KIND_BASINS, KIND_HEX, KIND_S2, RIVER_MODEL, S2_LEVELS,
 )
-from floodspark.operators import documents, forecasts, grid, regions
+from floodspark.operators import documents, forecasts, grid, impact, regions
 from floodspark.operators.points import open_points, usable
 from floodspark.plans import basins, cells, report
-from floodspark.session import stage_folder, staged
+from floodspark.session import removed, stage_folder, staged
 from floodspark.sources import collections
 
 DEFAULT_RESOLUTIONS = {"s2": S2_LEVELS, "hex": HEX_RESOLUTIONS}
@@ -24,16 +26,32 @@ def build_basins(
 ) -> None:
     """Write the collection: tables ``features``, ``tallies``, ``forecasts``, ``report`` and GeoJSON lines.
 
-    Placed alerts and tallies are used several times, so they are staged as tables; a lost executor
-    then costs a re-read, not a re-join. ``list_bound`` is about how many forecasts a document lists.
+    Every input is read once: what is parsed of it, placed alerts, tallies and features are staged as tables, and a lost
+    executor then costs a re-read, not a re-join. The counters of the report are taken while these tables are written, the
+    rest from the staged tables. ``list_bound`` is about how many forecasts a document lists.
     """
     stage, target = stage_folder(spark, folder), collections.new_snapshot(folder)
+    seen = {name: Observation(name) for name in ("crosswalk", "gauges", "alerts", "features")}
     shapes = staged(inputs.polygons, stage, "polygons")
-    inputs = basins.BasinInputs(**{**inputs.__dict__, "polygons": shapes})
-    alerts = staged(basins.placed_alerts(inputs, base_level), stage, "alerts")
+    # Staged before they are placed: the row numbers that gauges are joined back on are then the same ones.
+    inputs = replace(
+        inputs, polygons=shapes, reaches=staged(inputs.reaches, stage, "reaches"),
+        crosswalk=staged(inputs.crosswalk.observe(seen["crosswalk"], F.count_if("is_hole").alias("crosswalk_holes")), stage, "crosswalk"),
+        gauges=staged(inputs.gauges.observe(seen["gauges"], F.count(F.lit(1)).alias("gauge_alerts")), stage, "gauges"),
+        code_lookup=None if inputs.code_lookup is None else staged(inputs.code_lookup, stage, "lookup"),
+    )
+    coded = None
+    if inputs.impact_rows is not None and inputs.code_lookup is not None:
+        coded = staged(impact.coded_impact(inputs.impact_rows, inputs.code_lookup), stage, "coded")
+    alerts = staged(basins.placed_alerts(inputs, base_level).observe(
+        seen["alerts"], F.count_if(F.col("model") == GAUGE_MODEL).alias("gauges_placed"), F.count_if(F.col("model") == RIVER_MODEL).alias("basins_river")
+    ), stage, "alerts")
     level_tallies = staged(basins.tallies(alerts, shapes, levels, base_level), stage, "tallies")
-    found = basins.features(level_tallies, shapes, inputs.impact_rows, inputs.code_lookup, levels, base_level)
-    shaped = staged(basins.with_geometry(found, shapes), stage, "features")
+    found = basins.features(level_tallies, shapes, None, None, levels, base_level, coded)
+    with_impact = [F.count("impact").alias("features_with_impact")] if coded is not None else []
+    shaped = staged(basins.with_geometry(found, shapes).observe(
+        seen["features"], *[F.count_if(F.col("res") == v).alias(f"features_level_{v}") for v in levels], F.count(F.lit(1)).alias("features"), *with_impact
+    ), stage, "features")
     rows = regions.level_forecasts(alerts, basins.base_polygons(shapes, base_level), levels, base_level)
 
     ids = shaped.select("res", "code", F.col("basin_id").cast("string").alias("cell_id"))
@@ -49,9 +67,12 @@ def build_basins(
     large = staged(documents.large_regions(shaped, basins.REGION, list_bound), stage, "large")
     collections.write_lines(basins.lines(shaped, rows, large=large), target)
     collections.write_manifest(spark, target, KIND_BASINS, levels)
-    counters = report.basin_report(inputs, levels, base_level, alerts, level_tallies, shaped)
-    counters.coalesce(1).write.mode("overwrite").parquet(f"{target}/report")
+    counted = {k: v for one in seen.values() for k, v in one.get.items()}
+    counted["gauges_outside"] = counted["gauge_alerts"] - counted["gauges_placed"]
+    more = report.staged_counters(inputs, alerts, level_tallies, coded, levels, base_level)
+    report.written(spark, counted).unionByName(more).coalesce(1).write.parquet(f"{target}/report")
     collections.publish(spark, folder, target)
+    removed(spark, stage)
 
 
 def build_cells(
@@ -99,3 +120,4 @@ def build_cells(
     }
     report.written(spark, {**counted, **skipped}).write.parquet(f"{target}/report")
     collections.publish(spark, folder, target)
+    removed(spark, stage)

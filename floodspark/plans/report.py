@@ -60,11 +60,7 @@ def basin_report(
     ).select(
         "gauge_alerts", "gauges_placed", (F.col("gauge_alerts") - F.col("gauges_placed")).alias("gauges_outside"), "basins_river"
     )
-    # Base-level regions that more than one flagged basin shares a code for.
-    coded = per_basin.join(base.select("hybas_id", "pfaf"), "hybas_id")
-    shared = coded.groupBy("pfaf").agg(
-        (F.max("hybas_id") != F.min("hybas_id")).alias("shared")
-    ).agg(F.count_if("shared").alias("codes_shared"))
+    shared = _shared_codes(per_basin, base)
     features_by_level = found.groupBy("res").agg(F.count("*").alias("value")).select(
         F.concat(F.lit("features_level_"), F.col("res")).alias("metric"), "value"
     )
@@ -87,6 +83,32 @@ def basin_report(
     return _union(tables)
 
 
+def _shared_codes(per_basin: DataFrame, base: DataFrame) -> DataFrame:
+    """Base-level regions that more than one flagged basin shares a code for."""
+    coded = per_basin.join(base.select("hybas_id", "pfaf"), "hybas_id")
+    return coded.groupBy("pfaf").agg((F.max("hybas_id") != F.min("hybas_id")).alias("shared")).agg(F.count_if("shared").alias("codes_shared"))
+
+
+def staged_counters(
+    inputs: basins.BasinInputs, alerts: DataFrame, tallies: DataFrame, coded: DataFrame | None, levels=BASIN_LEVELS, base_level: int = BASE_LEVEL,
+) -> DataFrame:
+    """Counters that need a grouping, from the staged tables of a build."""
+    crosswalk = forecasts.clean_crosswalk(inputs.crosswalk)
+    per_basin = regions.tally(alerts, ["hybas_id"])
+    tables = [
+        _count(crosswalk, "crosswalk_basins"),
+        _count(forecasts.only_in_crosswalk(forecasts.flagged_reaches(inputs.reaches, inputs.tiers), crosswalk), "reaches_flooding"),
+        _count(per_basin.select("hybas_id").distinct(), "basins_both"),
+        _metrics(_shared_codes(per_basin, basins.base_polygons(inputs.polygons, base_level))),
+    ]
+    if coded is not None:
+        tables += [
+            _metrics(inputs.code_lookup.agg(F.count_distinct("hybas_id").alias("lookup_basins"))),
+            _metrics(impact.matched_rows(coded, tallies, levels).withColumnRenamed("matched_rows", "impact_rows_matched")),
+        ]
+    return _union(tables)
+
+
 def cell_report(points: DataFrame, usable: DataFrame, scheme: str, resolutions) -> DataFrame:
     """Counters of a grid build: points read and skipped, cells per resolution."""
     per_cell = grid.cell_tallies(usable, scheme, resolutions)

@@ -56,3 +56,10 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Takes away the intermediate tables of a build that has ended."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, DoubleType, FloatType, IntegralType
 
+from floodspark.functions.parsing import strict_int
 from floodspark.functions.planar import PARTS_TYPE, extent_of
 from floodspark.sources.file_order import with_file_rank
 
@@ -62,16 +64,39 @@ def _decode_polygons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
+def _whole_number(raw: DataFrame, name: str) -> Column:
+    """BIGINT of an id that is held as text or as a number; what is no whole number is NULL, never an error."""
+    kind = raw.schema[name].dataType
+    if isinstance(kind, (FloatType, DoubleType, DecimalType)):
+        return F.when(F.col(name) == F.floor(F.col(name)), F.col(name).try_cast("bigint"))
+    return F.col(name).cast("bigint") if isinstance(kind, IntegralType) else strict_int(F.col(name).cast("string"))
+
+
+def _code_text(raw: DataFrame, name: str) -> Column:
+    """A code as text; one that is held as a floating number loses the form of such numbers."""
+    kind = raw.schema[name].dataType
+    return (_whole_number(raw, name) if isinstance(kind, (FloatType, DoubleType, DecimalType)) else F.col(name)).cast("string")
+
+
+def polygon_drops(raw: DataFrame) -> DataFrame:
+    """One row of counts: polygons, and those that the ingest drops for their id, code or geometry."""
+    bad_id, no_code, no_shape = _whole_number(raw, "HYBAS_ID").isNull(), _code_text(raw, "PFAF_ID").isNull(), F.col("geometry").isNull()
+    return raw.agg(
+        F.count(F.lit(1)).alias("polygons"), F.count_if(bad_id).alias("without_id"), F.count_if(~bad_id & no_code).alias("without_code"),
+        F.count_if(~bad_id & ~no_code & no_shape).alias("without_shape"),
+    )
+
+
 def ingest_polygons(raw: DataFrame, level: int) -> DataFrame:
     """(level, hybas_id, pfaf, seq, multi, parts, xmin, ymin, xmax, ymax), one row per basin id.
 
     Input has HYBAS_ID, PFAF_ID (text or number), geometry (WKB) and seq, a BIGINT row order. Of
-    rows with the same id the first stays. Rows without a code or a geometry are dropped; compare
-    counts to report them. The order is settled on the slim columns, so no geometry is sorted.
+    rows with the same id the first stays. Rows without a whole number as id, a code or a geometry are
+    dropped; :func:`polygon_drops` counts them. The order is settled on the slim columns, so no geometry is sorted.
     """
     rows = raw.select(
-        F.col("HYBAS_ID").cast("bigint").alias("hybas_id"),
-        F.col("PFAF_ID").cast("string").alias("pfaf"),
+        _whole_number(raw, "HYBAS_ID").alias("hybas_id"),
+        _code_text(raw, "PFAF_ID").alias("pfaf"),
         F.col("seq"),
         "geometry",
     ).where(F.col("hybas_id").isNotNull() & F.col("pfaf").isNotNull() & F.col("geometry").isNotNull())
@@ -108,6 +133,6 @@ def read_code_lookup(spark: SparkSession, folder: str, level: int = 12) -> DataF
     raw = spark.read.parquet(level_file(folder, level))
     return _with_row_order(
         raw,
-        F.col("HYBAS_ID").cast("bigint").alias("hybas_id"),
-        F.col("PFAF_ID").cast("string").alias("pfaf"),
-    )
+        _whole_number(raw, "HYBAS_ID").alias("hybas_id"),
+        _code_text(raw, "PFAF_ID").alias("pfaf"),
+    ).where(F.col("hybas_id").isNotNull())

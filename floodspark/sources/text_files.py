@@ -30,9 +30,8 @@ def read_csv_text(
     """CSV with a header as all-text columns plus ``seq``.
 
     Header names are trimmed; a byte-order mark is dropped. A missing required column, or an empty
-    file, is an error; a missing optional column is all NULL. ``seq`` is the given column when the input
-    carries its own row number (one BIGINT aggregates faster), else the position in the
-    files, in path order.
+    file, is an error; a missing optional column is all NULL. ``seq``, DECIMAL(38,0) in every case, is the given column
+    when the input carries its own row number, else the position in the files, in path order.
     """
     # Files of one input must agree in their header; otherwise cells would land in the wrong column.
     raw = spark.read.csv(
@@ -64,7 +63,7 @@ def read_csv_text(
         return ranked.withColumn(SEQ, order).drop("file_rank", "_block", "_row")
     # A row without a number would have no place, and its key would match nothing.
     numbered = F.when(order.isNotNull(), order).otherwise(F.raise_error(F.lit(f"{seq_column}: not a whole number")).cast("bigint"))
-    return raw.select(*columns, numbered.alias(SEQ))
+    return raw.select(*columns, numbered.cast("decimal(38,0)").alias(SEQ))
 
 
 def read_crosswalk(spark: SparkSession, path, **options) -> DataFrame:
@@ -85,17 +84,17 @@ def read_gauges(spark: SparkSession, path, **options) -> DataFrame:
     """Gauge alerts; a missing file is an empty input."""
     if not path_exists(spark, path):
         schema = ", ".join(f"`{name}` string" for name in GAUGE_COLUMNS)
-        return spark.createDataFrame([], f"{schema}, {SEQ} bigint")
+        return spark.createDataFrame([], f"{schema}, {SEQ} decimal(38,0)")
     return read_csv_text(spark, path, (), GAUGE_COLUMNS, **options)
 
 
-def read_impact_files(spark: SparkSession, folder: str, files=None) -> dict[str, DataFrame]:
-    """The exposure files that exist, by name, as text."""
+def read_impact_files(spark: SparkSession, folder: str, files=None, multi_line: bool = False) -> dict[str, DataFrame]:
+    """The exposure files that exist, by name, as text; ``multi_line`` if cells hold line breaks."""
     found = {}
     for name, columns in (files or IMPACT_FILES).items():
         path = f"{folder.rstrip('/')}/{name}"
         if path_exists(spark, path):
-            found[name] = read_csv_text(spark, path, (), ("HYBAS_ID", *columns)).drop(SEQ)
+            found[name] = read_csv_text(spark, path, (), ("HYBAS_ID", *columns), multi_line=multi_line).drop(SEQ)
     return found
 
 

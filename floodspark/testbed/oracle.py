@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import math
 
-from floodspark.functions.cells import S2_POSITION, S2_TURN
+# The published tables of the curve, stated a second time so that a wrong one shows. By orientation and
+# 2 * i-bit + j-bit the position on the curve; by position the change of orientation.
+S2_POSITION = ((0, 1, 3, 2), (0, 3, 1, 2), (2, 3, 1, 0), (2, 1, 3, 0))
+S2_TURN = (1, 0, 0, 3)
 
 LEVELS = (4, 5, 6, 7, 8)
 N_CODES = 9**8
@@ -468,4 +471,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT c_custkey, CASE WHEN c_custkey % 9 <= 3 THEN CAST(c_custkey % 9 + 4 AS INTEGER) WHEN c_custkey % 9 = 4 THEN 0
             WHEN c_custkey % 9 = 8 THEN 8 END AS res FROM customer)""",
     }
+    out["stored_report"] = out["build_report"]
     return out

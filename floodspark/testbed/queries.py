@@ -212,6 +212,14 @@ def build_report(spark, sf_dir):
     return report.basin_report(fixtures.basin_inputs(spark, sf_dir, exposure=True), LEVELS)
 
 
+@query
+def stored_report(spark, sf_dir):
+    """The same counters as a build takes them while it writes."""
+    folder = fixtures.collection_folder(spark)
+    builds.build_basins(spark, fixtures.basin_inputs(spark, sf_dir, exposure=True), folder, LEVELS)
+    return collections.read_report(spark, folder)
+
+
 @query
 def point_report(spark, sf_dir):
     raw = fixtures.raw_points(spark, sf_dir)
