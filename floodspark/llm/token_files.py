@@ -197,7 +197,7 @@ def _encoder(path: str, added_tokens: bool) -> Callable[[list[str]], Iterator[li
 
 def write_tokens(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_column: str = "doc_id", text: str = "text",
-    segment_ids: int = 1 << 18, partitions: int | None = None, added_tokens: bool = False,
+    segment_ids: int = 1 << 18, partitions: int | None = None, added_tokens: bool = True,
 ) -> None:
     """Encode whole texts and write ``folder/segments``, in ascending order of the id.
 
