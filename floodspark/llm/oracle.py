@@ -33,10 +33,11 @@ def _uuid(*parts: str) -> str:
 
 
 def _plain_text(html: str) -> str:
-    hidden = "script|style|noscript|template|head"
     breaks = "p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|blockquote|pre|title"
     text = f"regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g')"
-    text = rf"regexp_replace({text}, '(?is)<({hidden})\b[^>]*>.*?</({hidden})\s*>', ' ', 'g')"
+    hidden = "|".join(rf"{name}\b[^>]*>.*?</{name}" for name in ("script", "style", "noscript", "template"))
+    text = rf"regexp_replace({text}, '(?is)<(?:{hidden})\s*>', ' ', 'g')"
+    text = rf"regexp_replace({text}, '(?is)<head\b[^>]*>.*?(</head\s*>|<body\b)', ' \1', 'g')"
     text = rf"regexp_replace({text}, '(?i)</?({breaks})\b[^>]*>', chr(10), 'g')"
     text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
     for name, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):

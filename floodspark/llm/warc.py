@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose content is not text, tags that end a line, and named character references.
-HIDDEN = "script|style|noscript|template|head"
+HIDDEN = ("script", "style", "noscript", "template")
 BREAKS = "p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|blockquote|pre|title"
 REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
@@ -23,7 +23,10 @@ REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&
 def plain_text(html: Column) -> Column:
     """Visible text: comments and hidden elements go, block tags end lines, references are resolved."""
     text = F.regexp_replace(html, "(?s)<!--.*?-->", " ")
-    text = F.regexp_replace(text, rf"(?is)<({HIDDEN})\b[^>]*>.*?</({HIDDEN})\s*>", " ")
+    hidden = "|".join(rf"{name}\b[^>]*>.*?</{name}" for name in HIDDEN)
+    text = F.regexp_replace(text, rf"(?is)<(?:{hidden})\s*>", " ")
+    # The end tag of the head may be missing; then the body ends it.
+    text = F.regexp_replace(text, r"(?is)<head\b[^>]*>.*?(</head\s*>|<body\b)", " $1")
     text = F.regexp_replace(text, rf"(?i)</?({BREAKS})\b[^>]*>", "\n")
     text = F.regexp_replace(text, "<[^>]*>", "")
     for name, character in REFERENCES:

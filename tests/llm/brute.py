@@ -63,7 +63,6 @@ def token_rows(rows: list[tuple], end: int = 0) -> list[tuple]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: r[0]):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
