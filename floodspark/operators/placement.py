@@ -56,7 +56,9 @@ def banded(polygons: DataFrame, band_edges: int = BAND_EDGES) -> DataFrame:
     small = edged.where(F.size("edges") <= band_edges)
     upright = F.aggregate("edges", F.lit(0.0), lambda total, e: total + F.abs(e.y2 - e.y1)) / (F.col("ymax") - F.col("ymin"))
     bands = F.least(F.ceil(F.size("edges") / band_edges), F.ceil(F.size("edges") * 3 / F.greatest(upright, F.lit(1.0))))
-    each = edged.where(F.size("edges") > band_edges).withColumn("n_bands", bands.cast("int")).withColumn("edge", F.explode("edges"))
+    # The whole array stays behind: no exploded edge carries it along.
+    counted = edged.where(F.size("edges") > band_edges).withColumn("n_bands", bands.cast("int"))
+    each = counted.select(*known, "n_bands", F.explode("edges").alias("edge"))
     low, high = F.least("edge.y1", "edge.y2"), F.greatest("edge.y1", "edge.y2")
     filed = each.select(*known, "n_bands", "edge", F.explode(F.sequence(_band(low), _band(high))).alias("band"))
     large = filed.groupBy(*known, "n_bands", "band").agg(F.collect_list("edge").alias("edges"))
