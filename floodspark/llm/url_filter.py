@@ -1,9 +1,14 @@
 """URL verdicts: explicit rules first, gradient-boosted trees on lexical features for the rest.
 
 The trees are trained on URLs whose verdict is known, and use the text of the URL only: lengths, depth,
-digit ratio, character entropy, parameter counts, and how often URLs of the same suffix are blocked.
+digit ratio, character entropy, parameter counts, and how often labelled URLs of the same suffix are blocked.
 Everything is DataFrame and Spark ML code in the JVM.
 
+Labels come from rules, and rules name suffixes, so a suffix rate could repeat the label. Hence rates count each
+labelled URL once, over all of them; a suffix whose labelled URLs all have one verdict gets the prior like a
+suffix never seen; and training is out of fold: half of the sampled URLs see the rates of the other half's fold
+of all labelled URLs, the rest see the prior, so the trees also learn what to do without a rate.
+
 Edge cases: a NULL URL, or one without ``://``, has an empty host and path, fits no rule and is judged by the
 trees like any other; repeated rows get equal verdicts; without labelled URLs of both classes the verdict is
 the only class there is, or ``allow``; the names of added columns are fixed and replace none of the input's,
@@ -19,6 +24,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from floodspark.llm.common import scratch, staged
+
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters",
     "query_length", "has_fragment", "is_secure", "suffix_rate",
@@ -98,7 +105,7 @@ def lexical(split: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Trained trees with the suffix table they were trained with, or one fixed verdict."""
+    """Trained trees with the stored table of suffix rates, or one fixed verdict."""
 
     trees: GBTClassificationModel | None
     suffixes: DataFrame | None
@@ -109,8 +116,7 @@ class UrlModel:
         if self.trees is None:
             verdict = "block" if self.prior > 0.5 else "allow"
             return features.withColumns({"judged": F.lit(verdict), "block_score": F.lit(float(self.prior > 0.5))})
-        # The table has no more rows than the sample it was counted on.
-        rated = features.join(F.broadcast(self.suffixes), "suffix", "left").fillna(self.prior, ["suffix_rate"])
+        rated = features.join(self.suffixes, "suffix", "left").fillna(self.prior, ["suffix_rate"])
         scored = self.trees.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rated))
         verdict = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
         # The log-odds of the trees; the raw prediction column is a vector of -2 F and 2 F.
@@ -119,31 +125,37 @@ class UrlModel:
         return scored.withColumns({"judged": verdict, "block_score": vector_to_array("probability")[1]})
 
 
+def suffix_rates(labelled: DataFrame, prior: float, smooth: float) -> DataFrame:
+    """(suffix, suffix_rate) of the suffixes with labelled URLs of both verdicts, drawn towards the prior."""
+    counts = labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+    mixed = counts.where((F.col("blocked") > 0) & (F.col("blocked") < F.col("n")))
+    return mixed.select("suffix", ((F.col("blocked") + smooth * prior) / (F.col("n") + smooth)).alias("suffix_rate"))
+
+
 def fit(features: DataFrame, most_rows: int = 10_000, trees: int = 12, depth: int = 4, smooth: float = 20.0) -> UrlModel:
-    """Trees from the rows that a rule decided.
+    """Trees from the different URLs that a rule decided.
 
-    ``most_rows`` bounds the labelled rows (those of the smallest hashes of their URL), which also bounds
-    the suffix table and the training time.
+    ``most_rows`` bounds the URLs that the trees are trained on (those of the smallest hashes). The prior and the
+    suffix rates are counted over all labelled URLs and kept in a table, however many suffixes there are.
     """
-    chosen = ["suffix", "label", *[x for x in FEATURES if x != "suffix_rate"]]
-    labelled = features.where(F.col("ruled").isNotNull()).withColumn("label", (F.col("ruled") == "block").cast("double"))
-    sample = labelled.orderBy(F.xxhash64("url"), "url").limit(most_rows).select(*chosen).cache()
-    try:
-        rows, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-        prior = blocked / rows if rows else 0.0
-        if not 0.0 < prior < 1.0:
-            return UrlModel(None, None, prior)
-        rate = (F.sum("label") + smooth * prior) / (F.count("*") + smooth)
-        suffixes = sample.groupBy("suffix").agg(rate.alias("suffix_rate"))
-        # A table of a few rows, kept as values so that the model does not depend on the sample.
-        suffixes = features.sparkSession.createDataFrame(suffixes.collect(), "suffix string, suffix_rate double")
-        table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
-            sample.join(F.broadcast(suffixes), "suffix")
-        )
-        boost = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=7)
-        return UrlModel(boost.fit(table.select("label", "features")), suffixes, prior)
-    finally:
-        sample.unpersist()
+    spark = features.sparkSession
+    folder = scratch(spark)
+    ruled = features.where(F.col("ruled").isNotNull()).select("url", "host", "path", "suffix", "ruled").distinct()
+    label, fold = (F.col("ruled") == "block").cast("double"), F.pmod(F.xxhash64(F.lit(11), "url"), F.lit(2))
+    labelled = staged(ruled.withColumns({"label": label, "fold": fold}), folder, "labelled")
+    rows, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    prior = blocked / rows if rows else 0.0
+    if not 0.0 < prior < 1.0:
+        return UrlModel(None, None, prior)
+    suffixes = staged(suffix_rates(labelled, prior, smooth), folder, "suffixes")
+    unseen = suffix_rates(labelled.where("fold = 1"), prior, smooth).withColumn("fold", F.lit(0).cast("bigint"))
+    sample = labelled.orderBy(F.xxhash64("url"), "url").limit(most_rows)
+    rated = lexical(sample).join(unseen, ["suffix", "fold"], "left").fillna(prior, ["suffix_rate"])
+    # The table has no more than most_rows rows.
+    table = staged(rated.select("url", "label", *FEATURES), folder, "training").orderBy("url")
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
+    boost = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=7)
+    return UrlModel(boost.fit(vectors.select("label", "features")), suffixes, prior)
 
 
 def filter_urls(

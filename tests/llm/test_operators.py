@@ -225,6 +225,29 @@ def test_url_trees_learn(spark):
     assert right / known.count() > 0.95
 
 
+def test_url_suffix_rates_do_not_repeat_the_rules(spark, sf_dir):
+    # Every labelled net page is blocked; pages of net without a rule must still be judged by more than that.
+    found = QUERIES["op5_url_filter"](spark, sf_dir).where("rule is null and host like '%.net'")
+    blocked = found.where("verdict = 'block'").count()
+    assert blocked < found.count()
+    rows = [("net", 1.0), ("net", 1.0), ("com", 0.0), ("com", 1.0), ("com", 0.0), ("com", 0.0)]
+    rates = url_filter.suffix_rates(spark.createDataFrame(rows, "suffix string, label double"), 0.5, 4.0).collect()
+    assert [(r.suffix, r.suffix_rate) for r in rates] == [("com", 0.375)]
+
+
+def test_url_repeats_and_long_urls(spark):
+    long = "http://a.com/" + "x1/" * 40_000
+    pages = [(1, long), (2, long), (3, "http://b.net/es/1"), *[(k, "http://c.com/hot") for k in range(4, 300)], (300, "http://d.net/de/")]
+    spread = pages + [(1000 + k, f"http://h{k}.{'net/es' if k % 2 else 'com/a'}/{k}") for k in range(60)]
+    frame = spark.createDataFrame(spread, "page_id bigint, url string").withColumn("suffix_rate", F.lit("x")).withColumn("label", F.lit("y"))
+    found = {r.page_id: r for r in url_filter.filter_urls(frame, RULES, trees=2).collect()}
+    assert len(found) == len(spread)
+    assert found[1].verdict == found[2].verdict == "allow" and len(found[1].path) == len(long) - len("http://a.com")
+    assert found[3].verdict == "block" and found[4].verdict == "allow"
+    model = url_filter.fit(url_filter.lexical(url_filter.split_urls(frame, RULES)), trees=1)
+    assert abs(model.prior - 31 / 63) < 1e-9  # repeated URLs count once
+
+
 def test_language_held_out(spark, sf_dir, docs, empty):
     found = QUERIES["op6_language_id"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = found.where("held_out")
