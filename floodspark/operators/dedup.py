@@ -1,7 +1,8 @@
 """First-wins and last-wins rules.
 
 ``max_by``/``min_by`` aggregate on the map side, so a key that holds a large share of the rows
-arrives at its task as one row per map task; a ranking window would ship and sort them all.
+arrives at its task as one row per map task; a ranking window would ship and sort them all. All columns
+of a key compare the same orders in the same sequence of rows, so rows of equal order never mix.
 """
 
 from __future__ import annotations
