@@ -6,6 +6,7 @@ window occurs exactly where a posting of its rarest term, moved back by the term
 the window's words. Rarity is counted over all texts. Phrase search joins windows and postings on the term;
 proximity search joins groups of terms and postings on the group's rarest term, and asks for the others among
 the words around the posting. In both, the words kept with a posting stand in for intersecting posting lists.
+Every text also has one posting of ``END`` behind its last word, so the index knows the lengths of the texts.
 
 DataFrame operations only. Edge cases: NULL and empty texts have no words; an item without words is never
 found; repeated rows get equal results; equal windows of several items count for each; empty tables give no
@@ -24,6 +25,8 @@ from floodspark.llm.common import row_keys, scratch, staged
 WINDOW = 10
 #: Words on either side of a posting that are kept at least; no proximity search can reach farther.
 SPAN = 20
+#: The term of the posting behind the last word of a text; words are never empty.
+END = ""
 #: Terms in one broadcast table; more terms are looked up in several passes over the texts.
 TERMS_IN_BLOCK = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,9 +101,10 @@ def build_index(docs: DataFrame, rarest: DataFrame, counts: DataFrame, folder: s
         F.greatest(F.max("offset"), F.lit(span)).alias("back"),
         F.greatest(F.max(F.size("window") - F.col("offset")), F.lit(span + 1)).alias("ahead"),
     )
+    reach = reach.unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("term"), F.lit(0).alias("back"), F.lit(0).alias("ahead")))
     k1, k2 = row_keys(key, text)
     split = docs.select(k1.alias("k1"), k2.alias("k2"), words(F.col(f"`{text}`")).alias("w"))
-    exploded = split.select("k1", "k2", "w", F.posexplode("w").alias("position", "term"))
+    exploded = split.select("k1", "k2", "w", F.posexplode(F.array_append("w", F.lit(END))).alias("position", "term"))
     found = None
     for block in _blocks(docs.sparkSession, reach):
         start = F.greatest(F.col("position") - F.col("back"), F.lit(0))
@@ -232,11 +236,12 @@ def hit_words(hits: Column) -> Column:
     return F.aggregate(ordered, start, add)["n"]
 
 
-def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, k1, k2) of every row."""
+def word_counts(docs: DataFrame, index: Postings, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_words, k1, k2) of every row, from the postings of the ends of texts."""
     k1, k2 = row_keys(key, text)
-    count = F.regexp_count(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    return docs.select(F.col(f"`{key}`").alias("doc_id"), count.cast("bigint").alias("n_words"), k1.alias("k1"), k2.alias("k2"))
+    # Rows that agree in id and text have one length and several postings.
+    ends = index.table.where(F.col("term") == END).groupBy("k1", "k2").agg(F.max("position").cast("bigint").alias("n_words"))
+    return docs.select(F.col(f"`{key}`").alias("doc_id"), k1.alias("k1"), k2.alias("k2")).join(ends, ["k1", "k2"])
 
 
 def report(docs: DataFrame, items: DataFrame, span: int = SPAN, **columns) -> DataFrame:
@@ -252,7 +257,7 @@ def report(docs: DataFrame, items: DataFrame, span: int = SPAN, **columns) -> Da
     near = staged(window_proximity(index, span), index.folder, "near")
     places = near.groupBy("k1", "k2").agg(F.countDistinct("position").alias("n_near"))
     close = places.join(_items(near, index.windows, "near_items"), ["k1", "k2"])
-    joined = word_counts(docs, key, text).join(found, ["k1", "k2"], "left").join(close, ["k1", "k2"], "left")
+    joined = word_counts(docs, index.postings, key, text).join(found, ["k1", "k2"], "left").join(close, ["k1", "k2"], "left")
     none = F.array().cast("array<string>")
     return joined.select(
         "doc_id", "n_words", F.coalesce(hit_words(F.col("hits")), F.lit(0)).cast("bigint").alias("n_hit"),
