@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodspark.functions.fixed_values import BASE_LEVEL, BASIN_LEVELS, RETURN_PERIOD_TIERS
+from floodspark.functions.fixed_values import BASE_LEVEL, BASIN_LEVELS, IMPACT_FILES, RETURN_PERIOD_TIERS
 from floodspark.operators import documents, forecasts, impact, placement, regions
 from floodspark.sources import polygons as polygon_source, text_files
 
 
 @dataclass
 class BasinInputs:
-    """Parsed inputs. ``polygons`` is the ingested table of all levels."""
+    """Parsed inputs. ``polygons`` is the ingested table of all levels, ``malformed`` the lines of the CSV inputs that
+    are not as they should be; None where nobody looked."""
 
     crosswalk: DataFrame
     reaches: DataFrame
@@ -23,6 +25,7 @@ class BasinInputs:
     impact_rows: DataFrame | None = None
     code_lookup: DataFrame | None = None
     tiers: tuple = RETURN_PERIOD_TIERS
+    malformed: DataFrame | None = None
 
 
 def read_inputs(
@@ -35,7 +38,7 @@ def read_inputs(
 
     ``tiers`` and ``labels`` replace the severity rules, ``min_mean_flow`` drops smaller rivers, and
     ``seq_column`` and ``multi_line`` (for cells that hold line breaks) go to the three CSV readers, ``multi_line`` to the exposure
-    files as well.
+    files as well. Without ``multi_line``, the lines that do not stand for themselves are told in ``malformed``.
     """
     for path in (crosswalk_csv, reaches_csv, *[polygon_source.level_file(basin_folder, v) for v in {base_level, *levels}]):
         if not text_files.path_exists(spark, path):
@@ -51,11 +54,18 @@ def read_inputs(
         if files:
             rows = text_files.parse_impact(files)
             lookup = polygon_source.read_code_lookup(spark, basin_folder)
+    malformed = None
+    if not csv_options.get("multi_line", False):
+        paths = {"crosswalk": crosswalk_csv, "reaches": reaches_csv, "gauges": gauges_csv}
+        if rows is not None:
+            paths |= {name: f"{impact_folder.rstrip('/')}/{name}" for name in IMPACT_FILES}
+        found = [text_files.malformed_lines(spark, path, name) for name, path in paths.items() if text_files.path_exists(spark, path)]
+        malformed = reduce(DataFrame.unionByName, found)
     return BasinInputs(
         text_files.parse_crosswalk(text_files.read_crosswalk(spark, crosswalk_csv, **csv_options)),
         text_files.parse_reaches(text_files.read_reaches(spark, reaches_csv, **csv_options), tiers, min_mean_flow),
         text_files.parse_gauges(text_files.read_gauges(spark, gauges_csv, **csv_options), labels),
-        ingested, rows, lookup, tiers,
+        ingested, rows, lookup, tiers, malformed,
     )
 
 

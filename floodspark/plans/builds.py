@@ -22,13 +22,15 @@ KINDS = {"s2": KIND_S2, "hex": KIND_HEX}
 
 def build_basins(
     spark: SparkSession, inputs: basins.BasinInputs, folder: str, levels=BASIN_LEVELS, base_level: int = BASE_LEVEL,
-    list_bound: int = documents.LIST_BOUND,
+    list_bound: int = documents.LIST_BOUND, whole_documents: bool = False,
 ) -> None:
     """Write the collection: tables ``features``, ``tallies``, ``forecasts``, ``report`` and GeoJSON lines.
 
     Every input is read once: what is parsed of it, placed alerts, tallies and features are staged as tables, and a lost
     executor then costs a re-read, not a re-join. The counters of the report are taken while these tables are written, the
-    rest from the staged tables. ``list_bound`` is about how many forecasts a document lists.
+    rest from the staged tables. ``list_bound`` is about how many forecasts a document lists. Lines of the CSV inputs that
+    are not as they should be are counted in the report and kept in the table ``malformed``. ``whole_documents`` adds the
+    lines as FeatureCollections.
     """
     stage, target = stage_folder(spark, folder), collections.new_snapshot(folder)
     seen = {name: Observation(name) for name in ("crosswalk", "gauges", "alerts", "features")}
@@ -67,7 +69,16 @@ def build_basins(
     large = staged(documents.large_regions(shaped, basins.REGION, list_bound), stage, "large")
     collections.write_lines(basins.lines(shaped, rows, large=large), target)
     collections.write_manifest(spark, target, KIND_BASINS, levels)
+    if whole_documents:
+        collections.write_feature_collections(spark, target, KIND_BASINS, levels)
     counted = {k: v for one in seen.values() for k, v in one.get.items()}
+    if inputs.malformed is not None:
+        bad = Observation("malformed")
+        kept = inputs.malformed.observe(
+            bad, F.count(F.lit(1)).alias("malformed_lines"), F.count_if(F.col("reason") == "quotes").alias("malformed_quotes")
+        )
+        kept.write.parquet(f"{target}/malformed")
+        counted |= bad.get
     counted["gauges_outside"] = counted["gauge_alerts"] - counted["gauges_placed"]
     more = report.staged_counters(inputs, alerts, level_tallies, coded, levels, base_level)
     report.written(spark, counted).unionByName(more).coalesce(1).write.parquet(f"{target}/report")
@@ -77,7 +88,7 @@ def build_basins(
 
 def build_cells(
     spark: SparkSession, points: DataFrame, folder: str, scheme: str, resolutions=None, kind: str | None = None,
-    list_bound: int = documents.LIST_BOUND,
+    list_bound: int = documents.LIST_BOUND, whole_documents: bool = False,
 ) -> None:
     """Write the collection of one grid scheme: features, tallies, forecasts, report and GeoJSON lines.
 
@@ -85,7 +96,7 @@ def build_cells(
     out, and so are those off the globe. Columns that are no forecast fields come back from ``forecasts`` and from the
     lines as members of ``payload``. The counters of the report are taken while the tables are written.
     ``kind`` is what the manifest calls the collection; the hexagon kind only selects a viewer's
-    wording, the ids are the scheme's own.
+    wording, the ids are the scheme's own. ``whole_documents`` adds the lines as FeatureCollections.
     """
     resolutions = tuple(resolutions or DEFAULT_RESOLUTIONS[scheme])
     stage, target = stage_folder(spark, folder), collections.new_snapshot(folder)
@@ -112,7 +123,10 @@ def build_cells(
     collections.write_table(rows, target, "forecasts")
     large = staged(documents.large_regions(shaped, cells.REGION, list_bound), stage, "large")
     collections.write_lines(cells.lines(shaped, rows, large=large), target)
-    collections.write_manifest(spark, target, kind or KINDS.get(scheme, f"{scheme}-telescoping"), resolutions)
+    kind = kind or KINDS.get(scheme, f"{scheme}-telescoping")
+    collections.write_manifest(spark, target, kind, resolutions)
+    if whole_documents:
+        collections.write_feature_collections(spark, target, kind, resolutions)
     counted = {**read.get, **tallied.get, **made.get}
     skipped = {
         "points_skipped": counted["points"] - counted["points_usable"],

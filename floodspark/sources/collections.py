@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,34 @@ def write_lines(lines: DataFrame, folder: str) -> None:
     lines.write.mode("overwrite").partitionBy("res").text(_under(folder, "lines"))
 
 
+def write_feature_collections(spark: SparkSession, folder: str, kind: str, resolutions) -> None:
+    """The written lines as GeoJSON documents, ``documents/res=N/*.txt``, which any JSON parser reads.
+
+    Every file is one FeatureCollection with the features of one task, streamed batch by batch; the files of a
+    resolution are about as large as one split of the lines, so no task or reader has to hold a resolution.
+    Nothing is shuffled. A resolution without features has no file.
+    """
+    for res in resolutions:
+        head = json.dumps({"type": "FeatureCollection", "kind": kind, "resolutions": [int(res)]})[:-1] + ', "features": ['
+
+        def enclosed(batches: Iterator[pa.RecordBatch], head: str = head) -> Iterator[pa.RecordBatch]:
+            before = head
+            for batch in batches:
+                rows = []
+                for line in batch.column("value").to_pylist():
+                    rows.append(before + line)
+                    before = ","
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["value"])
+            if before != head:
+                yield pa.RecordBatch.from_arrays([pa.array(["]}"])], ["value"])
+
+        place = _under(folder, f"lines/res={int(res)}")
+        if path_exists(spark, place):
+            documents = spark.read.text(place).mapInArrow(enclosed, "value string")
+            # A file that is cut after some number of rows would be no document.
+            documents.write.mode("overwrite").option("maxRecordsPerFile", 0).text(_under(folder, f"documents/res={int(res)}"))
+
+
 def read_lines(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
     """Parsed features of written lines; files split anywhere between lines. ``payload`` keeps each forecast whole."""
     lines = spark.read.text(_under(published(spark, folder), "lines")).withColumnRenamed("value", "line")
@@ -92,8 +123,8 @@ def read_report(spark: SparkSession, folder: str) -> DataFrame:
 def read_documents(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """(manifest, parsed features) of whole GeoJSON documents.
 
-    A document is one JSON value, so one task parses each file; several files go in parallel. Use
-    the line form for anything large.
+    A document is one JSON value, so one task parses each file; several files go in parallel, as those of
+    ``write_feature_collections`` do. Use the line form for anything large.
     """
     schema = f"kind string, resolutions array<string>, features array<{FEATURE_TYPE}>"
     documents = spark.read.schema(schema).json(path, multiLine=True)

@@ -66,6 +66,25 @@ def read_csv_text(
     return raw.select(*columns, numbered.cast("decimal(38,0)").alias(SEQ))
 
 
+def malformed_lines(spark: SparkSession, path, source: str) -> DataFrame:
+    """(source, file, line, reason) of the lines that the single-line reader cannot take as written.
+
+    ``quotes``: a quoted cell does not end on its line, as where a cell holds a line break. ``cells``: the line has
+    more or fewer cells than the header. The readers keep what they can make of such lines; this table tells which.
+    """
+    width = len(spark.read.csv(path, header=True, inferSchema=False, escape='"', encoding="UTF-8").columns)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+
+    def count(text: Column, character: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
+
+    # Quoted stretches, with the doubled quotes inside them, hold no separators.
+    cells = count(F.regexp_replace("line", '"[^"]*"', ""), ",") + 1
+    reason = F.when(count(F.col("line"), '"') % 2 == 1, "quotes").when(cells != width, "cells")
+    marked = lines.where(F.trim("line") != "").select(F.lit(source).alias("source"), "file", "line", reason.alias("reason"))
+    return marked.where(F.col("reason").isNotNull())
+
+
 def read_crosswalk(spark: SparkSession, path, **options) -> DataFrame:
     return read_csv_text(spark, path, ("Basin_ID", "Best_Match"), **options)
 

@@ -89,6 +89,9 @@ def test_written_lines_are_geojson(spark, built):
     assert (manifest.kind, manifest.resolutions) == ("basins-telescoping", [4, 6, 8])
     counters = {r.metric: r.value for r in spark.read.parquet(f"{collections.published(spark, built)}/report").collect()}
     assert counters["features"] == len(features) and counters["gauges_placed"] + counters["gauges_outside"] == counters["gauge_alerts"]
+    malformed = spark.read.parquet(f"{collections.published(spark, built)}/malformed")
+    assert malformed.columns == ["source", "file", "line", "reason"] and counters["malformed_lines"] == malformed.count()
+    assert counters["malformed_quotes"] == malformed.where("reason = 'quotes'").count()
 
 
 def test_lines_read_back(spark, built):

@@ -1,5 +1,6 @@
 """No value of an input ends a job, and every kind of input has one row order."""
 
+import json
 import os
 from decimal import Decimal
 
@@ -98,3 +99,28 @@ def test_builds_leave_no_stage_behind(spark, tmp_path, monkeypatch):
     builds.build_cells(spark, points, str(tmp_path / "cells"), "tile", (3,))
     assert places and not any(os.path.exists(p) for p in places)
     assert collections.read_table(spark, str(tmp_path / "cells"), "features").count() == 1
+
+
+def test_lines_that_do_not_stand_for_themselves_are_told(spark, tmp_path):
+    path = tmp_path / "matches.csv"
+    path.write_bytes(b'Basin_ID,Best_Match,note\r\n1,2,"a ""b"", c"\r\n2,3,"two\r\nlines"\r\n\r\n4,5\r\n6,7,x,y\r\n"8",9,\r\n')
+    found = text_files.malformed_lines(spark, str(path), "crosswalk").collect()
+    assert sorted((r.reason, r.line) for r in found) == [("cells", "4,5"), ("cells", "6,7,x,y"), ("quotes", '2,3,"two'), ("quotes", 'lines"')]
+    assert {r.source for r in found} == {"crosswalk"} and all(r.file.endswith("matches.csv") for r in found)
+
+
+def test_feature_collections_are_documents(spark, tmp_path):
+    rows = [(float(k % 60), float(k), "danger", 'a "quoted" name') for k in range(150)]
+    points = spark.createDataFrame(rows, "lat double, lon double, severity string, name string").repartition(5)
+    folder = str(tmp_path / "cells")
+    builds.build_cells(spark, points, folder, "tile", (3, 5), whole_documents=True)
+    place = collections.published(spark, folder)
+    for res in (3, 5):
+        files = [f"{place}/documents/res={res}/{x}" for x in os.listdir(f"{place}/documents/res={res}") if x.endswith(".txt")]
+        read = [json.load(open(x)) for x in files]
+        assert read and all(x["type"] == "FeatureCollection" and x["resolutions"] == [res] for x in read)
+        lines = [json.loads(r.value) for r in spark.read.text(f"{place}/lines/res={res}").collect()]
+        key = json.dumps
+        assert sorted(key(f) for x in read for f in x["features"]) == sorted(map(key, lines))
+        back = collections.read_documents(spark, f"{place}/documents/res={res}")[1]
+        assert back.count() == len(lines)
