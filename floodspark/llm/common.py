@@ -56,6 +56,17 @@ CUT = re.compile(r"(?<=\S)(?= )")
 _IRREGULAR = re.compile(r"\s ")
 
 
+class _Results(dict):
+    """Results by chunk; notes the chunks it is asked for and has none of."""
+
+    def __init__(self) -> None:
+        self.unknown, self.asked = set(), 0
+
+    def __missing__(self, chunk: str) -> None:
+        self.unknown.add(chunk)
+        self.asked += 1
+
+
 class ChunkCache:
     """Applies ``encode`` to the chunks of texts and remembers results, in bounded memory.
 
@@ -64,7 +75,7 @@ class ChunkCache:
     """
 
     def __init__(self, encode: Callable[[list[str]], list], bound: int = 1_200_000) -> None:
-        self._encode, self._bound, self._known = encode, bound, {}
+        self._encode, self._bound, self._known = encode, bound, _Results()
 
     def chunks(self, text: str) -> list[str]:
         if _IRREGULAR.search(text):
@@ -83,9 +94,13 @@ class ChunkCache:
             if len(self._known) > self._bound:
                 self._known.clear()
             known = self._known
-            found = [list(map(known.get, chunks)) for chunks in cut]
-            holes = [(chunks, row) for chunks, row in zip(cut, found, strict=True) if None in row]
-            new = list({x for chunks, row in holes for x, y in zip(chunks, row, strict=True) if y is None})
+            found, holes, asked = [], [], 0
+            for chunks in cut:
+                found.append(list(map(known.__getitem__, chunks)))
+                if known.asked != asked:
+                    holes.append((chunks, found[-1]))
+                    asked = known.asked
+            new, known.unknown = list(known.unknown), set()
             known.update(zip(new, self._encode(new), strict=True))
             for chunks, row in holes:
                 row[:] = [known[x] if y is None else y for x, y in zip(chunks, row, strict=True)]
