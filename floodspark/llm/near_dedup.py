@@ -2,12 +2,17 @@
 
 A document is the set of its five-word shingles. Its signature has one register for each of 160 hash
 functions: the leading zeros of the smallest hash (6 bits) and the 10 bits after its first one. Registers are
-banded, four to a band. Documents of equal sets are one class from the start. In every bucket that several
-classes share, leaders are compared with all members: first by the registers, with the matches that come
-from the compression alone taken off, then by the full sets. More leaders, four times as many each round, follow
-only where a bucket still holds classes of different components, until every pair of it has been compared or
-has become connected. A set that holds too much of its own for any link is left out of the later rounds. So large
-groups of near copies cost about a comparison for each member, and no link that a bucket holds is lost.
+banded, four to a band. Documents of equal sets are one class from the start. Every bucket that several classes
+share has a pivot, the member that meets most others in all its buckets; it is compared with all members, first
+by the registers, with the matches that come from the compression alone taken off, then by the full sets.
+Buckets that hold several components afterwards get a second and a third pivot from what is left.
+
+What three pivots have not connected is settled by what lies outside a pivot. Let a set x not be linked with a
+pivot p, and hold c of its shingles. A set y that is linked with x has at least 3/7 (|x| + |y|) shingles in
+common with it, of which at most c lie in p. So y holds so many of the shingles of x outside p that one of
+them is among the rarest of these (a prefix filter), and only sets that share such a shingle are compared;
+sets small enough for c to suffice are compared within their buckets. Near copies of one text differ
+outside it, so a large group costs about a comparison for each member, and no link that a bucket holds is lost.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^40 = 2.6e-7. Nothing grows on the
 driver but the number of rounds.
@@ -26,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floodspark.llm.common import row_keys, scratch, staged, text_or_empty
@@ -35,34 +40,25 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-_FACTS = ("cid", "n", "shared", "comp")
+#: Pivots of a bucket before the rest of it is searched by shingles.
+PIVOTS = 3
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.random.default_rng(20_011).integers(0, 2**63, (2, max(REGISTERS, 16)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class Shingler:
+def shingles_of(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text."""
-
-    def __init__(self) -> None:
-        self._words: dict[bytes, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8").translate(_LOWER).split()
-        if len(words) < WORDS:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))] if words else [], dtype=np.uint64)
-        known = self._words
-        if len(known) > 500_000:  # only saves time
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        hashes = np.array([known[w] for w in words], dtype=np.uint64)
-        count = len(words) - WORDS + 1
-        mixed = np.zeros(count, dtype=np.uint64)
-        for k in range(WORDS):
-            mixed = (mixed ^ hashes[k : k + count]) * _ODD[0, k]
-            mixed ^= mixed >> np.uint64(32)
-        return np.unique(mixed)
+    words = text.encode("utf-8").translate(_LOWER).split()
+    if len(words) < WORDS:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))] if words else [], dtype=np.uint64)
+    known = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    count = len(words) - WORDS + 1
+    mixed = np.zeros(count, dtype=np.uint64)
+    for k in range(WORDS):
+        mixed = (mixed ^ hashes[k : k + count]) * _ODD[0, k]
+        mixed ^= mixed >> np.uint64(32)
+    return np.unique(mixed)
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -95,11 +91,14 @@ def accidental(bits_a: int, bits_b: int) -> float:
     return float((cell(2.0**bits_a) * cell(2.0**bits_b)).sum())
 
 
+def equal_registers(a: bytes, b: bytes) -> int:
+    return int((np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)).sum())
+
+
 def estimate(a: bytes, b: bytes, size_a: int, size_b: int) -> float:
     """Similarity from two signatures, corrected for accidental agreement."""
-    same = float((np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)).mean())
     by_chance = accidental(round(math.log2(max(1, size_a))), round(math.log2(max(1, size_b))))
-    return (same - by_chance) / (1 - by_chance)
+    return (equal_registers(a, b) / REGISTERS - by_chance) / (1 - by_chance)
 
 
 #: Pairs below this estimate are not verified: nine standard deviations under the threshold.
@@ -117,11 +116,10 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), text_or_empty(text).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
         for batch in batches:
             sizes, names, marks = [], [], []
             for text in batch.column("text"):
-                found = shingles(text.as_py())
+                found = shingles_of(text.as_py())
                 sizes.append(len(found))
                 names.append(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), dtype=np.int64))
                 marks.append(registers(found).tobytes() if len(found) else None)
@@ -143,9 +141,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     texts = source.join(wanted, ["k1", "k2"]).select("cid", "text")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
         for batch in batches:
-            sets = [shingles(x.as_py()).tobytes() for x in batch.column("text")]
+            sets = [shingles_of(x.as_py()).tobytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
     # Repeated rows give equal sets; one of them is enough.
@@ -154,52 +151,107 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose corrected estimate leaves similarity possible."""
+    return _estimated(pairs, classes).where(F.col("likely")).select("a", "b")
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, same, likely): equal registers, and whether the corrected estimate leaves similarity possible."""
     marks = classes.select("cid", "n", "registers")
 
-    @F.arrow_udf("boolean")
-    def close(a: pa.Array, b: pa.Array, size_a: pa.Array, size_b: pa.Array) -> pa.Array:
-        rows = zip(a.to_pylist(), b.to_pylist(), size_a.to_pylist(), size_b.to_pylist(), strict=True)
-        return pa.array([estimate(*row) >= LEAST_ESTIMATE for row in rows], pa.bool_())
+    @F.arrow_udf("struct<same int, likely boolean>")
+    def compare(a: pa.Array, b: pa.Array, size_a: pa.Array, size_b: pa.Array) -> pa.Array:
+        rows = list(zip(a.to_pylist(), b.to_pylist(), size_a.to_pylist(), size_b.to_pylist(), strict=True))
+        same = pa.array([equal_registers(x, y) for x, y, _, _ in rows], pa.int32())
+        likely = pa.array([estimate(*row) >= LEAST_ESTIMATE for row in rows], pa.bool_())
+        return pa.StructArray.from_arrays([same, likely], ["same", "likely"])
 
     sides = pairs.join(marks.toDF("a", "n_a", "r_a"), "a").join(marks.toDF("b", "n_b", "r_b"), "b")
+    found = sides.withColumn("found", compare("r_a", "r_b", "n_a", "n_b"))
     # Sets of too different sizes cannot reach the threshold.
-    possible = sides.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    return possible.where(close("r_a", "r_b", "n_a", "n_b")).select("a", "b")
+    possible = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    return found.select("a", "b", "found.same", (F.col("found.likely") & possible).alias("likely"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets."""
     @F.arrow_udf("boolean")
     def link(a: pa.Array, b: pa.Array) -> pa.Array:
-        found = (linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True))
+        found = (linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(a, b, strict=True))
         return pa.array(list(found), pa.bool_())
 
     sides = pairs.join(sets.toDF("b", "s_b"), "b").join(sets.toDF("a", "s_a"), "a")
     return sides.where(link("s_a", "s_b")).select("a", "b")
 
 
-def _shared(cids: DataFrame, sets: DataFrame) -> DataFrame:
-    """(cid, n, shared): size of each set, and how many of its shingles another of these sets holds.
-
-    A link needs three quarters of both sets in common, so a set with too many shingles of its own has no
-    link among these, and members of a large family that only resemble each other are not compared.
-    """
+def _unpacked(sets: DataFrame) -> DataFrame:
+    """(cid, shingle) of sets (cid, shingles)."""
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                found = np.frombuffer(batch.column("shingles")[i].as_py(), np.int64)
-                cid = np.full(len(found), batch.column("cid")[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(found)], ["cid", "shingle"])
-
-    chosen = sets.join(cids, "cid")
-    alone = (
-        chosen.mapInArrow(unpack, "cid bigint, shingle bigint").groupBy("shingle").agg(F.count("*").alias("k"), F.min("cid").alias("cid"))
-        .where("k = 1").groupBy("cid").agg(F.count("*").alias("alone"))
-    )
-    size = (F.octet_length("shingles") / 8).cast("bigint")
-    return chosen.select("cid", size.alias("n")).join(alone, "cid", "left").select(
-        "cid", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")
-    )
+            for cid, packed in zip(batch.column("cid").to_pylist(), batch.column("shingles"), strict=True):
+                found = np.frombuffer(packed.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), cid)), pa.array(found)], ["cid", "shingle"])
+
+    return sets.select("cid", "shingles").mapInArrow(unpack, "cid bigint, shingle bigint")
+
+
+def _outside(probes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cid, shingles, n, held): the shingles of each set outside its pivot (cid, pivot), its size, and what the pivot holds of it."""
+    @F.arrow_udf("binary")
+    def without(a: pa.Array, b: pa.Array) -> pa.Array:
+        left = (np.setdiff1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True) for x, y in zip(a, b, strict=True))
+        return pa.array([x.tobytes() for x in left], pa.binary())
+
+    sides = probes.join(sets.toDF("pivot", "s_p"), "pivot").join(sets.toDF("cid", "s"), "cid")
+    n, rest = (F.octet_length("s") / 8).cast("bigint"), (F.octet_length("shingles") / 8).cast("bigint")
+    return sides.withColumn("shingles", without("s", "s_p")).select("cid", "shingles", n.alias("n")).withColumn("held", F.col("n") - rest)
+
+
+def _needed(n: str, m: str) -> Column:
+    """Least number of common shingles that links sets of these sizes."""
+    return F.ceil((F.col(n) + F.col(m)) * PERCENT / (100 + PERCENT))
+
+
+def _remaining(members: DataFrame, tried: DataFrame, labels: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """Pairs (a, b) of different components that can be linked, of the open buckets' members (cid, bucket, pivot).
+
+    ``pivot`` is the first one of the bucket; of two members of different components, one at least is not in
+    that of the pivot. It looks for the other, outside the pivot it agrees with most (tried: a, b, same).
+    """
+    cids = members.select("cid").distinct()
+    of = labels.join(cids, "cid")
+    pivots = labels.toDF("pivot", "pivot_comp")
+    seekers = members.join(of, "cid").join(pivots, "pivot").where("comp <> pivot_comp").select("cid").distinct()
+    ends = tried.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), "same").union(tried.select("b", "a", "same"))
+    apart = ends.join(seekers, "cid").join(of, "cid").join(pivots, "pivot").where("comp <> pivot_comp")
+    best = apart.groupBy("cid").agg(F.max_by("pivot", F.struct("same", "pivot")).alias("pivot"))
+    rest = staged(_outside(best, sets), folder, "outside")
+
+    # Shingles that only one component holds lead nowhere; they count as the rarest.
+    held = staged(_unpacked(sets.join(cids, "cid")).join(of, "cid"), folder, "open-shingles")
+    split = held.groupBy("shingle").agg(F.count("*").alias("k"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d")
+    live = staged(_unpacked(rest).join(split.select("shingle", "k"), "shingle"), folder, "outside-shingles")
+    facts = rest.select("cid", "n", "held").join(of, "cid")
+    # Position from the most frequent one back: the last of the prefix is as far from it as shingles are needed.
+    back = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("k"), "shingle"))
+    sought = live.withColumn("back", back).join(facts, "cid").where(F.col("back") >= F.ceil(F.col("n") * PERCENT / 100) - F.col("held"))
+    sizes = sets.join(cids, "cid").select("cid", (F.octet_length("shingles") / 8).cast("bigint").alias("m")).join(of, "cid")
+    x = sought.select("shingle", "back", "n", "held", F.col("cid").alias("x"), F.col("comp").alias("x_comp"))
+    y = held.join(sizes.select("cid", "m"), "cid").select("shingle", "m", F.col("cid").alias("y"), F.col("comp").alias("y_comp"))
+    alike = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
+    missing = _needed("n", "m") - F.col("held")
+    by_shingle = x.join(y, "shingle").where((F.col("x_comp") != F.col("y_comp")) & alike & (missing >= 1) & (F.col("back") >= missing))
+
+    # Sets for which what the pivot holds is enough; most buckets have none that is small enough.
+    near = members.select("cid", "bucket")
+    v = near.join(sizes, "cid").select("bucket", "m", F.col("cid").alias("y"), F.col("comp").alias("y_comp"))
+    smallest = v.groupBy("bucket").agg(F.min("m").alias("m"))
+    enough = F.col("held") >= F.greatest(F.ceil(F.col("n") * PERCENT / 100), _needed("n", "m"))
+    u = near.join(facts, "cid").join(smallest, "bucket").where(enough)
+    u = u.select("bucket", "n", "held", F.col("cid").alias("x"), F.col("comp").alias("x_comp"))
+    by_bucket = u.join(v, "bucket").where((F.col("x_comp") != F.col("y_comp")) & alike & (missing < 1))
+    found = by_shingle.select("x", "y").union(by_bucket.select("x", "y"))
+    pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def components(labels: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
@@ -251,37 +303,42 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         _sets(docs, classes.join(wanted, "cid").select("cid", "least.k1", "least.k2"), key, text), folder, "sets"
     )
 
-    # What a member can share with others at most: its whole set, until the first round has been made.
-    facts = wanted.join(classes.select("cid", "n", F.col("n").alias("shared")), "cid")
-    open_members, done, turn = members, None, 0
-    while not open_members.isEmpty():
-        known = open_members.join(facts, "cid").join(labels, "cid")
+    # The more others a member meets in all its buckets, the more central it is.
+    weights = members.groupBy("cid").agg(F.sum("size").alias("weight"))
+    members = staged(members.select("cid", "bucket").join(weights, "cid"), folder, "weighted")
+    least = F.min(F.struct(-F.col("weight"), "cid"))["cid"]
+    firsts = staged(members.groupBy("bucket").agg(least.alias("pivot")), folder, "pivots")
+    open_members, tried = members.join(firsts, "bucket"), None
+    for turn in range(PIVOTS):
         if turn == 0:
-            first = open_members.groupBy("bucket").agg(F.min("cid").alias("cid"))
-            leaders = first.join(facts, "cid").join(labels, "cid")
+            chosen = open_members
         else:
-            # About 4^turn leaders of each open bucket, and all of them when it has no more members.
-            draw = F.pmod(F.xxhash64("cid", F.lit(turn)), F.col("size"))
-            leaders = known.where((draw < 4**turn) | (F.col("size") <= 4 ** turn * 2))
-        x, y = leaders.select("bucket", *[F.col(c).alias(f"{c}_a") for c in _FACTS]), known.select("bucket", *[F.col(c).alias(f"{c}_b") for c in _FACTS])
-        common, both = F.least("shared_a", "shared_b"), F.col("n_a") + F.col("n_b")
-        possible = (F.col("comp_a") != F.col("comp_b")) & (common * (100 + PERCENT) >= PERCENT * both)
-        pairs = y.join(x, (x["bucket"] == y["bucket"]) & possible)
-        apart = pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
-        if done is not None:
-            apart = apart.join(done, ["a", "b"], "left_anti")
-        tried = staged(apart, folder, f"tried-{turn}")
-        links = staged(_verified(_likely(tried, classes), sets), folder, f"links-{turn}")
-        done = tried if done is None else done.unionByName(tried)
+            # The next pivot comes from the components that no earlier one of the bucket belongs to.
+            left = open_members.join(labels, "cid").join(gone, ["bucket", "comp"], "left_anti")
+            chosen = open_members.join(left.groupBy("bucket").agg(least.alias("next")), "bucket").withColumn("pivot", F.col("next"))
+        x, p = labels.toDF("cid", "comp_x"), labels.toDF("pivot", "comp_p")
+        apart = chosen.join(x, "cid").join(p, "pivot").where("comp_x <> comp_p")
+        pairs = apart.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        compared = staged(_estimated(pairs, classes), folder, f"tried-{turn}")
+        links = staged(_verified(compared.where("likely").select("a", "b"), sets), folder, f"links-{turn}")
+        tried = compared if tried is None else tried.unionByName(compared)
+        used = chosen.select("bucket", "pivot").distinct() if turn == 0 else used.union(chosen.select("bucket", "pivot").distinct())
         if not links.isEmpty():
             labels = components(labels, links, folder, f"components-{turn}")
-        # A bucket is open while it holds several components and pairs that were not compared.
-        turn += 1
+        # A bucket is open while it holds several components.
+        used = staged(used, folder, f"used-{turn}")
+        gone = used.join(labels.toDF("pivot", "comp"), "pivot").select("bucket", "comp").distinct()
         split = open_members.join(labels, "cid").groupBy("bucket").agg(F.min("comp").alias("c"), F.max("comp").alias("d"))
-        left = open_members.where(F.col("size") > 2 * 4 ** (turn - 1)).join(split.where("c <> d").select("bucket"), "bucket")
-        open_members = staged(left.select("cid", "bucket", "size"), folder, f"open-{turn}")
-        facts = staged(_shared(open_members.select("cid").distinct(), sets), folder, f"facts-{turn}")
-        open_members = open_members.join(facts.where(F.col("shared") * 100 >= PERCENT * F.col("n")).select("cid"), "cid")
+        open_members = staged(open_members.join(split.where("c <> d").select("bucket"), "bucket"), folder, f"open-{turn}")
+        if open_members.isEmpty():
+            break
+    else:
+        rest = staged(_remaining(open_members, tried, labels, sets, folder), folder, "tried-rest")
+        links = staged(_verified(_likely(rest, classes), sets), folder, "links-rest")
+        if not links.isEmpty():
+            labels = components(labels, links, folder, "components-rest")
 
     with_comp = classes.join(labels, "cid", "left").select("s1", "s2", "least", F.coalesce("comp", "cid").alias("comp"))
     firsts = with_comp.groupBy("comp").agg(F.min("least").alias("first"))
