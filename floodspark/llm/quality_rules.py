@@ -78,7 +78,7 @@ def count_text(text: bytes | None) -> tuple[int, ...]:
 
 
 def _count_batch(texts: pa.Array) -> pa.Array:
-    rows = [count_text(x) for x in texts.cast(pa.binary()).to_pylist()]
+    rows = [count_text(x.as_py()) for x in texts.cast(pa.binary())]
     columns = np.array(rows, dtype=np.int64).reshape(len(rows), len(COUNTS))
     return pa.StructArray.from_arrays([pa.array(columns[:, k]) for k in range(len(COUNTS))], list(COUNTS))
 
