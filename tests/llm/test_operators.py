@@ -319,6 +319,31 @@ def test_near_dedup_families(spark):
         assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
+def test_near_dedup_beyond_pivots(spark, monkeypatch):
+    """Chains of links away from the pivot, deleted and replaced words, texts of several lengths, a passage in all."""
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    rng, rows = random.Random(31), []
+    passage = [f"p{i}" for i in range(40)]
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(60)] + passage
+        for _ in range(40):
+            copy = list(base)
+            for _ in range(rng.randrange(8)):
+                at = rng.randrange(len(copy))
+                copy[at : at + 1] = [] if rng.random() < 0.5 else [f"e{rng.randrange(3)}"]
+            if rng.random() < 0.3:
+                copy = copy[rng.randrange(15) :]
+            rows.append((len(rows), " ".join(copy)))
+            if rng.random() < 0.3:
+                base = copy
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute.near_components(rows)
+    assert 4 < len({c for _, c in want.values()}) < len(rows)
+    for r in near_dedup.near_duplicates(df).collect():
+        assert (r.n_shingles, r.component_id) == want[r.doc_id]
+
+
 def test_hyperminhash_estimate():
     rng = np.random.default_rng(2)
     for share in (0.0, 0.3, 0.75, 0.95, 1.0):
