@@ -72,7 +72,8 @@ def cell_features(tallies: DataFrame, scheme: str, resolutions) -> DataFrame:
 
 def with_outline(features: DataFrame, scheme: str) -> DataFrame:
     """Cell polygons, computed from the address of each distinct cell; no join is needed."""
-    outlined = SCHEMES[scheme].outlined(features)
+    # A filter is not pushed below a generator; pushed on, it would outline every point before they are grouped.
+    outlined = SCHEMES[scheme].outlined(features).withColumn("parts", F.explode(F.array("parts")))
     return outlined.where(F.col("parts").isNotNull()).withColumn("multi", F.size("parts") > 1)
 
 

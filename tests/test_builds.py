@@ -404,3 +404,12 @@ def test_hexagons_cover_the_globe_once(spark, resolution):
         plane = [(x, math.degrees(math.sin(math.radians(y)))) for x, y in ring]
         total += sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(plane, plane[1:])) / 2
     assert total == pytest.approx(360 * 2 * math.degrees(1), rel=1e-3)
+
+
+def test_only_cells_that_were_found_are_outlined(spark, sf_dir):
+    """The formulas of an outline stay above the grouping; a filter on them used to go down to the points."""
+    for name in ("hex_outlines", "tile_outlines", "s2_outlines"):
+        plan = REGISTRY[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        above, below = plan.split("Aggregate [res", 1)
+        assert "transform(" in above
+        assert not [line for line in below.splitlines() if "Filter" in line and "transform(" in line]
