@@ -15,6 +15,7 @@ from pyspark.sql.types import VariantType
 from floodspark.functions.fixed_values import FORECAST_FIELDS
 from floodspark.functions.parsing import finite
 from floodspark.functions.planar import PARTS_TYPE
+from floodspark.operators.joins import by_merge
 
 #: Forecasts per document.
 LIST_BOUND = 10_000
@@ -95,7 +96,7 @@ def feature_lines(
     are repeated for their parts and go to the lists, which stay where they are.
     """
     repeated = _with_parts(features, large, region).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    joined = repeated.join(lists, [*region, "part", "parts"])
+    joined = by_merge(repeated).join(lists, [*region, "part", "parts"])
     head = F.to_json(F.struct("res", *id_columns, "severity", "model_count"))
     open_head = F.substring(head, F.lit(1), F.length(head) - 1)
     members = F.array_join(F.transform("forecasts", lambda f: forecast_json(f, fields)), ",")

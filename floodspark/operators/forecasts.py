@@ -15,6 +15,7 @@ from floodspark.functions.fixed_values import (
 from floodspark.functions.parsing import is_finite
 from floodspark.functions.severity import return_period_severity
 from floodspark.operators.dedup import keep_last
+from floodspark.operators.joins import by_merge
 
 _NUMBERS = {"returnPeriodYr": "bigint", "peakDischargeCms": "double", "lat": "double", "lon": "double"}
 
@@ -36,7 +37,7 @@ def flagged_reaches(parsed: DataFrame, tiers=RETURN_PERIOD_TIERS) -> DataFrame:
 
 def only_in_crosswalk(reaches: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """Reaches that some basin is matched to."""
-    return reaches.join(crosswalk.select("comid"), "comid", "left_semi")
+    return reaches.join(by_merge(crosswalk.select("comid")), "comid", "left_semi")
 
 
 def _forecast(values: dict[str, Column]) -> list[Column]:
@@ -75,7 +76,7 @@ def basin_river_alerts(crosswalk: DataFrame, reaches: DataFrame) -> DataFrame:
     Many basins may share one reach. The reach side has one row per key, and the next step
     regroups on another key, so adaptive execution is free to split a hot reach's basins.
     """
-    matched = crosswalk.withColumnRenamed("basin_id", "hybas_id").join(reaches, "comid")
+    matched = crosswalk.withColumnRenamed("basin_id", "hybas_id").join(by_merge(reaches), "comid")
     return river_forecasts(matched, "hybas_id")
 
 

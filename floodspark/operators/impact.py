@@ -10,6 +10,7 @@ from floodspark.functions.fixed_values import (
     BASIN_LEVELS, IMPACT_FIELDS, IMPACT_WHOLE_FIELDS,
 )
 from floodspark.operators.dedup import keep_last
+from floodspark.operators.joins import by_merge
 
 _SUM = "decimal(38,6)"
 #: Digits that a packed code can have.
@@ -47,7 +48,7 @@ def coded_impact(rows: DataFrame, lookup: DataFrame) -> DataFrame:
     packed = lookup.select("hybas_id", packed_code(F.col("pfaf")).alias("packed"), "seq")
     # A last row without a code still hides an earlier one.
     codes = keep_last(packed.withColumn("packed", F.coalesce("packed", F.lit(0))), ["hybas_id"], ["packed"])
-    return per_id.join(codes.where("packed > 0"), "hybas_id").drop("hybas_id")
+    return per_id.join(by_merge(codes.where("packed > 0")), "hybas_id").drop("hybas_id")
 
 
 def _coarsened(coded: DataFrame, levels) -> DataFrame:
@@ -70,7 +71,7 @@ def region_impact(coded: DataFrame, levels=BASIN_LEVELS, flagged: DataFrame | No
     totals = keyed.groupBy("res", "packed").agg(
         *[F.coalesce(F.sum(f), F.lit(0)).cast("double").alias(f) for f in IMPACT_FIELDS]
     ).select("res", unpacked_code(F.col("packed")).alias("code"), *IMPACT_FIELDS)
-    return totals if flagged is None else totals.join(flagged.select("res", "code"), ["res", "code"], "left_semi")
+    return totals if flagged is None else totals.join(by_merge(flagged.select("res", "code")), ["res", "code"], "left_semi")
 
 
 def matched_rows(coded: DataFrame, flagged: DataFrame, levels=BASIN_LEVELS) -> DataFrame:
@@ -79,7 +80,7 @@ def matched_rows(coded: DataFrame, flagged: DataFrame, levels=BASIN_LEVELS) -> D
         "prefix", "n_rows", F.explode(F.array(*[F.lit(v) for v in levels])).alias("res")
     )
     keyed = at_level.withColumn("code", unpacked_code(packed_prefix(F.col("prefix"), F.col("res"))))
-    hits = keyed.join(flagged.select("res", "code"), ["res", "code"], "left_semi")
+    hits = keyed.join(by_merge(flagged.select("res", "code")), ["res", "code"], "left_semi")
     # All rows of a prefix hit the same levels, so each prefix counts once.
     once = hits.groupBy("prefix").agg(F.max("n_rows").alias("n_rows"))
     return once.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("matched_rows"))
@@ -96,4 +97,4 @@ def rounded(totals: DataFrame) -> DataFrame:
 def with_impact(features: DataFrame, totals: DataFrame) -> DataFrame:
     """Features plus a nullable ``impact`` struct; no rows means no impact, not zeros."""
     impact = rounded(totals).select("res", "code", F.struct(*IMPACT_FIELDS).alias("impact"))
-    return features.join(impact, ["res", "code"], "left")
+    return features.join(by_merge(impact), ["res", "code"], "left")

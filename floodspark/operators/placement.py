@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from floodspark.functions.parsing import is_finite
 from floodspark.functions.planar import edges_of, strictly_inside
+from floodspark.operators.joins import by_merge
 
 #: Edges that a band of a polygon holds, about.
 BAND_EDGES = 64
@@ -104,10 +105,10 @@ def place_points(points: DataFrame, polygons: DataFrame, key: str = "seq", sizes
     lon, lat = F.col("lon"), F.col("lat")
     same_tile = reduce(lambda a, b: a & b, [probes[c] == tiles[c] for c in ("tile_level", "tx", "ty")])
     in_box = (lon > F.col("xmin")) & (lon < F.col("xmax")) & (lat > F.col("ymin")) & (lat < F.col("ymax"))
-    hits = probes.join(tiles, same_tile & in_box & (_band(lat) == F.col("band"))).where(strictly_inside(F.col("edges"), lon, lat))
+    hits = probes.join(by_merge(tiles), same_tile & in_box & (_band(lat) == F.col("band"))).where(strictly_inside(F.col("edges"), lon, lat))
     return hits.groupBy(F.col("point_key").alias(key)).agg(F.min_by("hybas_id", "seq").alias("hybas_id"))
 
 
 def split_placed(points: DataFrame, placed: DataFrame, key: str = "seq") -> tuple[DataFrame, DataFrame]:
     """(points with their basin, points outside all basins)."""
-    return points.join(placed, key), points.join(placed.select(key), key, "left_anti")
+    return points.join(by_merge(placed), key), points.join(by_merge(placed.select(key)), key, "left_anti")

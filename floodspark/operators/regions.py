@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from floodspark.functions.fixed_values import BASE_LEVEL, BASIN_LEVELS
 from floodspark.functions.severity import severity_of_rank, severity_rank
+from floodspark.operators.joins import by_merge
 
 
 def tally(rows: DataFrame, region: list[str]) -> DataFrame:
@@ -45,7 +46,7 @@ def summarise(tallies: DataFrame, region: list[str], *more: Column, label=severi
 
 def basin_tallies(alerts: DataFrame, basins: DataFrame) -> DataFrame:
     """(hybas_id, pfaf, model, n, worst) of base-level basins; alerts in unknown basins drop out."""
-    return tally(alerts, ["hybas_id"]).join(basins.select("hybas_id", "pfaf"), "hybas_id")
+    return tally(alerts, ["hybas_id"]).join(by_merge(basins.select("hybas_id", "pfaf")), "hybas_id")
 
 
 def level_tallies(tallies: DataFrame, levels=BASIN_LEVELS, base_level: int = BASE_LEVEL) -> DataFrame:
@@ -81,7 +82,7 @@ def level_features(tallies: DataFrame, region_ids: DataFrame) -> DataFrame:
     Regions without a polygon drop out. ``region_ids`` covers the levels above the base.
     """
     summary = summarise(tallies, ["res", "code"], F.max("hybas_id").alias("hybas_id"))
-    named = summary.join(region_ids, ["res", "code"], "left").withColumn(
+    named = summary.join(by_merge(region_ids), ["res", "code"], "left").withColumn(
         "basin_id", F.coalesce("hybas_id", "region_id")
     )
     return named.where(F.col("basin_id").isNotNull()).drop("hybas_id", "region_id")
@@ -90,6 +91,6 @@ def level_features(tallies: DataFrame, region_ids: DataFrame) -> DataFrame:
 def level_forecasts(alerts: DataFrame, basins: DataFrame, levels=BASIN_LEVELS, base_level: int = BASE_LEVEL) -> DataFrame:
     """Every alert once per level, as rows: (res, code, pfaf, forecast columns). No shuffle beyond
     the code lookup."""
-    coded = alerts.join(basins.select("hybas_id", "pfaf"), "hybas_id")
+    coded = alerts.join(by_merge(basins.select("hybas_id", "pfaf")), "hybas_id")
     at_level = coded.withColumn("res", F.explode(F.array(*[F.lit(level) for level in levels])))
     return at_level.withColumn("code", region_code(F.col("pfaf"), F.col("res"), base_level))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from floodspark.functions.fixed_values import BASE_LEVEL, BASIN_LEVELS, IMPACT_FILES, RETURN_PERIOD_TIERS
 from floodspark.operators import documents, forecasts, impact, placement, regions
+from floodspark.operators.joins import by_merge
 from floodspark.sources import polygons as polygon_source, text_files
 
 
@@ -78,7 +79,7 @@ def placed_alerts(inputs: BasinInputs, base_level: int = BASE_LEVEL) -> DataFram
     reaches = forecasts.flagged_reaches(inputs.reaches, inputs.tiers)
     river = forecasts.basin_river_alerts(forecasts.clean_crosswalk(inputs.crosswalk), reaches)
     placed = placement.place_points(inputs.gauges, base_polygons(inputs.polygons, base_level))
-    inside = inputs.gauges.join(placed, "seq")
+    inside = inputs.gauges.join(by_merge(placed), "seq")
     return forecasts.all_alerts(river, forecasts.gauge_forecasts(inside, "hybas_id"))
 
 
@@ -108,7 +109,7 @@ def with_geometry(found: DataFrame, polygons: DataFrame) -> DataFrame:
         F.col("level").alias("res"), F.col("hybas_id").alias("basin_id"), F.col("parts").alias("geometry"),
         "multi", "xmin", "ymin", "xmax", "ymax",
     )
-    return found.join(shapes, ["res", "basin_id"])
+    return found.join(by_merge(shapes), ["res", "basin_id"])
 
 
 REGION = ["res", "code"]

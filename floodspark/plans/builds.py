@@ -11,6 +11,7 @@ from floodspark.functions.fixed_values import (
     BASE_LEVEL, BASIN_LEVELS, FORECAST_FIELDS, GAUGE_MODEL, HEX_RESOLUTIONS, KIND_BASINS, KIND_HEX, KIND_S2, RIVER_MODEL, S2_LEVELS,
 )
 from floodspark.operators import documents, forecasts, grid, impact, regions
+from floodspark.operators.joins import by_merge
 from floodspark.operators.points import open_points, usable
 from floodspark.plans import basins, cells, report
 from floodspark.session import removed, stage_folder, staged
@@ -56,7 +57,7 @@ def build_basins(
     ), stage, "features")
     rows = regions.level_forecasts(alerts, basins.base_polygons(shapes, base_level), levels, base_level)
 
-    ids = shaped.select("res", "code", F.col("basin_id").cast("string").alias("cell_id"))
+    ids = by_merge(shaped.select("res", "code", F.col("basin_id").cast("string").alias("cell_id")))
     collections.write_table(
         shaped.withColumn("cell_id", F.col("basin_id").cast("string")), target, "features", by="cell_id"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from floodspark.functions.fixed_values import BASE_LEVEL, BASIN_LEVELS, GAUGE_MODEL, RIVER_MODEL
 from floodspark.operators import forecasts, grid, impact, regions
+from floodspark.operators.joins import by_merge
 from floodspark.plans import basins
 
 
@@ -85,7 +86,7 @@ def basin_report(
 
 def _shared_codes(per_basin: DataFrame, base: DataFrame) -> DataFrame:
     """Base-level regions that more than one flagged basin shares a code for."""
-    coded = per_basin.join(base.select("hybas_id", "pfaf"), "hybas_id")
+    coded = per_basin.join(by_merge(base.select("hybas_id", "pfaf")), "hybas_id")
     return coded.groupBy("pfaf").agg((F.max("hybas_id") != F.min("hybas_id")).alias("shared")).agg(F.count_if("shared").alias("codes_shared"))
 
 

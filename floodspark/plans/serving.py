@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from floodspark.functions.fixed_values import FORECAST_FIELDS
 from floodspark.operators import documents, serve
+from floodspark.operators.joins import by_merge
 from floodspark.operators.points import ORDER_FIELDS, PAYLOAD, with_payload_text
 from floodspark.sources import collections
 
@@ -69,7 +70,7 @@ def open_view(spark: SparkSession, folder: str, zoom: float | None = None, model
         if window is not None:
             west, south, east, north = map(float, window)
             shapes = shapes.where((F.col("xmax") >= west) & (F.col("xmin") <= east) & (F.col("ymax") >= south) & (F.col("ymin") <= north))
-        return shown.join(shapes, REGION)
+        return shown.join(by_merge(shapes), REGION)
 
     found = features(res)
     forecasts = visible(stored("forecasts", res))

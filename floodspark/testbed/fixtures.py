@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from floodspark.functions.planar import extent_of
 from floodspark.operators import forecasts
+from floodspark.operators.joins import by_merge
 from floodspark.plans.basins import BasinInputs
 from floodspark.sources import text_files
 
@@ -49,31 +50,30 @@ def settled(rows: DataFrame, **columns: str) -> DataFrame:
 
 def located(rows: DataFrame, key: str) -> DataFrame:
     """Adds n, pfaf, x, y of the basin whose number is ``key``."""
-    powers = ", ".join(f"{9 ** i}L" for i in range(7, -1, -1))
-    digits = rows.withColumn("n", F.expr(f"({key} * 101) % {N_CODES}")).selectExpr(
-        "*", f"transform(array({powers}), p -> n div p % 9) AS digits"
-    )
+    # Written out digit by digit, so that it is compiled; lambdas are interpreted row by row.
+    places = range(7, -1, -1)
+    digit = {i: f"(n div {9 ** i}L % 9)" for i in places}
     return settled(
-        digits,
-        pfaf="array_join(transform(digits, d -> cast(d + 1 AS string)), '')",
-        x="aggregate(digits, 0L, (at, d) -> at * 3 + d % 3)",
-        y="aggregate(digits, 0L, (at, d) -> at * 3 + d div 3)",
-    ).drop("digits")
+        rows.withColumn("n", F.expr(f"({key} * 101) % {N_CODES}")),
+        pfaf=f"concat_ws('', {', '.join(f'cast({digit[i]} + 1 AS string)' for i in places)})",
+        x=" + ".join(f"{digit[i]} % 3 * {3 ** i}L" for i in places),
+        y=" + ".join(f"{digit[i]} div 3 * {3 ** i}L" for i in places),
+    )
 
 
 def basins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, n, hybas_id, pfaf, x, y)."""
     keys = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "8000000000 + c_custkey AS hybas_id")
-    return located(keys, "k")
+    # A small file is one task, but each of its keys becomes a polygon.
+    return located(keys.repartition("k"), "k")
 
 
 def _unit_ring(offsets, side: str = "1D") -> str:
     """Ring around (x, y); offsets are in parts of the side, coordinates in degrees."""
-    corners = ", ".join(f"array({dx}D, {dy}D)" for dx, dy in offsets)
-    return (
-        f"transform(array({corners}), o -> "
-        f"array((x + o[0] * {side}) / 64D - 50D, (y + o[1] * {side}) / 64D - 50D))"
+    corners = ", ".join(
+        f"array((x + {dx}D * {side}) / 64D - 50D, (y + {dy}D * {side}) / 64D - 50D)" for dx, dy in offsets
     )
+    return f"array({corners})"
 
 
 _SHELL = [(0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1), (0, 0)]
@@ -191,7 +191,7 @@ def code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey")
     known = table(spark, sf_dir, "customer").selectExpr("c_custkey AS o_custkey")
     tail = ", ".join(f"o_orderkey div {9 ** (3 - i)} % 9 + 1" for i in range(4))
-    return located(source.join(known, "o_custkey", "left_semi"), "o_custkey").selectExpr(
+    return located(source.join(by_merge(known), "o_custkey", "left_semi"), "o_custkey").selectExpr(
         "12000000000 + o_orderkey AS hybas_id", f"concat(pfaf, {tail}) AS pfaf", "o_orderkey AS seq"
     )
 

@@ -413,3 +413,10 @@ def test_only_cells_that_were_found_are_outlined(spark, sf_dir):
         above, below = plan.split("Aggregate [res", 1)
         assert "transform(" in above
         assert not [line for line in below.splitlines() if "Filter" in line and "transform(" in line]
+
+
+@pytest.mark.parametrize("name", ["gauges_outside", "geojson_roundtrip", "geojson_features"])
+def test_what_grows_is_not_broadcast(spark, sf_dir, name):
+    """Polygons, codes and placed gauges look small by the file they come from; the driver never holds them."""
+    df = REGISTRY[name](spark, sf_dir)
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
