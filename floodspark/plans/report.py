@@ -36,9 +36,9 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 def basin_report(
     inputs: basins.BasinInputs, levels=BASIN_LEVELS, base_level: int = BASE_LEVEL, alerts: DataFrame | None = None,
-    tallies: DataFrame | None = None, found: DataFrame | None = None,
+    tallies: DataFrame | None = None, found: DataFrame | None = None, coded: DataFrame | None = None,
 ) -> DataFrame:
-    """Counters of the basin build. A build passes the tables it has staged; a missing one is derived."""
+    """Counters of the basin build. Who has staged tables passes them; a missing one is derived."""
     crosswalk = forecasts.clean_crosswalk(inputs.crosswalk)
     reaches = forecasts.flagged_reaches(inputs.reaches)
     base = basins.base_polygons(inputs.polygons, base_level)
@@ -47,7 +47,7 @@ def basin_report(
     if tallies is None:
         tallies = basins.tallies(alerts, inputs.polygons, levels, base_level)
     if found is None:
-        found = basins.features(tallies, inputs.polygons, inputs.impact_rows, inputs.code_lookup, levels, base_level)
+        found = basins.features(tallies, inputs.polygons, inputs.impact_rows, inputs.code_lookup, levels, base_level, coded)
     per_basin = regions.tally(alerts, ["hybas_id"])
 
     placed = per_basin.agg(
@@ -75,7 +75,7 @@ def basin_report(
         features_by_level,
     ]
     if inputs.impact_rows is not None and inputs.code_lookup is not None:
-        coded_rows = impact.coded_impact(inputs.impact_rows, inputs.code_lookup)
+        coded_rows = impact.coded_impact(inputs.impact_rows, inputs.code_lookup) if coded is None else coded
         tables += [
             _metrics(inputs.code_lookup.agg(F.count_distinct("hybas_id").alias("lookup_basins"))),
             _metrics(impact.matched_rows(coded_rows, tallies, levels).withColumnRenamed("matched_rows", "impact_rows_matched")),

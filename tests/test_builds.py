@@ -420,3 +420,10 @@ def test_what_grows_is_not_broadcast(spark, sf_dir, name):
     """Polygons, codes and placed gauges look small by the file they come from; the driver never holds them."""
     df = REGISTRY[name](spark, sf_dir)
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_report_reads_the_exposure_files_once(spark, sf_dir):
+    """Three counters need the exposure sums; they come from one staged table."""
+    df = REGISTRY["build_report"](spark, sf_dir)
+    assert "l_orderkey" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.metric: r.value for r in df.collect()}["features_with_impact"] > 0
