@@ -164,7 +164,7 @@ def read_feature_rows(parsed: DataFrame) -> DataFrame:
     """One row per feature, whatever number of parts it was written in, numbered or with gaps."""
     several = parsed.where(F.col("parts") > 1)
     first = several.groupBy("res", "cell_id").agg(F.min("part").alias("part"))
-    rows = parsed.where(F.col("parts") <= 1).unionByName(several.join(first, ["res", "cell_id", "part"], "left_semi"))
+    rows = parsed.where(F.col("parts") <= 1).unionByName(several.join(by_merge(first), ["res", "cell_id", "part"], "left_semi"))
     return rows.drop("forecasts", "part", "parts")
 
 

@@ -116,9 +116,12 @@ REGION = ["res", "code"]
 
 
 def lines(found: DataFrame, rows: DataFrame, bound: int = documents.LIST_BOUND, large: DataFrame | None = None) -> DataFrame:
-    """GeoJSON lines of features with geometry; ``rows`` are the level forecasts."""
+    """GeoJSON lines of features with geometry; ``rows`` are the level forecasts.
+
+    With a small bound most regions are ``large``; who has not staged them has them merged, not broadcast.
+    """
     if large is None:
-        large = documents.large_regions(found, REGION, bound)
+        large = by_merge(documents.large_regions(found, REGION, bound))
     lists = documents.forecast_lists(rows, large, REGION, ["pfaf", "list_rank", "list_seq"])
     named = found.withColumn("basin_id", F.col("basin_id").cast("string")).withColumn("cell_id", F.col("basin_id"))
     return documents.feature_lines(named, lists, large, REGION, ["cell_id", "basin_id"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from floodspark.functions.fixed_values import FORECAST_FIELDS
 from floodspark.functions.planar import extent_of
 from floodspark.operators import documents, grid
+from floodspark.operators.joins import by_merge
 from floodspark.operators.points import ORDER_FIELDS, PAYLOAD, with_payload_text
 
 REGION = ["res", "cell_id"]
@@ -30,7 +31,7 @@ def lines(
     rows = with_payload_text(rows)
     fields = fields or [n for n in (*FORECAST_FIELDS, PAYLOAD) if n in rows.columns]
     if large is None:
-        large = documents.large_regions(found, REGION, bound)
+        large = by_merge(documents.large_regions(found, REGION, bound))
     order = [name for name in ORDER_FIELDS if name in rows.columns] or list(fields)
     lists = documents.forecast_lists(rows, large, REGION, order, fields=fields)
     return documents.feature_lines(found, lists, large, REGION, ["cell_id"], fields=fields)

@@ -84,7 +84,7 @@ def view_lines(view: View, bound: int = documents.LIST_BOUND) -> DataFrame:
     rows = with_payload_text(view.forecasts)
     fields = [n for n in (*FORECAST_FIELDS, PAYLOAD) if n in rows.columns]
     order = [n for n in ORDER_FIELDS if n in rows.columns] or fields
-    large = documents.large_regions(view.features, REGION, bound)
+    large = by_merge(documents.large_regions(view.features, REGION, bound))
     lists = documents.forecast_lists(rows, large, REGION, order, fields=fields)
     ids = [n for n in ("cell_id", "basin_id") if n in view.features.columns]
     return documents.feature_lines(view.features, lists, large, REGION, ids, fields=fields)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -407,8 +408,12 @@ def empty_check(spark, sf_dir):
 
 
 def _lines(spark, sf_dir, bound=documents.LIST_BOUND):
-    run = Basins(spark, sf_dir, exposure=True)
-    return basins.lines(run.shaped, run.forecasts, bound)
+    """What several steps use is staged, as in a build, so one plan does not derive it again for each of them."""
+    run, stage = Basins(spark, sf_dir, exposure=True), fixtures.collection_folder(spark)
+    run.inputs = replace(run.inputs, polygons=staged(run.inputs.polygons, stage, "polygons"))
+    run.alerts = staged(run.alerts, stage, "alerts")
+    run.tallies = staged(run.tallies, stage, "tallies")
+    return basins.lines(staged(run.shaped, stage, "features"), run.forecasts, bound)
 
 
 @query
@@ -428,7 +433,9 @@ def geojson_roundtrip(spark, sf_dir):
 
 @query
 def geojson_features(spark, sf_dir):
-    read = documents.read_feature_rows(documents.parse_lines(_lines(spark, sf_dir, bound=8)))
+    # Features of several parts are found by a join of the lines with themselves.
+    lines = staged(_lines(spark, sf_dir, bound=8), fixtures.collection_folder(spark), "lines")
+    read = documents.read_feature_rows(documents.parse_lines(lines))
     return read.select(
         "res", "cell_id", "basin_id", "severity", "model_count", F.col("impact.population").alias("population"),
         F.expr("size(geometry[0])").alias("n_rings"),

@@ -422,6 +422,20 @@ def test_what_grows_is_not_broadcast(spark, sf_dir, name):
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["geojson_roundtrip", "geojson_features", "cell_lines"])
+def test_regions_of_several_parts_are_not_broadcast_by_the_running_plan(spark, sf_dir, name):
+    """With a small bound most regions have several parts; adaptive execution used to broadcast them."""
+    df = REGISTRY[name](spark, sf_dir)
+    assert df.collect()
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_steps_of_the_lines_are_staged(spark, sf_dir):
+    """Alerts, tallies, features and polygons are tables; nothing above them goes back to the exposure files."""
+    plan = REGISTRY["geojson_roundtrip"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in plan and "c_custkey" not in plan
+
+
 def test_the_report_reads_the_exposure_files_once(spark, sf_dir):
     """Three counters need the exposure sums; they come from one staged table."""
     df = REGISTRY["build_report"](spark, sf_dir)
