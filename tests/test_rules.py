@@ -37,6 +37,24 @@ def test_float_parse_keeps_nan_and_infinity(spark):
     assert math.isnan(found[0]) and found[1:] == [-math.inf, math.inf, 1.5, None]
 
 
+def test_plain_numbers_are_read_without_the_pattern(spark):
+    """The short way gives what the pattern gives, and the pattern stands behind it."""
+    texts = [
+        "12", "-0", "+5", "007", "\x0112", "12\x00", "\u00a012", "1_0", "1__0", "9223372036854775807", "9223372036854775808", "1.0", "-0.0", "0.125",
+        "1.0E10", "1.0E-5", "1e3", "1.7976931348623157E308", "1.0E309", "NaN", "nan", "Infinity", "-Infinity", "+Infinity", "1d", "1.0D", "0x1", "１２", " ", "", None,
+    ]
+    for parse, pattern, kind in (
+        (parsing.strict_int, parsing.INT_PATTERN, "bigint"), (parsing.float_text, parsing.FLOAT_PATTERN, "double"),
+    ):
+        def by_pattern(text, pattern=pattern, kind=kind):
+            return F.replace(F.regexp_extract(text, pattern, 1), F.lit("_"), F.lit("")).try_cast(kind)
+
+        rows = evaluate(spark, texts, "string", lambda t: parse(t).cast("string"), lambda t: by_pattern(t).cast("string"))
+        assert [a for a, _ in rows] == [b for _, b in rows]
+        plan = spark.range(1).select(parse(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+        assert "ELSE" in plan and "regexp_extract" not in plan.split("ELSE")[0]
+
+
 @pytest.mark.parametrize("text, label", [
     ("1.99", None), ("2", "warning"), ("4.99", "warning"), ("5", "danger"), ("19.99", "danger"), ("20", "extreme"),
     ("x", None), ("inf", None),
