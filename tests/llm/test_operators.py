@@ -135,6 +135,24 @@ def test_token_files_library_splits(tmp_path):
         assert found == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_token_files_encode_a_word_once():
+    """What stands beside a word makes no new chunk of it, and the cuts change no id of the library."""
+    from tokenizers import Tokenizer
+
+    asked: list[str] = []
+    known = token_files._KnownChunks(lambda chunks: asked.extend(chunks) or [[len(x)] for x in chunks], True)
+    found = [np.frombuffer(b"".join(x), np.uint32).tolist() for x in known(["", "one one, one. one\none", "one 1one it's", ""])]
+    assert found == [[], [3, 4, 1, 4, 1, 4, 4], [3, 2, 3, 3, 2], []]
+    assert sorted(asked) == sorted(["one", " one", ",", ".", "\none", " 1", " it", "'s"])
+
+    rng = random.Random(3)
+    signs = [*"aZ's td09 .,!?\"-_\n\t\r\x0b\x1c\x1f\x7f\x00\u00a0\u2003\u3000\u0085\u00e9\u0301\u4e2d\u0663", "'ll", "it's", "<|endoftext|>", "  ", "\r\n"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(3000)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = [np.frombuffer(b"".join(x), np.uint32).tolist() for x in token_files._encoder(path, True)(texts)]
+    assert found == [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_substring_dedup(spark, tables):
     folder, rows = tables
     found = {r[0]: tuple(r[1:]) for r in QUERIES["op3_suffix_array_dedup"](spark, folder).collect()}
