@@ -9,10 +9,10 @@ Buckets that hold several components afterwards get a second and a third pivot f
 
 What three pivots have not connected is settled by what lies outside a pivot. Let a set x not be linked with a
 pivot p, and hold c of its shingles. A set y that is linked with x has at least 3/7 (|x| + |y|) shingles in
-common with it, of which at most c lie in p. So y holds so many of the shingles of x outside p that six of
-them (all, where fewer are needed) are among the rarest of these (a prefix filter), and only sets that share
-such shingles are compared; sets small enough for c to suffice are compared within their buckets. Near copies of one text differ
-outside it, so a large group costs about a comparison for each member, and no link that a bucket holds is lost.
+common with it, of which at most c lie in p. So y holds so many of the shingles of x outside p that one of
+them is among the rarest of these (a prefix filter), and only sets that share such shingles are compared; sets
+small enough for c to suffice are compared within their buckets. Shingles that the same sets hold are met as one.
+Near copies of one text differ outside it, so few sets meet there, and no link that a bucket holds is lost.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^40 = 2.6e-7. Nothing grows on the
 driver but the number of rounds.
@@ -42,8 +42,6 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Pivots of a bucket before the rest of it is searched by shingles.
 PIVOTS = 3
-#: Shingles outside the pivot that must agree at once, where so many are needed: more than one common edit makes.
-TOGETHER = WORDS + 1
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.random.default_rng(20_011).integers(0, 2**63, (2, max(REGISTERS, 16)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -228,23 +226,30 @@ def _remaining(members: DataFrame, tried: DataFrame, labels: DataFrame, sets: Da
     best = apart.groupBy("cid").agg(F.max_by("pivot", F.struct("same", "pivot")).alias("pivot"))
     rest = staged(_outside(best, sets), folder, "outside")
 
-    # Shingles that only one component holds lead nowhere; they count as the rarest.
+    # Shingles that only one component holds lead nowhere; they count as the rarest. Those that the same sets hold
+    # (128 bits over the holders' numbers) are one strand: near copies share long runs of them, which are met as one row.
     held = staged(_unpacked(sets.join(cids, "cid")).join(of, "cid"), folder, "open-shingles")
-    split = held.groupBy("shingle").agg(F.count("*").alias("k"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d")
-    live = staged(_unpacked(rest).join(split.select("shingle", "k"), "shingle"), folder, "outside-shingles")
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "cid")).alias(f"t{seed}") for seed in (1, 2)]
+    split = held.groupBy("shingle").agg(F.count("*").alias("k"), F.min("comp").alias("c"), F.max("comp").alias("d"), *marks).where("c <> d")
+    split = staged(split.select("shingle", "k", "t1", "t2"), folder, "split-shingles")
+    strand = ["t1", "t2"]
+    live = staged(
+        _unpacked(rest).join(split, "shingle").groupBy("cid", *strand).agg(F.first("k").alias("k"), F.count("*").alias("size")), folder, "outside-strands"
+    )
     facts = rest.select("cid", "n", "held").join(of, "cid")
-    # Position from the most frequent one back. Of the needed shingles, only so many less those that must agree at
-    # once can stand before the prefix.
-    back = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("k"), "shingle"))
-    sought = live.withColumn("back", back).join(facts, "cid").where(F.col("back") > F.ceil(F.col("n") * PERCENT / 100) - F.col("held") - TOGETHER)
+    # Position of the strand's last shingle, from the most frequent one back. Of the needed shingles, only so many less
+    # one can stand before the prefix.
+    back = F.sum("size").over(Window.partitionBy("cid").orderBy(F.desc("k"), *strand).rowsBetween(Window.unboundedPreceding, 0))
+    sought = live.withColumn("back", back).join(facts, "cid").where(F.col("back") >= F.ceil(F.col("n") * PERCENT / 100) - F.col("held"))
+    sought = staged(sought, folder, "sought")
     sizes = sets.join(cids, "cid").select("cid", (F.octet_length("shingles") / 8).cast("bigint").alias("m")).join(of, "cid")
-    x = sought.select("shingle", "back", "n", "held", F.col("cid").alias("x"), F.col("comp").alias("x_comp"))
-    y = held.join(sizes.select("cid", "m"), "cid").select("shingle", "m", F.col("cid").alias("y"), F.col("comp").alias("y_comp"))
+    x = sought.select(*strand, "back", "n", "held", F.col("cid").alias("x"), F.col("comp").alias("x_comp"))
+    # One shingle of a strand tells all its holders.
+    named = split.join(sought.select(*strand).distinct(), strand, "left_semi").groupBy(*strand).agg(F.min("shingle").alias("shingle"))
+    y = held.join(named, "shingle").join(sizes.select("cid", "m"), "cid").select(*strand, "m", F.col("cid").alias("y"), F.col("comp").alias("y_comp"))
     alike = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
     missing = _needed("n", "m") - F.col("held")
-    at_once = F.least(missing, F.lit(TOGETHER))
-    met = x.join(y, "shingle").where((F.col("x_comp") != F.col("y_comp")) & alike & (missing >= 1) & (F.col("back") > missing - at_once))
-    by_shingle = met.groupBy("x", "y").agg(F.count("*").alias("met"), F.first(at_once).alias("at_once")).where("met >= at_once")
+    by_strand = x.join(y, strand).where((F.col("x_comp") != F.col("y_comp")) & alike & (missing >= 1) & (F.col("back") >= missing))
 
     # Sets for which what the pivot holds is enough; most buckets have none that is small enough.
     near = members.select("cid", "bucket")
@@ -254,7 +259,7 @@ def _remaining(members: DataFrame, tried: DataFrame, labels: DataFrame, sets: Da
     u = near.join(facts, "cid").join(smallest, "bucket").where(enough)
     u = u.select("bucket", "n", "held", F.col("cid").alias("x"), F.col("comp").alias("x_comp"))
     by_bucket = u.join(v, "bucket").where((F.col("x_comp") != F.col("y_comp")) & alike & (missing < 1))
-    found = by_shingle.select("x", "y").union(by_bucket.select("x", "y"))
+    found = by_strand.select("x", "y").union(by_bucket.select("x", "y"))
     pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
 

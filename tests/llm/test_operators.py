@@ -362,6 +362,28 @@ def test_near_dedup_beyond_pivots(spark, monkeypatch):
         assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
+def test_near_dedup_meets_strands(spark, monkeypatch):
+    """Beyond the pivots, shingles of the same holders are one row, and only those that are sought are looked up."""
+    made, write = {}, near_dedup.staged
+    monkeypatch.setattr(near_dedup, "staged", lambda df, folder, name: made.setdefault(name, write(df, folder, name)))
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    rng, rows = random.Random(31), []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(80)]
+        for _ in range(30):
+            copy = list(base)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(3)}"
+            rows.append((len(rows), " ".join(copy)))
+            base = copy if rng.random() < 0.7 else base
+    want = brute.near_components(rows)
+    for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        assert (r.n_shingles, r.component_id) == want[r.doc_id]
+    strands = made["outside-strands"]
+    assert 0 < strands.count() < strands.agg(F.sum("size")).first()[0]
+    assert made["sought"].count() <= strands.count()
+
+
 def test_hyperminhash_estimate():
     rng = np.random.default_rng(2)
     for share in (0.0, 0.3, 0.75, 0.95, 1.0):
