@@ -13,7 +13,6 @@ byte for byte; unknown ids are an error. Equal rows get equal ids; other columns
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -23,7 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from floodspark.llm.common import ChunkCache
+from floodspark.llm.common import KnownChunks
+
+#: Chunks and compatible pairs that an encoder remembers. A Python worker keeps them after its task, beside what runs there next.
+KEPT_CHUNKS, KEPT_PAIRS = 500_000, 300_000
+#: Patterns that end a match wherever kinds of ASCII characters meet (see KnownChunks).
+_BY_KIND = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 
 
 def last_merge(text: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -71,7 +75,7 @@ class Encoder:
                 self._tokens[token.decode("latin-1")] = rank
                 self._trie.add_word(token.decode("latin-1"), rank)
         self._fits: dict[tuple[int, int], bool] = {}
-        self.chunks = ChunkCache(lambda chunks: [self._chunk(x) for x in chunks])
+        self.chunks = KnownChunks(lambda chunks: [self._chunk(x) for x in chunks], pattern in _BY_KIND, KEPT_CHUNKS)
 
     def _merges_apart(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens gives these two again.
@@ -94,7 +98,7 @@ class Encoder:
     def _compatible(self, left: int, right: int) -> bool:
         pair = left, right
         if (known := self._fits.get(pair)) is None:
-            if len(self._fits) > 1_000_000:  # only saves time
+            if len(self._fits) > KEPT_PAIRS:  # only saves time
                 self._fits.clear()
             known = self._fits[pair] = self._merges_apart(left, right)
         return known
@@ -124,11 +128,8 @@ class Encoder:
                 size -= 1
         return laid
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = array("I")
-        for match in self._split.findall(chunk):
-            ids.extend(self.piece(match.encode("utf-8")))
-        return ids.tobytes()
+    def _chunk(self, chunk: str) -> list[int]:
+        return [rank for match in self._split.findall(chunk) for rank in self.piece(match.encode("utf-8"))]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(next(self.encode_all([text])), np.uint32).tolist()

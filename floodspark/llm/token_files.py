@@ -22,14 +22,13 @@ import re
 import struct
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from floodspark.llm.common import no_collections, slices, text_or_empty
+from floodspark.llm.common import LETTERS, KnownChunks, text_or_empty
 
 BLOCK = 512
 PERCENTILE = 90
@@ -141,85 +140,6 @@ def _split_at_added(tokenizer) -> Callable[[str], list[str | bytes]]:
     return split
 
 
-#: Last bytes of white space, and some others. A blank after any other byte is a place to cut at (see common.CUT).
-_STICKING = np.zeros(256, dtype=bool)
-_STICKING[[*range(0x09, 0x0E), *range(0x1C, 0x21), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
-#: Letters, digits, other signs and white space of ASCII. The pattern of the ByteLevel pre-tokenizer ends a match wherever one
-#: of the first three meets another kind, and looks at nothing to the left; an apostrophe goes on with what follows.
-_KIND = np.zeros(256, dtype=np.uint8)
-_KIND[0x21:0x7F] = 3
-_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
-_KIND[0x30:0x3A] = 2
-_KIND[0x09:0x0E] = 4
-_KIND_BEFORE = np.where(_KIND == 4, 0, _KIND)
-_KIND_BEFORE[ord("'")] = 0
-_LETTERS = re.compile(" ?[A-Za-z]+")
-
-
-class _KnownChunks:
-    """Applies ``encode`` to the chunks of texts, once to each different one, and lays the ids side by side.
-
-    Arrow numbers the chunks of some megabytes of text; only the different ones are looked up, and ``encode(list of
-    chunks) -> ids of each`` gets those that are not yet known. What is kept only saves time; it is emptied when it holds
-    ``bound`` chunks or 16 times as many ids. With ``kinds``, texts are cut where kinds of ASCII characters meet, too.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], kinds: bool, bound: int = 1_200_000) -> None:
-        self._encode, self._kinds, self._bound = encode, kinds, bound
-        self._clear()
-
-    def _clear(self) -> None:
-        self._known: dict[str, int] = {}
-        self._ids, self._ends = array("I"), array("q", [0])
-
-    def _numbers(self, chunks: list[str]) -> np.ndarray:
-        new = [x for x in chunks if x not in self._known]
-        if len(self._known) + len(new) > self._bound or len(self._ids) > 16 * self._bound:
-            self._clear()
-            new = chunks
-        for at in range(0, len(new), 1 << 13):
-            part = new[at : at + (1 << 13)]
-            for chunk, ids in zip(part, self._encode(part), strict=True):
-                self._known[chunk] = len(self._ends) - 1
-                self._ids.extend(ids)
-                self._ends.append(len(self._ids))
-        return np.fromiter(map(self._known.__getitem__, chunks), np.int64, len(chunks))
-
-    def __call__(self, texts: list[str]) -> Iterator[list[bytes]]:
-        """For each text its ids as 32-bit numbers, in one piece."""
-        for group in slices(texts, 1 << 24):
-            yield from self._found([texts[i] for i in group])
-
-    def _found(self, texts: list[str]) -> Iterator[list[bytes]]:
-        column = pa.array(texts, pa.string())
-        _, offsets, data = column.buffers()
-        bounds = np.frombuffer(offsets, np.int32, len(texts) + 1)
-        octets = np.frombuffer(data, np.uint8, bounds[-1]) if bounds[-1] else np.zeros(0, np.uint8)
-        begins = np.zeros(len(octets), dtype=bool)
-        begins[1:] = (octets[1:] == 0x20) & ~_STICKING[octets[:-1]]
-        if self._kinds:
-            left, right = _KIND_BEFORE[octets[:-1]], _KIND[octets[1:]]
-            begins[1:] |= (left > 0) & (right > 0) & (left != right)
-        begins[bounds[:-1][np.diff(bounds) > 0]] = True
-        starts = np.append(np.flatnonzero(begins), len(octets)).astype(np.int32)
-        first = np.searchsorted(starts, bounds)
-        cut = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), data or pa.py_buffer(b"")).dictionary_encode()
-        with no_collections():
-            numbers = self._numbers(cut.dictionary.to_pylist())
-        ends, every, codes = np.array(self._ends), np.array(self._ids), cut.indices.to_numpy()
-        begin, size = ends[numbers], ends[numbers + 1] - ends[numbers]
-        at = 0
-        while at < len(texts):
-            stop = max(at + 1, int(np.searchsorted(first, first[at] + (1 << 18), "right")) - 1)
-            code = codes[first[at] : first[stop]]
-            sizes = size[code]
-            after = np.concatenate([[0], np.cumsum(sizes)])
-            ids = every[np.arange(after[-1]) + np.repeat(begin[code] - after[:-1], sizes)].astype(np.uint32)
-            for a, b in pairwise(after[first[at : stop + 1] - first[at]].tolist()):
-                yield [ids[a:b].tobytes()]
-            at = stop
-
-
 def _encoder(path: str, added_tokens: bool) -> Callable[[list[str]], Iterator[list[bytes]]]:
     if (path, added_tokens) not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -238,13 +158,13 @@ def _encoder(path: str, added_tokens: bool) -> Callable[[list[str]], Iterator[li
 
         def encode(chunks: list[str]) -> list[list[int]]:
             # Letters after a blank at most are one match; the blank's byte is written as a letter of its own.
-            found = [[x.id for x in merge(chunk.replace(" ", "\u0120"))] if byte_level and _LETTERS.fullmatch(chunk) else None for chunk in chunks]
+            found = [[x.id for x in merge(chunk.replace(" ", "\u0120"))] if byte_level and LETTERS.fullmatch(chunk) else None for chunk in chunks]
             others = [i for i, ids in enumerate(found) if ids is None]
             for i, x in zip(others, bare.encode_batch_fast([chunks[i] for i in others], add_special_tokens=False), strict=True):
                 found[i] = x.ids
             return found
 
-        cache, split_at_added = _KnownChunks(encode, byte_level), _split_at_added(tokenizer)
+        cache, split_at_added = KnownChunks(encode, byte_level), _split_at_added(tokenizer)
 
         def split_texts(texts: list[str]) -> Iterator[list[bytes]]:
             cut = [split_at_added(x) for x in texts]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floodspark.llm import (
-    byte_bpe, decontamination, language_id, near_dedup, quality_rules, sharding, substring_dedup, token_files, url_filter, warc,
+    byte_bpe, common, decontamination, language_id, near_dedup, quality_rules, sharding, substring_dedup, token_files, url_filter, warc,
 )
 from floodspark.llm.common import row_keys
 from floodspark.llm.queries import QUERIES, RULES
@@ -140,7 +140,7 @@ def test_token_files_encode_a_word_once():
     from tokenizers import Tokenizer
 
     asked: list[str] = []
-    known = token_files._KnownChunks(lambda chunks: asked.extend(chunks) or [[len(x)] for x in chunks], True)
+    known = common.KnownChunks(lambda chunks: asked.extend(chunks) or [[len(x)] for x in chunks], True)
     found = [np.frombuffer(b"".join(x), np.uint32).tolist() for x in known(["", "one one, one. one\none", "one 1one it's", ""])]
     assert found == [[], [3, 4, 1, 4, 1, 4, 4], [3, 2, 3, 3, 2], []]
     assert sorted(asked) == sorted(["one", " one", ",", ".", "\none", " 1", " it", "'s"])
