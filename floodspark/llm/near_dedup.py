@@ -244,9 +244,12 @@ def _remaining(members: DataFrame, tried: DataFrame, labels: DataFrame, sets: Da
     sought = staged(sought, folder, "sought")
     sizes = sets.join(cids, "cid").select("cid", (F.octet_length("shingles") / 8).cast("bigint").alias("m")).join(of, "cid")
     x = sought.select(*strand, "back", "n", "held", F.col("cid").alias("x"), F.col("comp").alias("x_comp"))
-    # One shingle of a strand tells all its holders.
-    named = split.join(sought.select(*strand).distinct(), strand, "left_semi").groupBy(*strand).agg(F.min("shingle").alias("shingle"))
-    y = held.join(named, "shingle").join(sizes.select("cid", "m"), "cid").select(*strand, "m", F.col("cid").alias("y"), F.col("comp").alias("y_comp"))
+    # One shingle of a strand tells all its holders; those of sizes that no seeker of the strand can be linked with stay out.
+    most = F.least(F.col("n") * 100 / PERCENT, (F.col("back") + F.col("held")) * (100 + PERCENT) / PERCENT - F.col("n")) + 1
+    reach = sought.groupBy(*strand).agg(F.min(F.floor(F.col("n") * PERCENT / 100)).alias("low"), F.max(most).alias("high"))
+    named = split.join(reach, strand).groupBy(*strand).agg(F.min("shingle").alias("shingle"), F.first("low").alias("low"), F.first("high").alias("high"))
+    holders = held.join(sizes.select("cid", "m"), "cid").join(named, "shingle").where(F.col("m").between(F.col("low"), F.col("high")))
+    y = holders.select(*strand, "m", F.col("cid").alias("y"), F.col("comp").alias("y_comp"))
     alike = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
     missing = _needed("n", "m") - F.col("held")
     by_strand = x.join(y, strand).where((F.col("x_comp") != F.col("y_comp")) & alike & (missing >= 1) & (F.col("back") >= missing))
