@@ -66,9 +66,9 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids, exact): ids of every text, and whether they decode to it."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     texts = docs.select("doc_id", text_or_empty().alias("text"))
-    ids = texts.withColumn("token_ids", byte_bpe.encoded(F.col("text"), path, pattern))
-    exact = byte_bpe.decoded(F.col("token_ids"), path, pattern) == F.col("text").cast("binary")
-    return ids.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", exact.alias("exact"))
+    both = texts.withColumn("both", byte_bpe.round_trip(F.col("text"), path, pattern)).select("doc_id", "text", "both.*")
+    exact = F.col("data") == F.col("text").cast("binary")
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.col("ids").alias("token_ids"), exact.alias("exact"))
 
 
 STAGES = [

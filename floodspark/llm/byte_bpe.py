@@ -26,6 +26,8 @@ from floodspark.llm.common import KnownChunks
 
 #: Chunks and compatible pairs that an encoder remembers. A Python worker keeps them after its task, beside what runs there next.
 KEPT_CHUNKS, KEPT_PAIRS = 500_000, 300_000
+#: Texts that are encoded and decoded at once; what is made on the way is as large as they are.
+_ROWS = 2000
 #: Patterns that end a match wherever kinds of ASCII characters meet (see KnownChunks).
 _BY_KIND = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
 
@@ -152,14 +154,24 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
+def _ids(texts: pa.Array, path: str, pattern: str) -> pa.ListArray:
+    ids = list(encoder(path, pattern).encode_all([x or "" for x in texts.to_pylist()]))
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
+def _bytes(lists: pa.ListArray, path: str) -> pa.Array:
+    find, every = tokens_of(path).__getitem__, lists.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
+    return pa.array([b"".join(map(find, every[a:b].tolist())) for a, b in pairwise(ends)], pa.binary())
+
+
 def encoded(text: Column, path: str, pattern: str) -> Column:
     """array<int>: ids of the whole text."""
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        ids = list(encoder(path, pattern).encode_all([x or "" for x in texts.to_pylist()]))
-        ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        return _ids(texts, path, pattern)
 
     return encode(text.cast("string"))
 
@@ -169,8 +181,23 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        find, every = tokens_of(path).__getitem__, lists.flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum([0, *lists.value_lengths().fill_null(0).to_pylist()]).tolist()
-        return pa.array([b"".join(map(find, every[a:b].tolist())) for a, b in pairwise(ends)], pa.binary())
+        return _bytes(lists, path)
 
     return decode(ids)
+
+
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """struct<ids, data>: ids of the whole text, and the bytes that these ids stand for.
+
+    Beside ``encoded``, ``decoded`` of its ids makes Spark run the chain of both again, which encodes every text twice.
+    """
+
+    @F.arrow_udf("struct<ids: array<int>, data: binary>")
+    def there_and_back(texts: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, len(texts), _ROWS):
+            ids = _ids(texts.slice(at, _ROWS), path, pattern)
+            parts.append(pa.StructArray.from_arrays([ids, _bytes(ids, path)], ["ids", "data"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("data", pa.binary())]))
+
+    return there_and_back(text.cast("string"))

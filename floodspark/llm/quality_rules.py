@@ -84,8 +84,12 @@ def _count_batch(texts: pa.Array) -> pa.Array:
 
 
 def statistics(text: Column) -> Column:
-    """struct of the counts of each whole text."""
-    return F.arrow_udf(_count_batch, STATISTICS_TYPE)(text.cast("string"))
+    """struct of the counts of each whole text.
+
+    Spark takes it for one that may differ from call to call. Otherwise a filter on the counts is pushed below them and counts
+    every text again, in a second Python worker of each task.
+    """
+    return F.arrow_udf(_count_batch, STATISTICS_TYPE).asNondeterministic()(text.cast("string"))
 
 
 def with_statistics(docs: DataFrame, text: str = "text", name: str = "statistics") -> DataFrame:

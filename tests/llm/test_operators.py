@@ -68,6 +68,12 @@ def test_quality_edges(docs, empty):
     assert quality_rules.fit(empty, empty.select("doc_id", F.lit(0).alias("quality"))).rules == ()
 
 
+def test_texts_are_counted_once(spark, docs, capsys):
+    """A filter on the counts stays above them; one Python worker a task is enough."""
+    quality_rules.with_statistics(docs.select("doc_id", "text"), name="s").where("s.n_words > 3").select("doc_id", "s.n_bars").explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
 def test_covering_learns_a_conjunction():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 3))
@@ -220,6 +226,16 @@ def test_byte_bpe_edges(docs):
         assert r.back == (r.text or "").encode()
 
 
+def test_byte_bpe_encodes_a_text_once(spark, tables, docs, capsys):
+    """Ids and the bytes they stand for come from one call, in which no text is encoded again."""
+    QUERIES["op4_byte_bpe"](spark, tables[0]).explain()
+    calls = [x for x in capsys.readouterr().out.splitlines() if "ArrowEvalPython" in x]
+    assert len(calls) == 1 and calls[0].count("text#") == 1, calls
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    for text, both in docs.select("text", byte_bpe.round_trip(F.col("text"), path, pattern)).collect():
+        assert list(both.ids) == brute.rank_encoding().encode_ordinary(text or "") and bytes(both.data) == (text or "").encode()
+
+
 def test_url_rules(spark):
     cases = {
         "http://example.com/en/1": ("example.com", "/en/1", "example.com/en/"), "https://WWW.Example.com/en/": ("www.example.com", "/en/", "www.example.com/en/"),
