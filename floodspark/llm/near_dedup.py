@@ -4,8 +4,10 @@ A document is the set of its five-word shingles. Its signature has one register
 functions: the leading zeros of the smallest hash (6 bits) and the 10 bits after its first one. Registers are
 banded, four to a band. Documents of equal sets are one class from the start. Every bucket that several classes
 share has a pivot, the member that meets most others in all its buckets; it is compared with all members, first
-by the registers, with the matches that come from the compression alone taken off, then by the full sets.
-Buckets that hold several components afterwards get a second and a third pivot from what is left.
+by the registers, with the matches that come from the compression alone taken off, then by the full sets. A member
+first meets the pivot that most of its buckets have, and the others only as far as that has not connected them.
+Buckets that hold several components afterwards get a second and a third pivot from what is left; of these a member
+meets the one that most of its buckets have.
 
 What three pivots have not connected is settled by what lies outside a pivot. Let a set x not be linked with a
 pivot p, and hold c of its shingles. A set y that is linked with x has at least 3/7 (|x| + |y|) shingles in
@@ -322,27 +324,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     least = F.min(F.struct(-F.col("weight"), "cid"))["cid"]
     firsts = staged(members.groupBy("bucket").agg(least.alias("pivot")), folder, "pivots")
     open_members, tried = members.join(firsts, "bucket"), None
-    for turn in range(PIVOTS):
-        if turn == 0:
+    for turn in range(PIVOTS + 1):
+        if turn < 2:
             chosen = open_members
         else:
             # The next pivot comes from the components that no earlier one of the bucket belongs to.
             left = open_members.join(labels, "cid").join(gone, ["bucket", "comp"], "left_anti")
             chosen = open_members.join(left.groupBy("bucket").agg(least.alias("next")), "bucket").withColumn("pivot", F.col("next"))
         x, p = labels.toDF("cid", "comp_x"), labels.toDF("pivot", "comp_p")
-        apart = chosen.join(x, "cid").join(p, "pivot").where("comp_x <> comp_p")
+        apart = chosen.select("cid", "bucket", "pivot").join(x, "cid").join(p, "pivot").where("comp_x <> comp_p")
+        if turn != 1:
+            # Of the pivots of its buckets, the one that a member shares most of them with.
+            met = apart.groupBy("cid", "pivot").agg(F.count("*").alias("n"))
+            apart = met.groupBy("cid").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
         pairs = apart.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         compared = staged(_estimated(pairs, classes), folder, f"tried-{turn}")
         links = staged(_verified(compared.where("likely").select("a", "b"), sets), folder, f"links-{turn}")
         tried = compared if tried is None else tried.unionByName(compared)
-        used = chosen.select("bucket", "pivot").distinct() if turn == 0 else used.union(chosen.select("bucket", "pivot").distinct())
         if not links.isEmpty():
             labels = components(labels, links, folder, f"components-{turn}")
-        # A bucket is open while it holds several components.
-        used = staged(used, folder, f"used-{turn}")
+        if turn == 0:
+            continue
+        now = chosen.select("bucket", "pivot").distinct()
+        used = staged(now if turn == 1 else used.union(now), folder, f"used-{turn}")
         gone = used.join(labels.toDF("pivot", "comp"), "pivot").select("bucket", "comp").distinct()
+        # A bucket is open while it holds several components.
         split = open_members.join(labels, "cid").groupBy("bucket").agg(F.min("comp").alias("c"), F.max("comp").alias("d"))
         open_members = staged(open_members.join(split.where("c <> d").select("bucket"), "bucket"), folder, f"open-{turn}")
         if open_members.isEmpty():

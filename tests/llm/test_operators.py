@@ -378,6 +378,24 @@ def test_near_dedup_beyond_pivots(spark, monkeypatch):
         assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
+def test_near_dedup_meets_few_pivots(spark, monkeypatch):
+    """Copies that are too far from each other meet one more pivot a turn, not one of each bucket."""
+    made, write = {}, near_dedup.staged
+    monkeypatch.setattr(near_dedup, "staged", lambda df, folder, name: made.setdefault(name, write(df, folder, name)))
+    rng, rows = random.Random(7), []
+    base = [f"w{i}" for i in range(150)]
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(rng.randrange(3, 12)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(9)}"
+        rows.append((len(rows), " ".join(copy)))
+    want = brute.near_components(rows)
+    for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        assert (r.n_shingles, r.component_id) == want[r.doc_id]
+    sizes = {name: df.count() for name, df in made.items() if name.startswith("tried-")}
+    assert 0 < sizes["tried-2"] <= len(rows) and sizes["tried-0"] <= len(rows), sizes
+
+
 def test_near_dedup_meets_strands(spark, monkeypatch):
     """Beyond the pivots, shingles of the same holders are one row, and only those that are sought are looked up."""
     made, write = {}, near_dedup.staged
